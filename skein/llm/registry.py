@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import quality_rules
+from skein.llm import exact_dedup, minhash, packing, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": quality_rules.op1_quality_rules}
+    return {
+        "op1_quality_rules": quality_rules.op1_quality_rules,
+        "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op6_best_fit_packing": packing.op6_best_fit_packing,
+        "op7_minhash_near_dedup": minhash.op7_minhash_near_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.OP1_SQL}
+    return {"op1_quality_rules": quality_rules.OP1_SQL, "op4_exact_dedup": exact_dedup.OP4_SQL}
