@@ -31,6 +31,12 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+", -1), "")
 
 
+def bounded(rows: DataFrame, max_rows: int, id_col: str = "doc_id") -> DataFrame:
+    """All labelled rows, or where there are more a sample of about max_rows, chosen by a hash of the id."""
+    share = min(1.0, max_rows / max(1, rows.count()))
+    return rows.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(97)), F.lit(1_000_000)) < int(1_000_000 * share))
+
+
 def shared_root(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir; where that is unset, as in tests, a local one is set."""
     top = spark.conf.get("spark.checkpoint.dir", None)

@@ -103,33 +103,38 @@ class Planner:
         self.count = np.zeros(capacity + 1, np.int64)
         for n, c in counts.items():
             self.count[n] = c
+        have = (self.count > 0).astype(np.int64)
+        #: Sums that two lengths in stock may have; kept as an upper bound.
+        self.pair_sums = np.convolve(have, have)[: capacity + 1] > 0
         self.patterns: list[tuple[tuple[int, ...], int]] = []
 
-    def _exact(self, gap: int) -> tuple[int, ...] | None:
-        """One, two or three lengths in stock whose sum is the gap; fewest and longest first."""
+    def _pair(self, total: int, beside: int = 0) -> tuple[int, int] | None:
+        """Two lengths in stock of that sum, longest first; beside is one already chosen."""
         c = self.count
-        if c[gap] > 0:
-            return (gap,)
-        have = np.flatnonzero(c[: gap + 1])
-        if not len(have):
+        x = np.arange(total - 1, (total - 1) // 2, -1)
+        y = total - x
+        ok = (c[x] > 0) & (c[y] > 0) & ((x != y) | (c[x] > 1))
+        if not ok.any():
+            self.pair_sums[total] = False  # stock only shrinks, so it stays so
             return None
+        if beside:
+            ok &= c[x] >= 1 + (x == y) + (x == beside)
+            ok &= c[y] >= 1 + (x == y) + (y == beside)
+            if not ok.any():
+                return None
+        k = int(ok.argmax())
+        return int(x[k]), int(y[k])
 
-        def pair(total: int, most: int) -> tuple[int, int] | None:
-            x = have[(have <= min(most, total - 1)) & (2 * have >= total)][::-1]
-            y = total - x
-            ok = (c[y] > 0) & ((x != y) | (c[x] > 1))
-            return (int(x[k]), int(y[k])) if ok.any() and (k := int(ok.argmax())) >= 0 else None
-
-        if p := pair(gap, gap):
+    def _exact(self, gap: int) -> tuple[int, ...] | None:
+        """One, two or three lengths in stock whose sum is the gap; fewest and longest first."""
+        if self.count[gap] > 0:
+            return (gap,)
+        if self.pair_sums[gap] and (p := self._pair(gap)):
             return p
-        for z in have[have * 3 >= gap][::-1].tolist():
-            if z >= gap:
-                continue
-            c[z] -= 1
-            p = pair(gap - z, z)
-            c[z] += 1
-            if p:
-                return (z, *p)
+        z = np.arange(gap - 1, 0, -1)
+        for one in z[(self.count[z] > 0) & self.pair_sums[gap - z]].tolist():
+            if p := self._pair(gap - one, one):
+                return (one, *p)
         return None
 
     def _take(self, lengths: tuple[int, ...]) -> int:
@@ -154,7 +159,7 @@ class Planner:
                     break
                 self._take((n, *found))
             if c[n] > 0:
-                # No exact complement: held out, but still stock for later gaps only as residual.
+                # No exact complement is left for it: a residual.
                 short.append((n, int(c[n])))
                 c[n] = 0
         self._best_fit(short)
