@@ -1,0 +1,103 @@
+"""Call features from request JSON held as VARIANT.
+
+Text lengths follow two levels of nesting (message, block, content of a block),
+which is what requests have; deeper content counts as nothing. The length of a
+tool's definition or of a tool call's input is that of its JSON with a space
+after each comma and colon, an estimate that is exact where strings hold no
+quotes, backslashes or control characters.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+CHARS_PER_TOKEN = 4
+#: Cache lifetimes by their names, in seconds; any other name means the first.
+TTLS = {"5m": 300.0, "1h": 3600.0}
+
+_BLOCK = "struct<type:string,text:string,thinking:string,partial_json:string,content:variant,input:variant,cache_control:struct<type:string,ttl:string>>"
+_MESSAGE = "array<struct<role:string,content:variant>>"
+_TOOL = "array<variant>"
+
+
+def _get(v: Column, path: str, kind: str) -> Column:
+    return F.try_variant_get(v, path, kind)
+
+
+def json_length(v: Column) -> Column:
+    """Characters of a value's JSON with spaced separators."""
+    text = F.to_json(v)
+    bare = F.regexp_replace(text, r'"(?:[^"\\]|\\.)*"', "s")
+    return F.coalesce(F.length(text) + F.length(F.regexp_replace(bare, "[^,:]", "")), F.lit(0))
+
+
+def _own(block: Column) -> Column:
+    n = F.lit(0)
+    for key in ("text", "thinking", "partial_json"):
+        n = n + F.coalesce(F.length(block[key]), F.lit(0))
+    return n + F.when(block["input"].isNotNull(), json_length(block["input"])).otherwise(0)
+
+
+def blocks(content: Column) -> Column:
+    return F.coalesce(_get(content, "$", f"array<{_BLOCK}>"), F.array().cast(f"array<{_BLOCK}>"))
+
+
+def text_length(content: Column) -> Column:
+    """Characters of content that is a string or a list of blocks."""
+    inner = lambda c: F.coalesce(F.length(_string(c)), F.aggregate(blocks(c), F.lit(0), lambda a, b: a + _own(b)))
+    total = F.aggregate(blocks(content), F.lit(0), lambda a, b: a + _own(b) + inner(b["content"]))
+    return F.coalesce(F.length(_string(content)), total, F.lit(0))
+
+
+def _string(v: Column) -> Column:
+    return F.when(F.schema_of_variant(v) == "STRING", _get(v, "$", "string"))
+
+
+def system_text(request: Column) -> Column:
+    """The system prompt: a string, or its blocks' texts joined."""
+    system = _get(request, "$.system", "variant")
+    return F.coalesce(_string(system), F.array_join(F.transform(blocks(system), lambda b: F.coalesce(b["text"], F.lit(""))), ""))
+
+
+def breakpoints(request: Column) -> Column:
+    """Lifetimes of all cache breakpoints: top level, tools, system, messages and one level within."""
+    ttl_map = F.create_map(*[F.lit(x) for kv in TTLS.items() for x in kv])
+
+    def ttl(control: Column) -> Column:
+        return F.coalesce(F.try_element_at(ttl_map, control["ttl"]), F.lit(TTLS["5m"]))
+
+    def of(items: Column) -> Column:
+        return F.transform(F.filter(items, lambda b: b["cache_control"].isNotNull()), lambda b: ttl(b["cache_control"]))
+
+    control = "struct<type:string,ttl:string>"
+    top = F.filter(F.array(_get(request, "$.cache_control", control)), lambda c: c.isNotNull())
+    tools = F.coalesce(_get(request, "$.tools", f"array<struct<cache_control:{control}>>"), F.array().cast(f"array<struct<cache_control:{control}>>"))
+    system = blocks(_get(request, "$.system", "variant"))
+    messages = F.coalesce(_get(request, "$.messages", _MESSAGE), F.array().cast(_MESSAGE))
+    each = F.flatten(F.transform(messages, lambda m: F.concat(of(blocks(m["content"])), F.flatten(F.transform(blocks(m["content"]), lambda b: of(blocks(b["content"])))))))
+    return F.concat(F.transform(top, ttl), of(tools), of(system), each)
+
+
+def extract(df: DataFrame, request: str = "request", gap: str | None = None) -> DataFrame:
+    """Add a features struct computed from the request."""
+    r = F.col(request)
+    tools = F.coalesce(_get(r, "$.tools", _TOOL), F.array().cast(_TOOL))
+    messages = F.coalesce(_get(r, "$.messages", _MESSAGE), F.array().cast(_MESSAGE))
+    last = F.try_element_at(messages, F.lit(-1))
+    body = F.aggregate(messages, F.lit(0), lambda a, m: a + text_length(m["content"]))
+    tool_chars = F.aggregate(tools, F.lit(0), lambda a, t: a + json_length(t))
+    server = F.exists(tools, lambda t: _get(t, "$.type", "variant").isNotNull() | _get(t, "$.input_schema", "variant").isNull())
+    ttls = breakpoints(r)
+    df = df.withColumns({"_sys": text_length(_get(r, "$.system", "variant")), "_body": body, "_tool": tool_chars, "_ttls": ttls})
+    out = F.struct(
+        F.coalesce(_get(r, "$.model", "string"), F.lit("")).alias("model"), (F.size(tools) > 0).alias("has_tools"), F.size(tools).alias("n_tools"),
+        server.alias("has_server_tools"), F.size(messages).alias("n_messages"),
+        F.floor((F.col("_sys") + F.col("_body") + F.col("_tool")) / CHARS_PER_TOKEN).alias("est_prompt_tokens"),
+        F.floor((F.col("_sys") + F.col("_tool")) / CHARS_PER_TOKEN).alias("est_system_tokens"),
+        F.coalesce(_get(r, "$.max_tokens", "bigint"), F.lit(0)).alias("max_tokens"), F.coalesce(_get(r, "$.stream", "boolean"), F.lit(False)).alias("stream"),
+        F.coalesce(F.exists(blocks(last["content"]), lambda b: b["type"] == "tool_result"), F.lit(False)).alias("is_tool_continuation"),
+        (F.col(gap) if gap else F.lit(None)).cast("double").alias("seconds_since_last_call"),
+        F.array_max("_ttls").alias("cloud_cache_ttl_s"), F.size("_ttls").alias("n_cache_breakpoints"),
+    )
+    return df.withColumn("features", out).drop("_sys", "_body", "_tool", "_ttls")
