@@ -6,17 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import exact_dedup, minhash, packing, quality_rules
+from skein.llm import context_mixing, exact_dedup, langid, minhash, mixing, packing, quality_model, quality_rules, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
+        "op2_quality_classifier": quality_model.op2_quality_classifier,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op5_mixing": mixing.op5_mixing,
         "op6_best_fit_packing": packing.op6_best_fit_packing,
         "op7_minhash_near_dedup": minhash.op7_minhash_near_dedup,
+        "op8_lm_score": context_mixing.op8_lm_score,
+        "op9_secret_scan": secrets.op9_secret_scan,
+        "op10_language_id": langid.op10_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.OP1_SQL, "op4_exact_dedup": exact_dedup.OP4_SQL}
+    return {
+        "op1_quality_rules": quality_rules.OP1_SQL,
+        "op4_exact_dedup": exact_dedup.OP4_SQL,
+        "op9_secret_scan": secrets.OP9_SQL,
+    }
