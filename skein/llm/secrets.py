@@ -206,9 +206,13 @@ def _text(spans: Column) -> Column:
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(read(spark, sf_dir, "documents"))
     base = F.filter("found", lambda x: x["k"] < len(BASE))
+
+    def number(i: int) -> Column:
+        return F.size(F.filter("found", lambda x: x["k"] == i)).cast("long")
+
     return found.select(
         "doc_id",
-        *[F.size(F.filter("found", lambda x, i=i: x["k"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE)],
+        *[number(i).alias(f"n_{k}") for i, k in enumerate(BASE)],
         F.sha2(_text(base).cast("binary"), 256).alias("base_sha256"), _text(F.col("found")).alias("spans"),
     )
 
