@@ -7,10 +7,13 @@
 3. Each band of a class is a bucket key. A bucket links its members to its
    smallest member (a star, never all pairs). Candidates pass a signature
    estimate, then the exact sets decide.
-4. Components come from alternating large-star and small-star. A bucket whose
-   members then lie in several components is looked at again: its pairs across
-   components are checked the same way, and components are formed anew. Pairs
-   within a component need no check, since they cannot change it.
+4. Components come from alternating large-star and small-star. Buckets whose
+   members then lie in several components are looked at again: of all pairs of
+   their documents across components, a prefix join over rare shingles lists
+   those that can still reach the threshold (none is lost: two sets above it
+   share a shingle among the first of any one order, early enough in both).
+   They are checked the same way and components are formed anew. Pairs within
+   a component need no check, since they cannot change it.
 
 With 42 bands of 6 rows a pair at similarity 0.8 shares no band with a
 probability below 3e-6; the signature estimate is loose by six deviations.
@@ -144,6 +147,62 @@ def _similar(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return run
 
 
+#: Counters of the sketch that orders shingles by how rare they are.
+SKETCH_BITS = 20
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents per sketch slot of a task."""
+    seen = np.zeros(1 << SKETCH_BITS, np.int64)
+    for b in batches:
+        for s in b.column(0):
+            seen += np.bincount((np.frombuffer(s.as_py(), np.uint64) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(seen))
+    slots = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(seen[slots])], ["slot", "n"])
+
+
+PREFIX = "shingle long, doc_id long, label long, size long, place long"
+
+
+def _prefixes(shared, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The rarest shingles of each set, as many as a similar set cannot all miss; those of no other set are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = shared.value
+        for b in batches:
+            out = []
+            for doc, label, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                x = np.frombuffer(s.as_py(), np.uint64)
+                often = seen[(x >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                order = np.lexsort((x, often))[: len(x) - -(-percent * len(x) // 100) + 1]
+                place = np.flatnonzero(often[order] > 1)
+                k = len(place)
+                out.append((x[order[place]].view(np.int64), np.full(k, doc), np.full(k, label), np.full(k, len(x)), place + 1))
+            cols = [pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out)] or [pa.array([], pa.int64())] * 5
+            yield pa.RecordBatch.from_arrays(cols, ["shingle", "doc_id", "label", "size", "place"])
+
+    return run
+
+
+def across(docs: DataFrame, percent: int) -> DataFrame:
+    """Pairs of (doc_id, label, shingles) with other labels that can reach the threshold, by prefixes and places."""
+    spark = docs.sparkSession
+    tally = docs.select("shingles").mapInArrow(_tally, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # a fixed number of slots
+    seen = np.zeros(1 << SKETCH_BITS, np.int64)
+    seen[tally["slot"].to_numpy(np.int64)] = tally["n"].to_numpy(np.int64)
+    p = docs.select("doc_id", "label", "shingles").mapInArrow(_prefixes(spark.sparkContext.broadcast(seen), percent), PREFIX)
+    p = materialize(p, "prefixes")
+    mixed = p.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("shingle")
+    p = p.join(mixed, "shingle", "left_semi")
+    a, b = (p.select("shingle", *[F.col(c).alias(f"{c}_{n}") for c in ("doc_id", "label", "size", "place")]) for n in "ab")
+    first = F.struct("size_a", "doc_id_a") < F.struct("size_b", "doc_id_b")
+    sizes = 100 * F.col("size_a") >= percent * F.col("size_b")
+    most = 1 + F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
+    enough = (100 + percent) * most >= percent * (F.col("size_a") + F.col("size_b"))
+    pairs = a.join(b, "shingle").where((F.col("label_a") != F.col("label_b")) & first & sizes & enough)
+    return pairs.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
+
+
 def _beside(pairs: DataFrame, side: DataFrame, value: str) -> DataFrame:
     """Pairs (a, b) with the value of both ends."""
     x = side.select(F.col("doc_id").alias("a"), F.col(value).alias("x"))
@@ -201,7 +260,7 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     banded = reps.mapInArrow(_bands, "key long, doc_id long")
     buckets = banded.groupBy("key").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1 AND head IS NOT NULL")
     members = materialize(banded.join(buckets, "key"), "members")
-    pairs = materialize(members.where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
+    pairs = members.where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
 
     near = members.select("doc_id").distinct()
     texts = source.join(near.hint("shuffle_hash"), "doc_id", "left_semi")
@@ -209,19 +268,17 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     links = materialize(confirm(pairs, reps, sets, percent), "links")
     labels = materialize(components(links), "labels")
 
-    # Buckets of three or more whose members lie in several components.
+    # Buckets of three or more whose members lie in several components; a pair alone was checked as a star.
     placed = (
         members.where("n > 2")
         .join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        .select("key", "doc_id", "head", F.coalesce("label", "doc_id").alias("label"))
+        .select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"))
     )
     placed = materialize(placed, "placed")
     split = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    rest = materialize(placed.where("doc_id <> head").join(split, "key", "left_semi"), "rest")
-    x = rest.select("key", F.col("doc_id").alias("a"), F.col("label").alias("la"))
-    y = rest.select("key", F.col("doc_id").alias("b"), F.col("label").alias("lb"))
-    across = x.join(y, "key").where("la < lb").select("a", "b").distinct()
-    more = materialize(confirm(across, reps, sets, percent), "more")
+    rest = placed.join(split, "key", "left_semi").select("doc_id", "label").distinct()
+    rest = materialize(rest.join(sets, "doc_id"), "rest")
+    more = materialize(confirm(across(rest, percent), reps, sets, percent), "more")
     if not more.isEmpty():
         labels = materialize(components(links.unionByName(more)), "labels")
 
