@@ -20,6 +20,7 @@ are packed each; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -33,8 +34,8 @@ from skein.llm.common import materialize, read
 CAPACITY = 2048
 END_ID = 0
 VOCABULARY = "word_bpe_49k.json"
-#: Parts of texts whose ids a task remembers at once.
-REMEMBERED = 200_000
+#: Parts of texts in each of the two generations that a worker remembers.
+REMEMBERED = 300_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -46,30 +47,84 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class PartTokenizer:
-    """Ids of a text as little-endian 32-bit bytes, through the ids of its parts."""
+    """Ids of a text as little-endian 32-bit bytes, through the ids of its parts.
+
+    New parts are encoded together as one text, each followed by a mark that is
+    a token of its own; parts that hold the mark are encoded alone. ASCII
+    punctuation after an ASCII letter or digit is a part of its own, since a
+    token of the vocabulary never joins the two.
+    """
+
+    MARK = "\u2022"
+    TAIL = b".,;:!?#$%&*|"
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch
+        self.tokenizer = Tokenizer.from_file(path)
+        (self.mark,) = self._ids(self.MARK)
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}  # the generation before; what is used again moves on
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _learn(self, new: list[bytes]) -> None:
+        known, mark = self.known, self.MARK.encode()
+        alone = [p for p in new if mark in p]
+        rest = [p for p in new if mark not in p] if alone else new
+        for p in alone:
+            known[p] = np.array(self._ids(p.decode()), "<u4").tobytes()
+        for at in range(0, len(rest), 8192):
+            chunk = rest[at : at + 8192]
+            ids = np.array(self._ids(f" {self.MARK} ".join([c.decode() for c in chunk]) + f" {self.MARK}"), "<u4")
+            ends = np.flatnonzero(ids == self.mark)
+            raw, begin = ids.tobytes(), 0
+            for p, end in zip(chunk, (4 * ends).tolist()):
+                known[p] = raw[begin:end]
+                begin = end + 4
+
+    def learn(self, parts: set[bytes]) -> None:
+        """Remember the ids of parts."""
+        known, split, cores = self.known, [], set()
+        for p in parts:
+            if (was := self.before.get(p)) is not None:
+                known[p] = was
+                continue
+            core = p.rstrip(self.TAIL)
+            if core and len(core) < len(p) and core[-1:].isalnum():  # bytes: ASCII only
+                split.append((p, core, p[len(core) :]))
+                cores.add(core)
+                cores.add(p[len(core) :])
+            else:
+                cores.add(p)
+        self._learn([c for c in cores if c not in known])
+        for p, core, tail in split:
+            known[p] = known[core] + known[tail]
 
     def __call__(self, texts: list[bytes | None]) -> list[bytes]:
-        parts = [t.split() if t else [] for t in texts]
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.before, self.known = self.known, {}
         known = self.known
-        new = [p for p in {p for ps in parts for p in ps} if p not in known]
-        for at in range(0, len(new), 4096):
-            chunk = new[at : at + 4096]
-            for p, e in zip(chunk, self.encode([c.decode() for c in chunk], add_special_tokens=False)):
-                known[p] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([known[p] for p in ps]) for ps in parts]
+        parts = [t.split() if t else [] for t in texts]
+        found = [list(map(known.get, ps)) for ps in parts]
+        holes = [[i for i, f in enumerate(fs) if f is None] for fs in found]
+        self.learn({ps[i] for ps, h in zip(parts, holes) for i in h})
+        for ps, fs, h in zip(parts, found, holes):
+            for i in h:
+                fs[i] = known[ps[i]]
+        return list(map(b"".join, found))
+
+
+@functools.cache
+def part_tokenizer(path: str) -> PartTokenizer:
+    """One per Python worker, so that its memory outlives a task."""
+    return PartTokenizer(path)
 
 
 def _pieces(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = PartTokenizer(path)
+        ids_of = part_tokenizer(path)
         end = np.array([END_ID], "<u4").tobytes()
         step = 4 * capacity
         for whole in batches:
