@@ -244,11 +244,11 @@ def policy_report(spark: SparkSession, d: str) -> DataFrame:
 @query(
     f"""WITH {_DOC}, c AS (SELECT * FROM (VALUES (1024), (4096), (16384)) AS a(cap), (VALUES (NULL), (128)) AS b(clamp), (VALUES (false), (true)) AS t(tools)),
 x AS (SELECT c.*, f.*, CAST(floor(cap * CAST('0.9' AS DOUBLE)) AS BIGINT) AS budget FROM c, f)
-SELECT cap, clamp, tools, CAST(count(*) FILTER (WHERE NOT server AND est + CASE WHEN clamp IS NULL THEN 2048 ELSE greatest(1, least(2048, clamp, greatest(0, budget - est))) END <= budget AND (tools OR NOT has_tools)) AS BIGINT) AS n_local,
+SELECT cap, coalesce(CAST(clamp AS VARCHAR), 'off') AS clamp, tools, CAST(count(*) FILTER (WHERE NOT server AND est + CASE WHEN clamp IS NULL THEN 2048 ELSE greatest(1, least(2048, clamp, greatest(0, budget - est))) END <= budget AND (tools OR NOT has_tools)) AS BIGINT) AS n_local,
   count(*) AS n_calls FROM x GROUP BY 1, 2, 3"""
 )
 def policy_sweep(spark: SparkSession, d: str) -> DataFrame:
-    return replay.sweep(spark, _documents(spark, d), [1024, 4096, 16384], [None, 128]).withColumn("cap", F.col("cap").cast("int"))
+    return replay.sweep(spark, _documents(spark, d), [1024, 4096, 16384], [None, 128]).withColumns({"cap": F.col("cap").cast("int"), "clamp": F.coalesce(F.col("clamp").cast("string"), F.lit("off"))})
 
 
 @query(
@@ -432,11 +432,11 @@ def redact_map(spark: SparkSession, d: str) -> DataFrame:
     return r.select("event_id", F.try_element_at("h", F.lit("x-session")).alias("session"), F.size("h").alias("n_headers"))
 
 
-@query("SELECT * FROM (VALUES ('0,80,120', 3, 200.0::DOUBLE, true), ('5, 5', 2, 10.0, false), ('1,x', NULL, NULL, NULL), ('', NULL, NULL, NULL)) AS t(raw, n, total, all_distinct)")
+@query("SELECT * FROM (VALUES ('0,80,120', 3, 200.0::DOUBLE, true), ('5, 5', 2, 10.0, false), ('1,x', 0, NULL, false), ('', 0, NULL, false)) AS t(raw, n, total, all_distinct)")
 def comma_list_parse(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.createDataFrame([("0,80,120",), ("5, 5",), ("1,x",), ("",)], "raw string").withColumn("x", text.comma_numbers(F.col("raw")))
-    n = F.when(F.col("x").isNotNull(), F.size("x"))
-    return rows.select("raw", n.alias("n"), F.aggregate("x", F.lit(0.0), lambda a, b: a + b).alias("total"), text.all_distinct(F.col("x")).alias("all_distinct"))
+    n = F.when(F.col("x").isNotNull(), F.size("x")).otherwise(0)
+    return rows.select("raw", n.alias("n"), F.aggregate("x", F.lit(0.0), lambda a, b: a + b).alias("total"), F.coalesce(text.all_distinct(F.col("x")), F.lit(False)).alias("all_distinct"))
 
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1")
