@@ -41,7 +41,7 @@ def first_positive(*xs: Column) -> Column:
 
 def comma_numbers(text: Column, kind: str = "double") -> Column:
     """Numbers of a comma list; null where one of them is not a number or the list is empty."""
-    parts = F.filter(F.transform(F.split(text, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: p != "")
     numbers = F.transform(parts, lambda p: p.try_cast(kind))
     return F.when((F.size(parts) > 0) & ~F.exists(numbers, lambda n: n.isNull()), numbers)
 
