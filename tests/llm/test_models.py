@@ -170,37 +170,36 @@ def test_language_model_base_and_order(spark, make, monkeypatch):
     assert c.score(make([]), model).count() == 0
 
 
+def model_of(words):
+    """A model whose tables count these words."""
+    tokens = [w + b" " for w in words] + [c.END]
+    code = c.Code.of(np.bincount(np.frombuffer(b"".join(tokens), np.uint8), minlength=256))
+    slots, bit, _ = c.decisions(tokens, code)
+    tables = [np.bincount(s.astype(np.int64) * 2 + bit, minlength=2 << bits).reshape(-1, 2) for s, bits in zip(slots, c.SLOT_BITS)]
+    return c.MixModel.of(code, tables)
+
+
 def test_decisions_are_a_probability():
-    """Over all bytes that may come next, the chances of one step sum to one."""
-    texts = [b"the theme\0", b"then the\0", b"a thaw\0"] * 20
-    code = c.Code.of(np.bincount(np.frombuffer(b"".join(texts), np.uint8), minlength=256))
-    zeros, ones = np.zeros((c.CONTEXTS, c.SLOTS)), np.zeros((c.CONTEXTS, c.SLOTS))
-    slots, bit, _ = c.decisions(texts, code)
-    for k in range(c.CONTEXTS):
-        np.add.at(ones[k], slots[k][bit == 1], 1)
-        np.add.at(zeros[k], slots[k][bit == 0], 1)
-    model = c.MixModel.of(code, zeros, ones)
-    before = 10 ** model.logs([b"th"])[0]
-    after = sum(10**x for x in model.logs([b"th" + bytes([s]) for s in range(256)]))
-    assert math.isclose(before, after, rel_tol=1e-4)
-    one, = model.logs([b"the then\0"])
-    assert model.logs([b"x", b"the then\0"])[1] == one  # neighbours in a batch change nothing
+    """Over all bytes that may come next in a word, the chances sum to the chance so far."""
+    model = model_of([b"the", b"theme", b"then", b"a", b"thaw"] * 20)
+    for so_far in (b"th", b"zq", b"the"):
+        before = 10 ** model.logs([np.array([0])], [so_far])[0]
+        after = sum(10 ** model.logs([np.array([0])], [so_far + bytes([s])])[0] for s in range(256))
+        assert math.isclose(before, after, rel_tol=1e-4)
+    one, = model.logs([np.array([0, 1])], [b"the ", c.END])
+    assert model.logs([np.array([2]), np.array([0, 1])], [b"the ", c.END, b"x "])[1] == one  # neighbours in a batch change nothing
 
 
 def test_weights_are_refined():
     rng = random.Random(0)
-    text = (prose(rng, ENGLISH, 3000) + "\0").encode()
-    code = c.Code.of(np.bincount(np.frombuffer(text, np.uint8), minlength=256))
-    slots, bit, _ = c.decisions([text], code)
-    tables = [np.zeros((c.CONTEXTS, c.SLOTS)) for _ in range(2)]
-    for k in range(c.CONTEXTS):
-        for b in (0, 1):
-            np.add.at(tables[b][k], slots[k][bit == b], 1)
-    model = c.MixModel.of(code, *tables)
-    refined = model.logs([text])[0]
+    words = prose(rng, ENGLISH, 3000).encode().split()
+    model = model_of(words)
+    place = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    doc, tokens = np.array([place[w] for w in words]), [w + b" " for w in place]
+    refined = model.logs([doc], tokens)[0]
     step, c.STEP = c.STEP, 0.0
     try:
-        fixed = model.logs([text])[0]
+        fixed = model.logs([doc], tokens)[0]
     finally:
         c.STEP = step
     assert refined > fixed
