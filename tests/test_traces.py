@@ -134,3 +134,47 @@ def test_online_link(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.sql("SELECT rtt_ewma, jitter_ewma, n_samples FROM link ORDER BY ts").collect()] == [(10.0, 0.0, 1), (12.0, 2.0, 2)]
+
+
+def test_local_rewrite(spark):
+    from skein.operators import requests
+
+    rows = [
+        ("local", {"model": "big", "max_tokens": 64000, "temperature": 0.7, "tools": [{"name": "a", "input_schema": {"type": "object"}}, {"name": "b", "input_schema": {}, "strict": True}, {"name": "c", "type": "web"}]}),
+        ("cloud", {"model": "big", "max_tokens": 5, "tools": [{"name": "a", "input_schema": {}}]}), ("local", {"model": "small", "max_tokens": 100}),
+    ]
+    df = spark.createDataFrame([(i, p, json.dumps(r)) for i, (p, r) in enumerate(rows)], "id int, placement string, r string")
+    df = df.select("id", "placement", F.parse_json("r").alias("request"), F.struct(F.lit(10).alias("est_prompt_tokens"), F.try_variant_get(F.parse_json("r"), "$.max_tokens", "bigint").alias("max_tokens")).alias("features"))
+    a, b, c = requests.rewrite_local(df, policies.build("static"), "small").orderBy("id").collect()
+    assert (a["local_temperature"], a["original_temperature"], a["strict_tools_added"], a["original_model"], a["local_max_tokens"], a["clamped_max_tokens"]) == (0, 0.7, 1, "big", 4096, 4096)
+    assert [json.loads(t).get("strict") for t in a["local_tools"]] == [True, True, None] and json.loads(a["local_tools"][0])["input_schema"] == {"type": "object"}
+    assert b["local_temperature"] is None and b["strict_tools_added"] is None
+    assert (c["original_model"], c["clamped_max_tokens"], c["local_max_tokens"]) == (None, None, 100)
+    u = spark.createDataFrame([('{"usage":{"a":1}}',), ('{"usage":3}',), ("[]",)], "t string").select(F.to_json(requests.usage_of(F.parse_json("t"))), requests.request_bytes(F.parse_json("t"))).collect()
+    assert [tuple(r) for r in u] == [('{"a":1}', 17), ("{}", 11), ("{}", 2)]
+
+
+def test_small_request_facts(spark):
+    from skein.operators import requests
+    from skein.operators.experiments import PRESETS
+
+    r = spark.createDataFrame([("cellular", None, 0.0, None), ("none", 7.0, None, None)], "p string, d double, j double, m double")
+    got = [tuple(x[0]) for x in r.select(requests.resolve_link(F.col("p"), PRESETS, F.col("d"), F.col("j"), F.col("m"))).collect()]
+    assert got == [(80.0, 0.0, 5.0), (7.0, 0.0, 0.0)]
+    lines = [("a", 1.0, 1.1, ": ping"), ("a", 1.0, 1.2, 'data: {"choices":[{"text":""}]}'), ("a", 1.0, 1.5, 'data: {"choices":[{"text":"","token_ids":[4]}]}'), ("a", 1.0, 1.7, 'data: {"choices":[{"text":"x"}]}'), ("b", 1.0, 2.0, "data: [DONE]")]
+    t = {x["call"]: x["ttft_ms"] for x in requests.first_token_ms(spark.createDataFrame(lines, "call string, t0 double, ts double, line string"), "call", "t0", "ts", "line").collect()}
+    assert t["a"] == 500.0 and t["b"] is None
+    s = requests.token_streams(spark, 3, 200, 1).collect()
+    assert all(x["target"] != x["warm"] and 0 <= x[c] < 3 for x in s for c in ("prefix", "warm", "target", "unrelated")) and s[0]["unrelated"] != s[0]["target"]
+    text = spark.createDataFrame([("timestamp    20260101T000000Z",), ("model        m",), ("max_model_len 32768  gpu_mem_util 0.90  kv_dtype auto",), ("GPU KV cache size: 115,872 tokens",)], "value string")
+    assert tuple(requests.provenance(text).first()) == ("20260101T000000Z", "m", 32768, 0.9, "auto", 115872)
+
+
+def test_daily_stream(spark, tmp_path):
+    schema = "id string, ts double"
+    spark.createDataFrame([("a", 0.0), ("b", 86400.0), ("c", None)], schema).write.json(str(tmp_path / "in"))
+    q = state.write_daily_stream(state.tail_records(spark, str(tmp_path / "in"), schema), str(tmp_path / "out"), str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    days = {(str(r["day"]), r["id"]) for r in spark.read.json(str(tmp_path / "out")).collect()}
+    assert days == {("1970-01-01", "a"), ("1970-01-02", "b"), ("1970-01-01", "c")}
