@@ -5,15 +5,13 @@ and returns a DataFrame; run() writes what it returns to the shared folder and
 reads it back as the next stage's docs. All but the last stage return the
 columns of documents.
 
-Rows that a stage drops are named by id and taken out with an anti join, so
-that the ids, not the texts, decide; a row without doc_id is kept by the filter
-stage and stays unless its copy with a number does.
+The filter and the mixing judge rows where they lie. Duplicates are named by id
+and taken out with an anti join; a row without doc_id has no name and stays.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from skein.llm import exact_dedup, minhash, mixing, packing, quality_model
 from skein.llm.common import materialize, read
@@ -21,30 +19,30 @@ from skein.llm.common import materialize, read
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _without(docs: DataFrame, judged: DataFrame, verdict: str) -> DataFrame:
+def _without(docs: DataFrame, judged: DataFrame) -> DataFrame:
     """Documents whose id no row of judged rejects."""
-    gone = judged.where(~F.col(verdict)).select("doc_id").distinct()
+    gone = judged.where("NOT kept").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
-    return _without(docs, quality_model.classify(docs, read(spark, sf_dir, "labels")), "kept")
+    return quality_model.keep(docs, read(spark, sf_dir, "labels"), COLUMNS)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the smallest doc_id stays."""
-    return _without(docs, exact_dedup.dedup(docs), "kept")
+    return _without(docs, exact_dedup.dedup(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five words, 0.8) the smallest doc_id stays."""
-    return _without(docs, minhash.near_dedup(docs, k=5, percent=80), "kept")
+    return _without(docs, minhash.near_dedup(docs, k=5, percent=80))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are sampled towards the raked weights."""
-    return _without(docs, mixing.mix(docs), "selected")
+    return mixing.sample(docs, COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -147,35 +147,57 @@ def _rake_frame(cells: DataFrame, targets: Targets, dims: tuple[str, ...]) -> Da
     return w.select(*dims, F.col("w").alias("weight"), F.least(F.lit(1.0), F.when(full, 1.0).otherwise(F.col("w") * rate / F.col("mass"))).alias("probability"))
 
 
-def mix(docs: DataFrame, targets: Targets | None = None, topic_col: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, cell, n_tokens, weight (raked share of the cell), probability and selected of every row."""
-    spark, targets = docs.sparkSession, targets or Targets()
-    named = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("source"),
-        F.coalesce(F.col("lang").cast("string"), F.lit("\0")).alias("lang"),
-        (F.coalesce(F.col(topic_col).cast("string"), F.lit("\0")) if topic_col else topic(F.col(text_col))).alias("topic"), tokens(F.col(text_col)).alias("n_tokens"),
-    )
-    named = materialize(named, "named")
-    cells = materialize(named.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").cast("double").alias("mass")), "cells")
+def _with_cell(docs: DataFrame, topic_col: str | None, text_col: str) -> DataFrame:
+    """Add the cell (null groups named so that no value is) and n_tokens."""
+    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0"))
+    cell = {"_source": named("source"), "_lang": named("lang"), "_topic": named(topic_col) if topic_col else topic(F.col(text_col))}
+    return docs.withColumns({**cell, "n_tokens": tokens(F.col(text_col))})
+
+
+def cell_rates(rows: DataFrame, targets: Targets) -> tuple[DataFrame, int]:
+    """Per cell of rows (cell, n_tokens) its raked weight and probability, and the number of cells."""
+    own = [F.col(f"_{d}").alias(d) for d in DIMENSIONS]
+    cells = materialize(rows.groupBy(*own).agg(F.sum("n_tokens").cast("double").alias("mass")), "cells")
     n = cells.count()
     if n <= MAX_CELLS:
-        rows = cells.orderBy(*DIMENSIONS).collect()  # at most MAX_CELLS rows
-        names = [tuple(r[d] for d in DIMENSIONS) for r in rows]
-        mass = np.array([r["mass"] for r in rows], float)
-        share = rake(names, mass, targets) if rows else mass
-        p = rates(share, mass, targets.sample) if rows else mass
+        got = cells.orderBy(*DIMENSIONS).collect()  # at most MAX_CELLS rows
+        names = [tuple(r[d] for d in DIMENSIONS) for r in got]
+        mass = np.array([r["mass"] for r in got], float)
+        share = rake(names, mass, targets) if got else mass
+        p = rates(share, mass, targets.sample) if got else mass
         p = np.where(mass > 0, p, targets.sample)  # cells without tokens
         table = [(*c, float(s), float(x)) for c, s, x in zip(names, share, p)]
-        dim = spark.createDataFrame(table, "source string, lang string, topic string, weight double, probability double")
+        dim = rows.sparkSession.createDataFrame(table, "source string, lang string, topic string, weight double, probability double")
     else:
         dim = _rake_frame(cells.where("mass > 0"), targets, DIMENSIONS).unionByName(
             cells.where("mass = 0").select(*DIMENSIONS, F.lit(0.0).alias("weight"), F.lit(targets.sample).alias("probability"))
         )
         dim = materialize(dim, "rates")
-    out = join_dim(named, dim, list(DIMENSIONS), "doc_id", n)
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    back = lambda c: F.when(F.col(c) != "\0", F.col(c)).alias(c)
-    return out.select("doc_id", back("source"), back("lang"), back("topic"), "n_tokens", "weight", "probability", (draw < F.col("probability")).alias("selected"))
+    return dim.select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], "weight", "probability"), n
+
+
+def draw(rows: DataFrame, dim: DataFrame, n_cells: int) -> DataFrame:
+    """Add weight, probability and selected to rows with doc_id and cell."""
+    out = join_dim(rows, dim, [f"_{d}" for d in DIMENSIONS], "doc_id", n_cells)
+    chance = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    return out.withColumn("selected", chance < F.col("probability"))
+
+
+def mix(docs: DataFrame, targets: Targets | None = None, topic_col: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, cell, n_tokens, weight (raked share of the cell), probability and selected of every row."""
+    source = docs.withColumn("doc_id", F.col(id_col).cast("long"))
+    rows = _with_cell(source.select("doc_id", "source", "lang", text_col, *([topic_col] if topic_col else [])), topic_col, text_col)
+    rows = materialize(rows.select("doc_id", *[f"_{d}" for d in DIMENSIONS], "n_tokens"), "cells_of_rows")
+    out = draw(rows, *cell_rates(rows, targets or Targets()))
+    back = lambda d: F.when(F.col(f"_{d}") != "\0", F.col(f"_{d}")).alias(d)
+    return out.select("doc_id", *[back(d) for d in DIMENSIONS], "n_tokens", "weight", "probability", "selected")
+
+
+def sample(docs: DataFrame, columns: list[str], targets: Targets | None = None) -> DataFrame:
+    """The rows that mix() selects, with the named columns. Cells are found again where the texts lie, not shuffled."""
+    rows = _with_cell(docs.select(*columns), None, "text")
+    found = draw(rows, *cell_rates(rows.select(*[f"_{d}" for d in DIMENSIONS], "n_tokens"), targets or Targets()))
+    return found.where("selected").select(*columns)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

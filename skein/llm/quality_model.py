@@ -23,6 +23,7 @@ count each; other columns are ignored.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,13 +65,14 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "repeats": 1 - F.size(F.array_distinct("_w")) / n,
         "length": F.size("_w").cast("double"),
     }
+    two = one.withColumns({f"_v_{name}": v for name, v in values.items()})
     out = {}
     for name, bounds in BINS.items():
         number = F.lit(len(bounds))
         for i in reversed(range(len(bounds))):
-            number = F.when(values[name] < bounds[i], i).otherwise(number)
+            number = F.when(F.col(f"_v_{name}") < bounds[i], i).otherwise(number)
         out[f"b_{name}"] = number
-    return one.withColumns(out).drop("_w", "_symbols", "_capitals", "_bangs", "_chars")
+    return two.withColumns(out).drop("_w", "_symbols", "_capitals", "_bangs", "_chars", *[f"_v_{name}" for name in values])
 
 
 def weights(measured: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> tuple[float, dict[str, list[float]]]:
@@ -115,21 +117,34 @@ def _strength(groups: DataFrame, k: str, n: str, prior: Column) -> float:
     return float(min(10_000.0, max(2.0, 1 / extra - 1))) if extra > 0 else 10_000.0
 
 
-def classify(
-    docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col: str = "lang", threshold: float = THRESHOLD,
-    id_col: str = "doc_id", text_col: str = "text",
-) -> DataFrame:
-    """doc_id, evidence, host_rate, path_rate, posterior and kept of every row."""
-    source = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path")
-    )
-    measured = materialize(measure(source).drop("text"), "measured")
-    rate, llr = weights(measured, labels)
-    evidence = F.lit(0.0)
+@dataclass
+class SiteModel:
+    """What is learned: bin weights, the global rate, and a row per (host, path) with its shrunk rates."""
+
+    llr: dict[str, list[float]]
+    rate: float
+    base: float
+    sites: DataFrame
+    n_sites: int
+
+
+def _evidence(llr: dict[str, list[float]]) -> Column:
+    """Log-odds of the bins. Measurements overlap, so their ratios are added at a discount."""
+    total = F.lit(0.0)
     for name, w in llr.items():
-        evidence = evidence + F.element_at(F.array(*[F.lit(x) for x in w]), F.col(f"b_{name}") + 1)
-    # Measurements overlap, so their ratios are added at a discount.
-    scored = measured.select("doc_id", "host", "path", (0.7 * evidence).alias("evidence"))
+        total = total + F.element_at(F.array(*[F.lit(x) for x in w]), F.col(f"b_{name}") + 1)
+    return 0.7 * total
+
+
+def _site(host: str, path: str) -> Column:
+    """One key for a host and path; null groups get a key that no value has."""
+    return F.to_json(F.struct(F.col(host).alias("h"), F.col(path).alias("p")))
+
+
+def fit(measured: DataFrame, labels: DataFrame) -> SiteModel:
+    """Learn from measured rows (doc_id, host, path and bins), a written table."""
+    rate, llr = weights(measured, labels)
+    scored = measured.select("host", "path", _evidence(llr).alias("evidence"))
     own = 1 / (1 + F.exp(-(F.col("evidence") + math.log(rate / (1 - rate)))))
     paths = materialize(scored.groupBy("host", "path").agg(F.sum(own).alias("k"), F.count("*").cast("double").alias("n")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("k").alias("hk"), F.sum("n").alias("hn"))
@@ -140,19 +155,40 @@ def classify(
     same = F.col("h.host").eqNullSafe(F.col("p.host"))
     nested = materialize(paths.alias("p").join(hosts.alias("h"), same).select("p.host", "p.path", "k", "n", "host_rate"), "nested")
     m = _strength(nested, "k", "n", F.col("host_rate"))
-    sites = nested.select(
-        F.col("host").alias("_h"), F.col("path").alias("_p"), "host_rate", ((F.col("k") + m * F.col("host_rate")) / (F.col("n") + m)).alias("path_rate")
+    path_rate = (F.col("k") + m * F.col("host_rate")) / (F.col("n") + m)
+    sites = nested.select(_site("host", "path").alias("_site"), "host_rate", path_rate.alias("path_rate"))
+    return SiteModel(llr, rate, base, sites, nested.count())
+
+
+def apply(df: DataFrame, model: SiteModel) -> DataFrame:
+    """Add evidence, host_rate, path_rate and posterior to rows with doc_id, host, path and bins."""
+    keyed = df.withColumns({"evidence": _evidence(model.llr), "_site": _site("host", "path")})
+    out = join_dim(keyed, model.sites, ["_site"], "doc_id", model.n_sites)
+    prior = math.log(model.base / (1 - model.base))
+    site = F.least(F.greatest(_logit(F.col("path_rate")) - prior, F.lit(-SITE_LIMIT)), F.lit(SITE_LIMIT))
+    return out.withColumn("posterior", 1 / (1 + F.exp(-(prior + site + F.col("evidence"))))).drop("_site")
+
+
+def classify(
+    docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col: str = "lang", threshold: float = THRESHOLD,
+    id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """doc_id, evidence, host_rate, path_rate, posterior and kept of every row."""
+    source = docs.select(
+        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path")
     )
-    # Null groups are keyed by a pair that no value has.
-    key = lambda h, p: F.to_json(F.struct(F.col(h).alias("h"), F.col(p).alias("p")))
-    sites = sites.withColumn("_site", key("_h", "_p")).drop("_h", "_p")
-    out = join_dim(scored.withColumn("_site", key("host", "path")), sites, ["_site"], "doc_id", nested.count())
-    site = F.least(F.greatest(_logit(F.col("path_rate")) - math.log(base / (1 - base)), F.lit(-SITE_LIMIT)), F.lit(SITE_LIMIT))
-    logit = math.log(base / (1 - base)) + site + F.col("evidence")
-    return out.withColumn("posterior", 1 / (1 + F.exp(-logit))).select(
+    measured = materialize(measure(source).drop("text"), "measured")
+    return apply(measured, fit(measured, labels)).select(
         "doc_id", "evidence", "host_rate", "path_rate", "posterior", (F.col("posterior") >= threshold).alias("kept")
     )
 
 
+def keep(docs: DataFrame, labels: DataFrame, columns: list[str], threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that classify() keeps, with the named columns. Texts are measured again where they lie, not shuffled."""
+    source = docs.select(*columns).withColumns({"host": F.col("source").cast("string"), "path": F.col("lang").cast("string")})
+    measured = materialize(measure(source.select("doc_id", "text", "host", "path")).drop("text"), "measured")
+    return apply(measure(source), fit(measured, labels)).where(F.col("posterior") >= threshold).select(*columns)
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
