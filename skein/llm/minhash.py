@@ -187,9 +187,9 @@ def _prefixes(shared, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
 def across(docs: DataFrame, percent: int) -> DataFrame:
     """Pairs of (doc_id, label, shingles) with other labels that can reach the threshold, by prefixes and places."""
     spark = docs.sparkSession
-    tally = docs.select("shingles").mapInArrow(_tally, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # a fixed number of slots
+    tally = docs.select("shingles").mapInArrow(_tally, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # a fixed number of slots
     seen = np.zeros(1 << SKETCH_BITS, np.int64)
-    seen[tally["slot"].to_numpy(np.int64)] = tally["n"].to_numpy(np.int64)
+    seen[tally["slot"].to_numpy()] = tally["n"].to_numpy()
     p = docs.select("doc_id", "label", "shingles").mapInArrow(_prefixes(spark.sparkContext.broadcast(seen), percent), PREFIX)
     p = materialize(p, "prefixes")
     mixed = p.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("shingle")
