@@ -205,3 +205,16 @@ def test_weights_are_refined():
     finally:
         c.STEP = step
     assert refined > fixed
+
+
+def test_the_order_of_words_changes_the_score(make):
+    """Words that always came in one order score better so than in another; before, within a block, all orders scored alike."""
+    rng = random.Random(2)
+    follows = {w: x for w, x in zip(["kat", "hond", "vis", "geit"], ["zit", "blaft", "loert", "mekt"])}
+    train = [" ".join(f"{w} {follows[w]}" for w in rng.choices(list(follows), k=40)) for _ in range(200)]
+    model = c.fit(make(list(enumerate(train))).select("text"))
+    pairs = rng.choices(list(follows), k=20)
+    usual = " ".join(f"{w} {follows[w]}" for w in pairs)
+    mixed = " ".join([*pairs, *[follows[w] for w in pairs]])
+    got = {r["doc_id"]: r["score"] for r in c.score(make([(1, usual), (2, mixed)]), model).collect()}
+    assert got[1] > got[2] + 5
