@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -27,11 +27,12 @@ def cache_temperature(gap: Column, ttl: Column) -> Column:
     return F.when(ttl.isNull(), "uncached").when(gap.isNull(), "first").when(gap <= ttl, "warm").otherwise("cold")
 
 
-def running_ewma(df: DataFrame, key: str, ts: str, value: str, alpha: float = 0.2) -> DataFrame:
+def running_ewma(df: DataFrame, key: str, ts: str, value: str, alpha: float = 0.2, order: Sequence[str] = ()) -> DataFrame:
     """Each row with the estimate after it: rtt, jitter, n and seconds since the last sample.
 
     The rows of a key are sorted within their partition and read in batches
-    with one state carried along, so a key may be longer than memory.
+    with one state carried along, so a key may be longer than memory. Rows of
+    equal time are read by the columns of order.
     """
     schema = df.schema
     names = df.columns
@@ -55,7 +56,7 @@ def running_ewma(df: DataFrame, key: str, ts: str, value: str, alpha: float = 0.
             yield pd.concat([pdf, est], axis=1)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    sorted_rows = df.repartition(F.col(key)).sortWithinPartitions(key, ts)
+    sorted_rows = df.repartition(F.col(key)).sortWithinPartitions(key, ts, *order)
     return sorted_rows.mapInPandas(run, f"{fields}, rtt_ewma double, jitter_ewma double, n_samples long, staleness_s double")
 
 

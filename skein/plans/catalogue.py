@@ -183,9 +183,11 @@ r AS (SELECT event_id, user_id, i, x AS rtt, CAST(0 AS DOUBLE) AS jitter FROM o
 
 @query(f"WITH {_EWMA} SELECT user_id, max_by(rtt, i) AS rtt_ewma, max_by(jitter, i) AS jitter_ewma, count(*) AS n_samples FROM r GROUP BY 1")
 def link_ewma(spark: SparkSession, d: str) -> DataFrame:
-    w = _events(spark, d).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("s", "event_id", "value"))).alias("x"))
-    e = w.withColumn("e", stats.ewma(F.transform("x", lambda v: v["value"])))
-    return e.select("user_id", F.col("e.rtt").alias("rtt_ewma"), F.col("e.jitter").alias("jitter_ewma"), F.col("e.n").alias("n_samples"))
+    # Rows without a user are one group, named by a flag, since Python reads a null number as NaN.
+    e = _events(spark, d).select("user_id", "s", "event_id", "value").withColumn("who", F.concat(F.col("user_id").isNull().cast("string"), F.coalesce(F.col("user_id").cast("string"), F.lit(""))))
+    run = windows.running_ewma(e, "who", "s", "value", order=["event_id", "value"])
+    last = F.max_by(F.struct("rtt_ewma", "jitter_ewma", "n_samples"), F.struct("s", "event_id", "n_samples"))
+    return run.groupBy("user_id").agg(last.alias("e")).select("user_id", "e.rtt_ewma", "e.jitter_ewma", "e.n_samples")
 
 
 @query(f"WITH {_EWMA} SELECT event_id, rtt AS rtt_ewma, jitter AS jitter_ewma, CAST(i AS BIGINT) AS n_samples FROM r")

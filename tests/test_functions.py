@@ -121,3 +121,24 @@ def test_comma_and_units(spark):
     assert [r[0] for r in df.collect()] == [[1.0, 2.0], None, None]
     assert one(spark.range(1).select(experiments.floor_to_unit(F.lit(1000), F.lit(0.5), F.lit(16))))[0] == 496
     assert one(spark.range(1).select(timing.transmission_ms(F.lit(100_000), F.lit(5.0)), timing.shaped_wait_ms(F.lit(10), F.lit(0.0), F.lit(9.0), F.lit(0.0))))[:] == (160.0, 0.0)
+
+
+def test_link_ewma_streams_each_user(spark, tmp_path, capsys):
+    """No array of a whole user is built, and ties, missing users and missing values count as in a fold."""
+    from skein.plans import catalogue
+
+    rows = [(i, (None, 1, 2)[i % 3], i // 7, None if i % 11 == 0 else float(i * 37 % 101)) for i in range(300)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, t int, value double")
+    events.selectExpr("event_id", "user_id", "CAST(timestamp_seconds(t) AS TIMESTAMP_NTZ) AS ts", "value", "'{}' AS props").write.parquet(f"{tmp_path}/events.parquet")
+    df = catalogue.link_ewma(spark, str(tmp_path))
+    df.explain()
+    assert "collect_list" not in capsys.readouterr().out
+    got = {r["user_id"]: tuple(r)[1:] for r in df.collect()}
+    for user in (None, 1, 2):
+        rtt, jitter, n = None, None, 0
+        for _, u, _, x in rows:
+            if u == user and x is not None:
+                rtt, jitter = (x, 0.0) if rtt is None else (rtt + 0.2 * (x - rtt), jitter + 0.2 * (abs(x - rtt) - jitter))
+                n += 1
+        assert got[user] == pytest.approx((rtt, jitter, n))
+    assert len(got) == 3
