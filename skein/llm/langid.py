@@ -1,14 +1,16 @@
 """Language ID with language-bitmask n-gram filters.
 
-The model is one bit-sliced Bloom filter: an array of 64-bit masks, one bit per
-language. An n-gram reads two places; the AND of the masks there is the set of
+The model is one bit-sliced Bloom filter: masks of as many 64-bit words as the
+languages need, one bit per language. An n-gram reads two places; the AND of the masks there is the set of
 languages that contain it, all at once. A document sums the bits per language,
 takes away the hits that the filter's own false positives would give, and the
 language with most hits left decides.
 
-Learning takes at most MAX_FIT_ROWS labelled rows (chosen by a hash of the id,
-whatever the size of the table) and keeps the GRAMS_PER_LANGUAGE commonest
-n-grams of each of at most 64 languages, so the model has a fixed size.
+Learning takes at most about MAX_FIT_ROWS labelled rows of each language (chosen
+by a hash of the id, whatever the size of the table; a rarer language keeps all)
+and keeps the GRAMS_PER_LANGUAGE commonest n-grams of each. N-grams of one
+document only are left out, save for languages with fewer than FEW documents.
+The model grows with the number of languages (16 MB for each 64), not with rows.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; a
 text with letters but no known n-gram gets the commonest language with score
@@ -28,10 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import bounded, fold, materialize, read
+from skein.llm.common import fold, materialize, read
 
 MAX_FIT_ROWS = 20_000
 GRAMS_PER_LANGUAGE = 30_000
+FEW = 50
 N = 4
 SLOTS = 1 << 21
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
@@ -62,36 +65,41 @@ def places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class LanguageFilters:
     languages: list[str]
+    #: Per slot as many 64-bit words as the languages need.
     masks: np.ndarray
     #: Chance per language that an n-gram it lacks still reads as its own.
     false_rate: np.ndarray
+    commonest: str = ""
 
     @classmethod
-    def build(cls, by_language: dict[str, np.ndarray]) -> LanguageFilters:
-        names = sorted(by_language)[:64]
-        masks = np.zeros(SLOTS, np.uint64)
+    def build(cls, by_language: dict[str, np.ndarray], commonest: str = "") -> LanguageFilters:
+        names = sorted(by_language)
+        masks = np.zeros((SLOTS, max(1, -(-len(names) // 64))), np.uint64)
         rate = np.zeros(len(names))
         for i, name in enumerate(names):
+            own, bit = masks[:, i // 64], np.uint64(i % 64)
             for at in places(by_language[name]):
-                masks[at] |= np.uint64(1 << i)  # the same bit, so repeats of a slot are harmless
-            rate[i] = float(((masks >> np.uint64(i)) & np.uint64(1)).mean()) ** 2
-        return cls(names, masks, rate)
+                own[at] |= np.uint64(1) << bit  # the same bit, so repeats of a slot are harmless
+            rate[i] = float(((own >> bit) & np.uint64(1)).mean()) ** 2
+        return cls(names, masks, rate, commonest or (names[0] if names else ""))
 
     def hits(self, h: np.ndarray) -> np.ndarray:
         """Per language, n-grams found less those that chance would find."""
         a, b = places(h)
         found = self.masks[a] & self.masks[b]
         n = len(h)
-        bits = np.array([np.count_nonzero(found & np.uint64(1 << i)) for i in range(len(self.languages))], float)
+        bits = np.array([np.count_nonzero(found[:, i // 64] & np.uint64(1 << i % 64)) for i in range(len(self.languages))], float)
         return np.maximum(0, (bits - n * self.false_rate) / (1 - self.false_rate))
 
     def decide(self, text: str | None) -> tuple[str, float]:
         if not text or not self.languages or not _LETTER.search(text):
             return "und", 0.0
         n = self.hits(grams(text))
-        best = int(n.argmax())
         total = float(n.sum())
-        return self.languages[best], float(n[best]) / total if total > 0 else 0.0
+        if total <= 0:
+            return self.commonest, 0.0
+        best = int(n.argmax())
+        return self.languages[best], float(n[best]) / total
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,22 +122,29 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(labelled: DataFrame, max_rows: int = MAX_FIT_ROWS) -> LanguageFilters:
-    """Learn from rows (doc_id, text, lang) with text and lang."""
-    rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = bounded(rows, max_rows).select("text", "lang").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where("n > 1")
-    counts = materialize(counts, "grams")
-    # At most 64 languages of GRAMS_PER_LANGUAGE n-grams come to the driver.
-    names = [r["lang"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(64).collect()]
+    """Learn from rows (doc_id, text, lang) with text and lang, about max_rows of each language at most."""
+    rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    size = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
+    if not size:
+        return LanguageFilters.build({})
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(97)), F.lit(1_000_000))
+    large = [(name, int(1_000_000 * max_rows / n)) for name, n in size.items() if n > max_rows]
+    if large:
+        bounds = rows.sparkSession.createDataFrame(large, "lang string, bound long")
+        rows = rows.join(F.broadcast(bounds), "lang", "left").where(F.col("bound").isNull() | (draw < F.col("bound")))
+    small = [name for name, n in size.items() if n < FEW]
+    counts = rows.select("text", "lang").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = materialize(counts.where((F.col("n") > 1) | F.col("lang").isin(small)), "grams")
     best: dict[str, np.ndarray] = {}
-    for name in names:
+    for name in size:  # GRAMS_PER_LANGUAGE n-grams at a time come to the driver
         top = counts.where(F.col("lang") == name).orderBy(F.desc("n"), "gram").limit(GRAMS_PER_LANGUAGE).select("gram").toPandas()
         best[name] = top["gram"].to_numpy(np.int64).view(np.uint64)
-    return LanguageFilters.build(best)
+    return LanguageFilters.build(best, min(size, key=lambda name: (-size[name], name)))
 
 
 def identify(docs: DataFrame, model: LanguageFilters) -> DataFrame:
     """doc_id, lang_pred and score of every row (doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS masks, whatever the corpus
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS masks, whatever the number of rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decide = shared.value.decide

@@ -218,3 +218,18 @@ def test_the_order_of_words_changes_the_score(make):
     mixed = " ".join([*pairs, *[follows[w] for w in pairs]])
     got = {r["doc_id"]: r["score"] for r in c.score(make([(1, usual), (2, mixed)]), model).collect()}
     assert got[1] > got[2] + 5
+
+
+def test_every_language_is_known(make):
+    """More than 64 languages, and rare ones beside a common one, keep their names."""
+    rng = random.Random(4)
+    letters = {f"l{i:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(8)] for i in range(70)}
+    rows = [(i, prose(rng, letters[name], 40), name) for i, name in enumerate([*letters, *letters])]
+    rows += [(1000 + i, prose(rng, letters["l69"], 40), "l69") for i in range(300)]
+    rows.append((5000, "ωψχ φυτ σρπ ωψχφ", "once"))
+    model = langid.fit(make(rows), max_rows=60)
+    assert model.languages == [*letters, "once"] and model.commonest == "l69"
+    asked = [(i, prose(rng, letters[name], 40), name) for i, name in enumerate(letters)]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(make([*asked, (900, "ωψχ φυτ"), (901, "ЖЖЖ")]), model).collect()}
+    assert [name for i, _, name in asked if got[i] != name] == []
+    assert got[900] == "once" and got[901] == "l69"
