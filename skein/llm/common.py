@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,9 +33,17 @@ def words(text: Column) -> Column:
 
 
 def bounded(rows: DataFrame, max_rows: int, id_col: str = "doc_id") -> DataFrame:
-    """All labelled rows, or where there are more a sample of about max_rows, chosen by a hash of the id."""
-    share = min(1.0, max_rows / max(1, rows.count()))
-    return rows.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(97)), F.lit(1_000_000)) < int(1_000_000 * share))
+    """All labelled rows, or where there are more a sample of about max_rows, chosen by a hash of the id.
+
+    The hash is compared over its full width, so the share may be as small as a table is large.
+    """
+    n = rows.count()
+    return rows if n <= max_rows else rows.where(F.xxhash64(F.col(id_col), F.lit(97)) <= hash_bound(max_rows, n))
+
+
+def hash_bound(most: int, n: int) -> int:
+    """The 64-bit hash up to which about most of n rows lie."""
+    return -(1 << 63) + min((1 << 64) - 1, (most << 64) // max(1, n))
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -68,20 +77,71 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{root}/{name}"
     df.write.parquet(path)
     _roots[root] = spark
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _tables[id(out)] = (out, root)
+    return out
+
+
+_tables: dict[int, tuple[DataFrame, str]] = {}
+
+
+def _delete(root: str) -> None:
+    spark = _roots.pop(root)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete written tables whose last reader has been written."""
+    for t in tables:
+        if known := _tables.pop(id(t), None):
+            _delete(known[1])
 
 
 @atexit.register
 def _sweep() -> None:
-    for root, spark in list(_roots.items()):
+    for root in list(_roots):
         try:
-            jvm = spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(root)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(root)
         except Exception:  # the session is gone already
             return
 
 
+#: Where a row of a written table lies.
+ROW_KEY = ("_row_file", "_row_number")
+
+
+def row_keys(df: DataFrame) -> DataFrame:
+    """The frame with the place of each row in the files it is read from, whatever its ids.
+
+    A frame that is not read from files is written first.
+    """
+    place = [F.col("_metadata.file_path").alias(ROW_KEY[0]), F.col("_metadata.row_index").alias(ROW_KEY[1])]
+    try:
+        return df.select("*", *place)
+    except AnalysisException:
+        return materialize(df, "rows").select("*", *place)
+
+
+def without(df: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of row_keys() that gone, a written table of their places, does not name; a short list is broadcast."""
+    n = gone.count()
+    return df.join(F.broadcast(gone) if n <= 4 * BROADCAST_ROWS else gone, list(ROW_KEY), "left_anti").drop(*ROW_KEY)
+
+
+def join_hot(df: DataFrame, dim: DataFrame, on: str, n_col: str, n_rows: int) -> DataFrame:
+    """Inner join with a table of groups (one row per key, its number of rows in n_col), hot keys apart.
+
+    Keys of so many rows that no more than BROADCAST_ROWS of them can exist are broadcast, so
+    their rows stay where they are; the others are shuffled by key.
+    """
+    hot = F.col(n_col) >= max(1000, n_rows // BROADCAST_ROWS)
+    first = df.join(F.broadcast(dim.where(hot).withColumn("_hot", F.lit(True))), on, "left")
+    rest = first.where("_hot IS NULL").select(*df.columns).join(dim.where(~hot), on)
+    columns = [*df.columns, *[c for c in dim.columns if c != on]]
+    return first.where("_hot").select(*columns).unionByName(rest.select(*columns))
+
+
 def join_dim(df: DataFrame, dim: DataFrame, on: list[str], id_col: str, dim_rows: int, how: str = "left") -> DataFrame:
     """Join a grouped table back to its rows.
 

@@ -4,19 +4,26 @@ The index is dealt over buckets. A bucket holds a cuckoo filter (16-bit
 fingerprints, four slots a cell) and the stored keys behind it: digest, length,
 smallest doc_id and live count. An arriving digest is looked up in the filter.
 A miss is certainly new and goes in. A hit may be a false positive, so it is
-verified against the bucket's stored content key (the full 256-bit digest and
-the byte length of the normalised text). When an insertion finds no free cell,
-the filter doubles and is filled again from the stored keys. Deletion lowers
-the live count and clears the fingerprint when the last copy goes.
+verified against the bucket's stored content key: the full 256-bit digest and
+the byte length of the normalised text. The key stands for the content, since
+an index of texts would be a second corpus; two texts with one SHA-256 are not
+known to exist, and text_sha256 is what the result itself names. When an
+insertion finds no free cell, the filter doubles and is filled again from the
+stored keys. Deletion lowers the live count and clears the fingerprint when the
+last copy goes; where the keeper of a group goes, the smallest of its live
+members becomes the keeper, found by one grouped join for such groups alone.
 
 A group holding a third of all rows reaches a bucket as one row per task: each
 task combines its own copies first. Rows learn their group by a join on the
-digest, which adaptive execution may split.
+digest; the groups of very many rows are broadcast, so their rows stay where
+they are.
 
 Defined cases: a null text is an empty text, and empty texts are equal to each
-other; a null doc_id never beats a number, and is its own keeper only in a
-group without numbers; a row repeated with the smallest doc_id is kept each
-time; an empty table gives an empty result; other columns are ignored.
+other; a very long text is normalised and digested whole; a null doc_id never
+beats a number, and is its own keeper only in a group without numbers; a row
+repeated with the smallest doc_id is kept each time (ties); deleting what is not
+live does nothing; an empty table gives an empty result; other columns are
+ignored, but for those named in carry.
 """
 
 from __future__ import annotations
@@ -29,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import SPACE, materialize, read
+from skein.llm.common import ROW_KEY, SPACE, join_hot, materialize, read, release
 
 SLOTS = 4
 KICKS = 200
@@ -137,11 +144,11 @@ class Bucket:
                 return
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 1) -> DataFrame:
-    """doc_id, digest of the normalised text, its length in bytes and its bucket."""
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, digest of the normalised text, its length in bytes, and the carried columns."""
     norm: Column = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE + "+", " ")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), norm.alias("_n")).select(
-        "doc_id", F.unhex(F.sha2(F.col("_n").cast("binary"), 256)).alias("digest"), F.octet_length("_n").cast("long").alias("n_bytes")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), norm.alias("_n"), *carry).select(
+        "doc_id", F.unhex(F.sha2(F.col("_n").cast("binary"), 256)).alias("digest"), F.octet_length("_n").cast("long").alias("n_bytes"), *carry
     )
 
 
@@ -219,26 +226,39 @@ def _apply(table: pa.Table) -> pa.Table:
 
 @dataclass
 class CuckooIndex:
-    """The index as a table: per bucket one filter row and its stored keys."""
+    """The index as a table: per bucket one filter row and its stored keys. members are its live rows."""
 
     table: DataFrame
     buckets: int
+    members: DataFrame
 
     @classmethod
     def build(cls, rows: DataFrame, n_rows: int) -> CuckooIndex:
         spark = rows.sparkSession
-        empty = spark.createDataFrame([], INDEX_SCHEMA)
-        return cls(empty, bucket_count(n_rows))._change(rows, 1)
+        members = spark.createDataFrame([], "doc_id long, digest binary, n_bytes long")
+        return cls(spark.createDataFrame([], INDEX_SCHEMA), bucket_count(n_rows), members).insert(rows)
 
     def insert(self, rows: DataFrame) -> CuckooIndex:
-        """Insert digests (the columns of digests())."""
-        return self._change(rows, 1)
+        """Insert digests (the columns of digests(), a written table or one that can be read again)."""
+        return CuckooIndex(self._change(rows, 1), self.buckets, self.members.unionByName(rows.select("doc_id", "digest", "n_bytes")))
 
     def delete(self, rows: DataFrame) -> CuckooIndex:
-        """Delete one live copy per row. The keeper of a group that lives on stays its keeper."""
-        return self._change(rows, -1)
-
-    def _change(self, rows: DataFrame, op: int) -> CuckooIndex:
+        """Delete live rows (doc_id, digest, n_bytes), one copy for each row given."""
+        key = ["doc_id", "digest", "n_bytes"]
+        marked = self.members.select(*key, F.lit(1).alias("_n"), F.lit(0).alias("_d")).unionByName(rows.select(*key, F.lit(0).alias("_n"), F.lit(1).alias("_d")))
+        sums = materialize(marked.groupBy(*key).agg(F.sum("_n").alias("_n"), F.sum("_d").alias("_d")).where("_n > 0"), "members")
+        live = sums.where("_n > _d").select(*key, F.explode(F.sequence(F.lit(1), F.col("_n") - F.col("_d")))).select(*key)
+        gone = sums.where("_d > 0").select(*key, F.explode(F.sequence(F.lit(1), F.least("_n", "_d")))).select(*key)
+        table = self._change(gone, -1)
+        # Groups that lost their keeper and live on: the smallest of their live members.
+        lost = gone.select("doc_id", "digest", "n_bytes").distinct().join(
+            table.where("digest IS NOT NULL").select("digest", "n_bytes", "keep_id"), ["digest", "n_bytes"]
+        ).where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("digest", "n_bytes").distinct()
+        heirs = live.join(lost, ["digest", "n_bytes"]).groupBy("digest", "n_bytes").agg(F.min("doc_id").alias("_heir"), F.lit(True).alias("_new"))
+        fresh = table.join(heirs, ["digest", "n_bytes"], "left").withColumn("keep_id", F.when(F.col("_new"), F.col("_heir")).otherwise(F.col("keep_id")))
+        return CuckooIndex(materialize(fresh.select(*table.columns), "cuckoo"), self.buckets, live)
+
+    def _change(self, rows: DataFrame, op: int) -> DataFrame:
         combined = rows.select("doc_id", "digest", "n_bytes").mapInArrow(
             _combine(self.buckets), "bucket int, digest binary, n_bytes long, keep_id long, live long"
         )
@@ -247,8 +267,7 @@ class CuckooIndex:
             F.lit(None).cast("int").alias("n_cells"), F.lit(None).cast("binary").alias("cells"), F.lit(op).alias("op"),
         )
         state = self.table.withColumn("op", F.lit(None).cast("int"))
-        new = state.unionByName(change).groupBy("bucket").applyInArrow(_apply, INDEX_SCHEMA)
-        return CuckooIndex(materialize(new, "cuckoo"), self.buckets)
+        return materialize(state.unionByName(change).groupBy("bucket").applyInArrow(_apply, INDEX_SCHEMA), "cuckoo")
 
     def keys(self) -> DataFrame:
         return self.table.where(F.col("digest").isNotNull()).select("digest", "n_bytes", "keep_id", F.col("live").alias("group_size"), "hit")
@@ -261,14 +280,29 @@ class CuckooIndex:
         return rows.join(self.keys(), ["digest", "n_bytes"], "left")
 
 
+def _judged(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...]) -> DataFrame:
+    rows = materialize(digests(docs, id_col, text_col, carry), "digests")
+    n = rows.count()
+    # Every digest is stored, so the length says nothing more and the join is on the digest.
+    keys = CuckooIndex.build(rows, n).keys().select("digest", "keep_id", "group_size")
+    return join_hot(rows, keys, "digest", "group_size", n).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 of every row."""
-    rows = materialize(digests(docs, id_col, text_col), "digests")
-    index = CuckooIndex.build(rows, rows.count())
-    return index.resolve(rows).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
-    )
+    return _judged(docs, id_col, text_col, ()).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def surplus(keyed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Places of the rows of row_keys() to remove so that one row of each group stays: of its kept rows the first."""
+    place = F.struct(*ROW_KEY)
+    judged = materialize(_judged(keyed, id_col, text_col, ROW_KEY).select("digest", "kept", *ROW_KEY), "judged")
+    kept = judged.where("kept")
+    several = kept.groupBy("digest").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    repeated = kept.join(several, "digest").where(place != F.col("_first"))
+    gone = materialize(judged.where("NOT kept").select(*ROW_KEY).unionByName(repeated.select(*ROW_KEY)), "surplus")
+    release(judged)
+    return gone
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

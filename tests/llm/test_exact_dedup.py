@@ -58,7 +58,16 @@ def test_index_lives_on(spark, make):
     index = e.CuckooIndex.build(first, 3).insert(e.digests(make([(4, "b"), (5, "c")])))
     live = {r["keep_id"]: r["group_size"] for r in index.keys().collect()}
     assert live == {1: 2, 2: 2, 5: 1}
-    index = index.delete(e.digests(make([(9, "c"), (9, "b"), (9, "unknown")])))
+    index = index.delete(e.digests(make([(5, "c"), (4, "b"), (9, "unknown"), (9, "a"), (1, "b")])))  # the last three are not live
     assert {r["keep_id"]: r["group_size"] for r in index.keys().collect()} == {1: 2, 2: 1}
     asked = {r["doc_id"]: r["keep_id"] for r in index.resolve(e.digests(make([(7, "a"), (8, "c")]))).collect()}
     assert asked == {7: 1, 8: None}
+
+
+def test_a_deleted_keeper_has_an_heir(make):
+    rows = [(1, "a"), (2, "a"), (2, "a"), (7, "a"), (3, "b"), (None, "b"), (4, "c"), (6, "c"), (5, None), (8, "")]
+    index = e.CuckooIndex.build(e.digests(make(rows)), len(rows))
+    index = index.delete(e.digests(make([(1, "a"), (2, "a"), (3, "b"), (6, "c"), (5, "")])))
+    assert sorted(((r["keep_id"], r["group_size"]) for r in index.keys().collect()), key=str) == [(2, 2), (4, 1), (8, 1), (None, 1)]
+    index = index.delete(e.digests(make([(2, "a"), (2, "a"), (None, "b")])))  # one copy of 2 is live
+    assert sorted((r["keep_id"], r["group_size"]) for r in index.keys().collect()) == [(4, 1), (7, 1), (8, 1)]
