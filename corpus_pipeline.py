@@ -5,8 +5,15 @@ and returns a DataFrame; run() writes what it returns to the shared folder and
 reads it back as the next stage's docs. All but the last stage return the
 columns of documents.
 
-The filter and the mixing judge rows where they lie. Duplicates are named by id
-and taken out with an anti join; a row without doc_id has no name and stays.
+A verdict belongs to a row, not to its id: rows are named by their place in the
+files that the stage reads, so ids may repeat or be null. Of equal or nearly
+equal texts exactly one row stays: of those with the smallest doc_id (null ids
+after all numbers) the first.
+
+Defined cases, for every stage: a null text is an empty text; an empty table
+passes through; repeated rows are copies and leave one; ties go to the smallest
+doc_id; very long texts are read whole; columns beside those of documents are
+dropped at the start, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -14,17 +21,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from skein.llm import exact_dedup, minhash, mixing, packing, quality_model
-from skein.llm.common import materialize, read
+from skein.llm.common import materialize, read, release, row_keys, without
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _without(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """Documents whose id no row of judged rejects."""
-    gone = judged.where("NOT kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
-
-
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
     return quality_model.keep(docs, read(spark, sf_dir, "labels"), COLUMNS)
@@ -32,12 +33,14 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the smallest doc_id stays."""
-    return _without(docs, exact_dedup.dedup(docs))
+    keyed = row_keys(docs.select(*COLUMNS))
+    return without(keyed, exact_dedup.surplus(keyed))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five words, 0.8) the smallest doc_id stays."""
-    return _without(docs, minhash.near_dedup(docs, k=5, percent=80))
+    keyed = row_keys(docs.select(*COLUMNS))
+    return without(keyed, minhash.surplus(keyed, k=5, percent=80))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,5 +68,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        release(before)
     return docs
