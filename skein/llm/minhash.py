@@ -2,11 +2,13 @@
 
 1. One pass turns each text into its set of word shingles (64-bit hashes), the
    set's size and digest, and BANDS * ROWS universal hash minima.
-2. Documents with the same set form a class; only its smallest doc_id goes on,
-   so a group of exact copies costs one row whatever its size.
+2. Documents with the same set form a class, numbered when the classes are
+   written; only the class goes on, so a group of exact copies costs one row
+   whatever its size, and ids may repeat or be null.
 3. Each band of a class is a bucket key. A bucket links its members to its
    smallest member (a star, never all pairs). Candidates pass a signature
-   estimate, then the exact sets decide.
+   estimate, then the exact sets decide. Buckets of very many members are
+   broadcast with their head, so that no task gets a whole bucket.
 4. Components come from alternating large-star and small-star. Buckets whose
    members then lie in several components are looked at again: of all pairs of
    their documents across components, a prefix join over rare shingles lists
@@ -19,9 +21,12 @@ With 42 bands of 6 rows a pair at similarity 0.8 shares no band with a
 probability below 3e-6; the signature estimate is loose by six deviations.
 
 Defined cases: a null or blank text has an empty set, is linked with nothing
-and is kept; a text with fewer words than a shingle is one shingle; repeated
-rows are copies of each other; an empty table gives an empty result; other
-columns are ignored.
+and is kept; a text with fewer words than a shingle is one shingle; a very long
+text gives its whole set; repeated rows are copies of each other, and all rows
+with the smallest doc_id of a group are kept (ties); rows that share a doc_id but
+not a text are linked by their texts only; a group whose ids are all null has the
+null id and is kept; an empty table gives an empty result; other columns are
+ignored, but for those named in carry.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import materialize, read
+from skein.llm.common import ROW_KEY, join_hot, materialize, read, release
 
 BANDS, ROWS = 42, 6
 HASHES = BANDS * ROWS
@@ -75,21 +80,23 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (low & np.uint32(0xFFFF)).astype(np.uint16)
 
 
-SIGNED = "doc_id long, n_shingles long, set_digest binary, signature binary"
+SIGNED = "n_shingles long, set_digest binary, signature binary"
 
 
 def _sign(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Size, digest and signature of the set of each text; the columns before the text stay."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             size, digest, sig = [], [], []
-            for t in b.column(1).cast(pa.binary()):
+            for t in b.column(b.num_columns - 1).cast(pa.binary()):
                 s = shingle_set(t.as_py(), k)
                 size.append(len(s))
                 digest.append(xxhash.xxh128_digest(s.tobytes()) if len(s) else None)
                 sig.append(signature(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())],
-                ["doc_id", "n_shingles", "set_digest", "signature"],
+                [*b.columns[:-1], pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())],
+                [*b.schema.names[:-1], "n_shingles", "set_digest", "signature"],
             )
 
     return run
@@ -98,8 +105,9 @@ def _sign(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
 def _shingles(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(t.as_py(), k).tobytes() for t in b.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+            sets = [shingle_set(t.as_py(), k).tobytes() for t in b.column(0).cast(pa.binary())]
+            digest = [xxhash.xxh128_digest(s) if s else None for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(sets, pa.binary())], ["set_digest", "shingles"])
 
     return run
 
@@ -161,6 +169,8 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(seen[slots])], ["slot", "n"])
 
 
+#: A shingle in more prefixes than HOT is joined in SALTS parts.
+HOT, SALTS = 200, 16
 PREFIX = "shingle long, doc_id long, label long, size long, place long"
 
 
@@ -192,14 +202,20 @@ def across(docs: DataFrame, percent: int) -> DataFrame:
     seen[tally["slot"].to_numpy()] = tally["n"].to_numpy()
     p = docs.select("doc_id", "label", "shingles").mapInArrow(_prefixes(spark.sparkContext.broadcast(seen), percent), PREFIX)
     p = materialize(p, "prefixes")
-    mixed = p.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("shingle")
-    p = p.join(mixed, "shingle", "left_semi")
-    a, b = (p.select("shingle", *[F.col(c).alias(f"{c}_{n}") for c in ("doc_id", "label", "size", "place")]) for n in "ab")
+    mixed = p.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x <> y").select("shingle", "n")
+    mixed = materialize(mixed, "mixed")
+    p = materialize(join_hot(p, mixed, "shingle", "n", p.count()), "crossing")
+    release(mixed)
+    a, b = (p.select("shingle", *[F.col(c).alias(f"{c}_{n}") for c in ("doc_id", "label", "size", "place", "n")]) for n in "ab")
     first = F.struct("size_a", "doc_id_a") < F.struct("size_b", "doc_id_b")
     sizes = 100 * F.col("size_a") >= percent * F.col("size_b")
     most = 1 + F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
     enough = (100 + percent) * most >= percent * (F.col("size_a") + F.col("size_b"))
-    pairs = a.join(b, "shingle").where((F.col("label_a") != F.col("label_b")) & first & sizes & enough)
+    # Each side of a frequent shingle is dealt over SALTS tasks, the other side goes to all of them.
+    hot = F.when(F.col("n_a") > HOT, F.pmod(F.xxhash64("doc_id_a"), F.lit(SALTS))).otherwise(0)
+    a = a.withColumn("_salt", hot)
+    b = b.withColumn("_salt", F.explode(F.when(F.col("n_b") > HOT, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))))
+    pairs = a.join(b, ["shingle", "_salt"]).where((F.col("label_a") != F.col("label_b")) & first & sizes & enough)
     return pairs.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
 
 
@@ -238,7 +254,8 @@ def components(links: DataFrame) -> DataFrame:
         # In large every u is above its v: small-star ties u and its other v to the least v.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = materialize(small.select("e.*").where("u <> v").distinct(), "edges")
+        old, edges = edges, materialize(small.select("e.*").where("u <> v").distinct(), "edges")
+        release(old)
         before, now = now, state(edges)
         if before == now:
             break
@@ -247,25 +264,29 @@ def components(links: DataFrame) -> DataFrame:
     return ends.unionByName(roots)
 
 
-def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = materialize(source.mapInArrow(_sign(k), SIGNED), "signed")
-    classes = materialize(
-        signed.where("n_shingles > 0").groupBy("set_digest").agg(F.min("doc_id").alias("class_id")), "classes"
-    )
-    heads = classes.select(F.col("class_id").alias("doc_id"))
-    reps = materialize(signed.where("n_shingles > 0").select("doc_id", "signature").join(heads, "doc_id", "left_semi"), "reps")
-
-    banded = reps.mapInArrow(_bands, "key long, doc_id long")
-    buckets = banded.groupBy("key").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1 AND head IS NOT NULL")
-    members = materialize(banded.join(buckets, "key"), "members")
+def _grouped(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, carry: tuple[str, ...]) -> DataFrame:
+    """doc_id, n_shingles, component_id, the number of its component (null: alone) and the carried columns of every row."""
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), *carry, F.col(text_col).cast("string").alias("text"))
+    kinds = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in carry)
+    signed = materialize(source.mapInArrow(_sign(k), f"doc_id long, {kinds}{SIGNED}"), "signed")
+    alike = signed.where("n_shingles > 0").groupBy("set_digest").agg(F.min("doc_id").alias("first_id"), F.first("signature").alias("signature"), F.count("*").alias("n_rows"))
+    # The classes are numbered in one write; below, doc_id is that number.
+    classes = materialize(alike.select(F.monotonically_increasing_id().alias("doc_id"), *alike.columns), "classes")
+    n_classes = classes.count()
+
+    banded = classes.select("doc_id", "signature").mapInArrow(_bands, "key long, doc_id long")
+    buckets = materialize(banded.groupBy("key").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1"), "buckets")
+    members = materialize(join_hot(banded, buckets, "key", "n", BANDS * n_classes), "members")
+    release(buckets)
     pairs = members.where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
 
-    near = members.select("doc_id").distinct()
-    texts = source.join(near.hint("shuffle_hash"), "doc_id", "left_semi")
-    sets = materialize(texts.mapInArrow(_shingles(k), "doc_id long, shingles binary"), "sets")
-    links = materialize(confirm(pairs, reps, sets, percent), "links")
+    # Texts are found by the class' id; a set that only shares it is dropped by its digest.
+    near = materialize(members.select("doc_id").distinct().join(classes.select("doc_id", "set_digest", "first_id"), "doc_id"), "near")
+    wanted = near.select(F.col("first_id").alias("_id")).distinct().hint("shuffle_hash")
+    texts = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
+    found = texts.mapInArrow(_shingles(k), "set_digest binary, shingles binary").dropDuplicates(["set_digest"])
+    sets = materialize(found.join(near.select("doc_id", "set_digest"), "set_digest").select("doc_id", "shingles"), "sets")
+    links = materialize(confirm(pairs, classes, sets, percent), "links")
     labels = materialize(components(links), "labels")
 
     # Buckets of three or more whose members lie in several components; a pair alone was checked as a star.
@@ -275,18 +296,44 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
         .select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"))
     )
     placed = materialize(placed, "placed")
-    split = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    rest = placed.join(split, "key", "left_semi").select("doc_id", "label").distinct()
+    release(members)
+    split = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x <> y").select("key", "n")
+    split = materialize(split, "split")
+    rest = join_hot(placed, split, "key", "n", BANDS * n_classes).select("doc_id", "label").distinct()
     rest = materialize(rest.join(sets, "doc_id"), "rest")
-    more = materialize(confirm(across(rest, percent), reps, sets, percent), "more")
+    release(placed, split)
+    more = materialize(confirm(across(rest, percent), classes, sets, percent), "more")
+    release(rest)
     if not more.isEmpty():
         labels = materialize(components(links.unionByName(more)), "labels")
 
-    ids = labels.withColumnRenamed("node", "class_id")
-    placed = classes.join(ids, "class_id", "left").select("set_digest", F.coalesce("label", "class_id").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "set_digest").join(placed, "set_digest", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    component = F.coalesce("label", "doc_id").alias("component")
+    own = classes.select("doc_id", "set_digest", "first_id", "n_rows").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    own = materialize(own.select("set_digest", "first_id", "n_rows", component), "own")
+    ids = own.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n"))
+    own = materialize(join_hot(own.select("set_digest", "n_rows", "component"), ids, "component", "n", n_classes).drop("n"), "own")
+    columns = ["doc_id", "n_shingles", "component_id", "component", *carry]
+    some = join_hot(signed.where("n_shingles > 0").drop("signature"), own, "set_digest", "n_rows", n_classes)
+    alone = signed.where("n_shingles = 0").withColumns({"component_id": F.col("doc_id"), "component": F.lit(None).cast("long")})
+    return some.select(*columns).unionByName(alone.select(*columns))
+
+
+def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row."""
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    return _grouped(docs, k, percent, id_col, text_col, ()).select("doc_id", "n_shingles", "component_id", kept)
+
+
+def surplus(keyed: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Places of the rows of row_keys() to remove so that one row of each component stays: of its kept rows the first."""
+    place = F.struct(*ROW_KEY)
+    judged = materialize(_grouped(keyed, k, percent, id_col, text_col, ROW_KEY).where("component IS NOT NULL").drop("n_shingles"), "judged")
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    several = judged.where(kept).groupBy("component").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    repeated = judged.where(kept).join(several, "component").where(place != F.col("_first"))
+    gone = materialize(judged.where(~kept).select(*ROW_KEY).unionByName(repeated.select(*ROW_KEY)), "surplus")
+    release(judged)
+    return gone
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
