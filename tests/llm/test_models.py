@@ -1,23 +1,14 @@
 """Toxicity, language ID, quality, mixing and language-model operators."""
 
-import math
 import random
-import re
-import zlib
-from collections import Counter
 
 import numpy as np
 
-from skein.llm import context_mixing as c
 from skein.llm import langid, mixing, quality_model, toxicity
 
 from .conftest import EDGES
 
 
-def fold(i, n):
-    return zlib.crc32(str(i).encode()) % n
-
-
 def prose(rng, letters, n):
     return " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 5))) for _ in range(n)) + "."
 
@@ -143,83 +134,6 @@ def test_mix_draws_by_probability(make, monkeypatch):
     assert mixing.mix(make([])).count() == 0
 
 
-def tokens(text):
-    return [x for x in re.split(r"[ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if x] + ["\n"]
-
-
-def test_language_model_base_and_order(spark, make, monkeypatch):
-    rng = random.Random(6)
-    rows = [(i, prose(rng, ENGLISH, rng.randrange(0, 120)).title()) for i in range(200)] + [(1000 + i, "".join(rng.choice("zxqjkv") for _ in range(300))) for i in range(5)] + [(2000, None), (2001, ""), (2001, "")]
-    monkeypatch.setattr(c, "HEAD", 40)  # most tokens go by the join
-    docs = make(rows)
-    train = [t for i, t in rows if fold(i, 7) != 2]
-    model = c.fit(docs.where(~(c.fold(docs["doc_id"], 7) == 2)).select("text"))
-    count = Counter(x for t in train for x in tokens(t))
-    n, v = sum(count.values()), len(count)
-    assert (model.n_tokens, model.n_distinct) == (n, v)
-    got = c.score(docs, model).collect()
-    assert len(got) == len(rows)
-    text = {i: t for i, t in rows}
-    for r in got:
-        own = tokens(text[r["doc_id"]])
-        assert r["n_tokens"] == len(own) and r["n_known"] == sum(count[x] > 0 for x in own) and r["train_tokens"] == n
-        assert math.isclose(r["base_score"], sum(math.log10((count[x] + 1) / (n + v + 1)) for x in own), rel_tol=1e-9)
-        assert r["score"] < 0
-    held = [r for r in got if fold(r["doc_id"], 7) == 2]
-    usual = [r["bits_per_byte"] for r in held if r["doc_id"] < 200 and r["n_tokens"] > 20]
-    odd = [r["bits_per_byte"] for r in got if 1000 <= r["doc_id"] < 2000 and fold(r["doc_id"], 7) == 2] or [9]
-    assert max(usual) < 3 and max(usual) < min(odd)
-    assert c.score(make([]), model).count() == 0
-
-
-def model_of(words):
-    """A model whose tables count these words."""
-    tokens = [w + b" " for w in words] + [c.END]
-    code = c.Code.of(np.bincount(np.frombuffer(b"".join(tokens), np.uint8), minlength=256))
-    slots, bit, _ = c.decisions(tokens, code)
-    tables = [np.bincount(s.astype(np.int64) * 2 + bit, minlength=2 << bits).reshape(-1, 2) for s, bits in zip(slots, c.SLOT_BITS)]
-    return c.MixModel.of(code, tables)
-
-
-def test_decisions_are_a_probability():
-    """Over all bytes that may come next in a word, the chances sum to the chance so far."""
-    model = model_of([b"the", b"theme", b"then", b"a", b"thaw"] * 20)
-    for so_far in (b"th", b"zq", b"the"):
-        before = 10 ** model.logs([np.array([0])], [so_far])[0]
-        after = sum(10 ** model.logs([np.array([0])], [so_far + bytes([s])])[0] for s in range(256))
-        assert math.isclose(before, after, rel_tol=1e-4)
-    one, = model.logs([np.array([0, 1])], [b"the ", c.END])
-    assert model.logs([np.array([2]), np.array([0, 1])], [b"the ", c.END, b"x "])[1] == one  # neighbours in a batch change nothing
-
-
-def test_weights_are_refined():
-    rng = random.Random(0)
-    words = prose(rng, ENGLISH, 3000).encode().split()
-    model = model_of(words)
-    place = {w: i for i, w in enumerate(dict.fromkeys(words))}
-    doc, tokens = np.array([place[w] for w in words]), [w + b" " for w in place]
-    refined = model.logs([doc], tokens)[0]
-    step, c.STEP = c.STEP, 0.0
-    try:
-        fixed = model.logs([doc], tokens)[0]
-    finally:
-        c.STEP = step
-    assert refined > fixed
-
-
-def test_the_order_of_words_changes_the_score(make):
-    """Words that always came in one order score better so than in another; before, within a block, all orders scored alike."""
-    rng = random.Random(2)
-    follows = {w: x for w, x in zip(["kat", "hond", "vis", "geit"], ["zit", "blaft", "loert", "mekt"])}
-    train = [" ".join(f"{w} {follows[w]}" for w in rng.choices(list(follows), k=40)) for _ in range(200)]
-    model = c.fit(make(list(enumerate(train))).select("text"))
-    pairs = rng.choices(list(follows), k=20)
-    usual = " ".join(f"{w} {follows[w]}" for w in pairs)
-    mixed = " ".join([*pairs, *[follows[w] for w in pairs]])
-    got = {r["doc_id"]: r["score"] for r in c.score(make([(1, usual), (2, mixed)]), model).collect()}
-    assert got[1] > got[2] + 5
-
-
 def test_every_language_is_known(make):
     """More than 64 languages, and rare ones beside a common one, keep their names."""
     rng = random.Random(4)
