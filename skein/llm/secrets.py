@@ -1,19 +1,22 @@
-"""Secret scans through a trigram index.
+"""Secret scans through a trigram inverted index.
 
 Each rule is a regular expression. From its syntax tree come the trigrams that
 every match must hold, as a Boolean query: all of a literal run's trigrams, one
-branch of each alternation. The index says for each document which of the
-rules' trigrams it holds; it is kept bit-sliced (one bit of the row's mask per
-trigram), so that intersecting postings is a bitwise AND beside the text and no
-text is shuffled. postings() gives the same index as (trigram, doc_id) rows.
-Candidates are verified with the regular expression itself; a rule without a
-mandatory trigram scans every document.
-
+branch of each alternation. The index holds, for the trigrams that some rule
+asks for, the postings: sorted row numbers per trigram, in chunks of CHUNK rows,
+so that no list grows with the table. A rule's query intersects the lists of
+each alternative and unites the alternatives, chunk by chunk. The rows found are
+its candidates and are verified with the regular expression itself; a rule
+without a mandatory trigram scans every row.
+
+Rows are numbered in one written copy of ids and texts, so ids may repeat or be
+null. A short list of candidates is broadcast to the texts, a long one joined.
 Index, queries and verification are DataFrame functions.
 
-Defined cases: a null text is an empty text and has no spans; repeated rows
-give repeated rows; overlapping spans of different kinds all stay; an empty
-table gives an empty result; other columns are ignored.
+Defined cases: a null text is an empty text and has no spans; a very long text is
+searched whole; repeated rows give repeated rows; overlapping spans of different
+kinds all stay, at one start in the order of the rules; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import read
+from skein.llm.common import BROADCAST_ROWS, materialize, read
 
 _ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 
@@ -57,6 +60,9 @@ RULES = (
 )
 BASE = ("assign", "access", "hex")
 
+#: Row numbers of one list of postings, at most.
+CHUNK = 1 << 14
+
 #: A query is a list of alternatives; an alternative is a set of trigrams that must all be there.
 Query = list[frozenset[str]]
 
@@ -116,46 +122,45 @@ def trigram_query(regex: str, most: int = 64) -> Query:
 
 
 class TrigramIndex:
-    """Which of the rules' trigrams each document holds, and the rules' queries over that."""
+    """Postings of the rules' trigrams, and the rules' queries over them."""
 
     def __init__(self, rules: tuple[Rule, ...] = RULES) -> None:
         self.rules = rules
         self.queries = {r.kind: trigram_query(r.regex) for r in rules}
         self.trigrams = sorted({t for q in self.queries.values() for a in q for t in a})
-        self.words = -(-len(self.trigrams) // 63)
-
-    def slices(self, text: Column) -> list[Column]:
-        """The bit-sliced row of a text: 63 trigrams a word."""
-        low = F.lower(text)
-        out = []
-        for w in range(self.words):
-            own = self.trigrams[63 * w : 63 * w + 63]
-            bits = F.lit(0).cast("long")
-            for i, t in enumerate(own):
-                bits = bits.bitwiseOR(F.when(F.contains(low, F.lit(t)), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
-            out.append(bits)
-        return out
-
-    def candidate(self, kind: str, slices: list[Column]) -> Column:
-        """The rule's Boolean query: some alternative has all its trigrams. True where none is mandatory."""
-        query = self.queries[kind]
-        if any(not a for a in query):
-            return F.lit(True)
-        found = F.lit(False)
-        for a in query:
-            every = F.lit(True)
-            for w in range(self.words):
-                mask = sum(1 << i for i, t in enumerate(self.trigrams[63 * w : 63 * w + 63]) if t in a)
-                if mask:
-                    every = every & (slices[w].bitwiseAND(F.lit(mask).cast("long")) == mask)
-            found = found | every
-        return found
-
-    def postings(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """The index as (trigram, doc_id) rows."""
-        low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-        held = F.filter(F.array(*[F.lit(t) for t in self.trigrams]), lambda t: F.contains(F.col("_low"), t))
-        return docs.select(F.col(id_col).alias("doc_id"), low.alias("_low")).select(F.explode(held).alias("trigram"), "doc_id")
+
+    def scans_all(self, kind: str) -> bool:
+        return any(not a for a in self.queries[kind])
+
+    def postings(self, texts: DataFrame, row_col: str = "row", text_col: str = "text") -> DataFrame:
+        """The index: chunk and its postings, a map of trigrams to sorted row numbers."""
+        low, row = F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.col(row_col)
+        held = F.array_compact(F.array(*[F.when(F.contains(F.col("_low"), F.lit(t)), F.lit(t)) for t in self.trigrams]))
+        found = texts.select(row.alias("row"), low.alias("_low")).select("row", F.explode(held).alias("trigram"))
+        lists = found.groupBy(F.floor(F.col("row") / CHUNK).alias("chunk"), "trigram").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+        return lists.groupBy("chunk").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "rows"))).alias("postings"))
+
+    def candidates(self, postings: DataFrame) -> DataFrame:
+        """row and rules: a bit for each rule whose query the row answers."""
+
+        def rows(kind: str) -> Column:
+            out = None
+            for alternative in self.queries[kind]:
+                own = None
+                for t in sorted(alternative):
+                    one = F.coalesce(F.try_element_at("postings", F.lit(t)), F.array().cast("array<bigint>"))
+                    own = one if own is None else F.array_intersect(own, one)
+                out = own if out is None else F.array_union(out, own)
+            return out
+
+        def marked(found: Column, bit: Column) -> Column:
+            return F.transform(found, lambda r: F.struct(r.alias("row"), bit))
+
+        asked = [(i, r.kind) for i, r in enumerate(self.rules) if not self.scans_all(r.kind)]
+        if not asked:
+            return postings.select(F.lit(0).cast("long").alias("row"), F.lit(0).cast("long").alias("rules")).limit(0)
+        each = F.concat(*[marked(rows(kind), F.lit(1 << i).cast("long").alias("bit")) for i, kind in asked])
+        return postings.select(F.inline(each)).groupBy("row").agg(F.bit_or("bit").alias("rules"))
 
 
 _PLACES = "array<struct<s:int,e:int,n:int>>"
@@ -185,18 +190,20 @@ def _spans(rule: Rule, number: int, text: Column) -> Column:
     return F.transform(places, lambda x: F.struct(x["s"].alias("s"), F.lit(number).alias("k"), F.lit(rule.kind).alias("kind"), x["e"].alias("e"))).cast(_SPANS)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id and found: all spans (s, k, kind, e) of every row, by start and then kind."""
-    index = TrigramIndex()
-    one = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    two = one.withColumns({f"_i{w}": c for w, c in enumerate(index.slices(F.col("_t")))})
-    slices = [F.col(f"_i{w}") for w in range(index.words)]
-    text = F.col("_t")
-    per = [
-        F.when(index.candidate(r.kind, slices) & text.rlike(r.java), _spans(r, i, text)).otherwise(F.array().cast(_SPANS))
-        for i, r in enumerate(index.rules)
-    ]
-    return two.select("doc_id", F.sort_array(F.concat(*per)).alias("found"))
+    index = TrigramIndex(rules)
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = materialize(texts, "texts")
+    found = materialize(index.candidates(materialize(index.postings(texts), "postings")), "candidates")
+    few = found.count() <= 4 * BROADCAST_ROWS
+    marked = texts.join(F.broadcast(found) if few else found, "row", "left")
+    text = F.col("text")
+    per = []
+    for i, r in enumerate(rules):
+        asked = F.lit(True) if index.scans_all(r.kind) else F.coalesce(F.col("rules"), F.lit(0)).bitwiseAND(F.lit(1 << i).cast("long")) != 0
+        per.append(F.when(asked & text.rlike(r.java), _spans(r, i, text)).otherwise(F.array().cast(_SPANS)))
+    return marked.select("doc_id", F.sort_array(F.concat(*per)).alias("found"))
 
 
 def _text(spans: Column) -> Column:

@@ -40,15 +40,27 @@ def test_queries_are_mandatory():
     assert s.trigram_query("abc+d?ef") == [frozenset({"abc"})] or frozenset({"abc"}) in s.trigram_query("abc+d?ef")
 
 
-def test_postings_agree_with_slices(make):
+def test_postings_answer_the_queries(make, monkeypatch):
+    """Lists hold the rows of each trigram, chunk by chunk; queries over them find what a plain look at each text finds."""
+    monkeypatch.setattr(s, "CHUNK", 5)
     index = s.TrigramIndex()
-    docs = make([(i, t) for i, t in enumerate(TEXTS)])
+    assert index.scans_all("hex") and not index.scans_all("assign")
+    docs = make([(i, t) for i, t in enumerate(TEXTS)]).withColumn("row", F.col("doc_id"))
+    postings = index.postings(docs)
     got = {}
-    for r in index.postings(docs).collect():
-        got.setdefault(r["doc_id"], set()).add(r["trigram"])
-    for i, t in enumerate(TEXTS):
-        assert got.get(i, set()) == {g for g in index.trigrams if g in t.lower()}
-    sliced = docs.select("doc_id", *[c.alias(f"i{w}") for w, c in enumerate(index.slices(F.col("text")))])
-    picked = sliced.where(index.candidate("assign", [F.col(f"i{w}") for w in range(index.words)]))
-    want = {i for i in range(len(TEXTS)) if any(a <= got.get(i, set()) for a in index.queries["assign"])}
-    assert {r["doc_id"] for r in picked.collect()} == want
+    for r in postings.collect():
+        for t, rows in r["postings"].items():
+            assert rows == sorted(rows) and {x // 5 for x in rows} == {r["chunk"]}
+            got.setdefault(t, set()).update(rows)
+    for g in index.trigrams:
+        assert got.get(g, set()) == {i for i, t in enumerate(TEXTS) if g in t.lower()}
+    found = {r["row"]: r["rules"] for r in index.candidates(postings).collect()}
+    for k, r in enumerate(s.RULES):
+        want = {i for i, t in enumerate(TEXTS) if any(a and all(g in t.lower() for g in a) for a in index.queries[r.kind])}
+        assert {i for i, bits in found.items() if bits >> k & 1} == want, r.kind
+
+
+def test_a_long_list_of_candidates_is_joined(make, monkeypatch):
+    monkeypatch.setattr(s, "BROADCAST_ROWS", 0)
+    rows = [(i, t) for i, t in enumerate(TEXTS)]
+    assert {r["doc_id"]: [tuple(x) for x in r["found"]] for r in s.scan(make(rows)).collect()} == {i: brute(t) for i, t in rows}
