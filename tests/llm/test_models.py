@@ -39,15 +39,42 @@ def test_toxicity_learns_words_and_stems(spark, make):
 
 def test_clause_grammar_composes():
     g = toxicity.Grammar(exact={"moron": 1.0})
-    kinds = lambda t: [k for k, _ in g.clauses(t)]
-    assert kinds("You are such a moron!") == ["targeted"]
-    assert kinds("It is a moron") == ["insult"]
-    assert kinds("You are not a moron.") == ["negated"]
-    assert kinds("He said that you are a moron.") == ["reported"]
-    assert kinds("I will hurt you. Fine day.") == ["threat"]
-    assert kinds("He said hello. A moron came.") == ["insult"]
-    assert kinds("hurt feelings") == [] and g.score(None) == 0.0
-    assert g.score("You are a moron.") > g.score("a moron") > g.score("He said: x, a moron") or g.score("not a moron") < g.score("a moron")
+    kinds = lambda t: [set(k) for _, k in g.clauses(t)]
+    assert kinds("You are such a moron!") == [{"targeted"}] == kinds("moron, you.")
+    assert kinds("It is a moron") == [{"insult"}]
+    assert kinds("You are not a moron.") == [{"negated", "targeted"}]
+    assert kinds("He said that you are a moron.") == [{"reported", "targeted"}]
+    assert kinds("He said that you are not a moron.") == [{"reported", "negated", "targeted"}]
+    assert kinds("never mind you are a moron") == [{"targeted"}]
+    assert kinds("I will hurt you. Fine day.") == [{"threat"}]
+    assert kinds("He said hello. A moron came.") == [{"insult"}]
+    assert kinds("hurt feelings") == [] == kinds("The report said storms will burn the forest") and g.score(None) == 0.0
+    assert g.score("You are a moron.") > g.score("a moron") > g.score("not a moron") > g.score("he said, not a moron")
+
+
+def test_composed_machine_matches_brute_force():
+    """The best path weighs what the scopes and distances say, word by word."""
+    rng = random.Random(7)
+    for _ in range(3000):
+        read = [(x, rng.choice([0.3, 0.6, 0.9]) if x == "I" else 1.0) for x in rng.choices("oYNRTI", [5, 2, 1, 1, 2, 2], k=rng.randrange(1, 12))]
+        at = [s for s, _ in read]
+        want = 0.0
+        for i, (x, own) in enumerate(read):
+            if x in "IT":
+                bound = "Y" in at[max(0, i - toxicity.REACH) : i] or "Y" in at[i + 1 : i + 1 + toxicity.BEHIND]
+                w = own * (toxicity.PRIORS["negated"] if "N" in at[max(0, i - toxicity.NEGATED) : i] else 1) * (toxicity.PRIORS["reported"] if "R" in at[:i] else 1)
+                kinds = (["insult"] if x == "I" else []) + ([{"I": "targeted", "T": "threat"}[x]] if bound else [])
+                want = max([want, *[w * toxicity.PRIORS[k] for k in kinds]])
+        assert abs(toxicity._MACHINE.best(read, toxicity.PRIORS)[0] - want) < 1e-12, read
+
+
+def test_weights_come_from_labels(spark, make):
+    got = toxicity.calibrated([(("targeted",), 1, 90, 90.0), (("targeted",), 0, 10, 10.0), (("negated", "targeted"), 0, 40, 40.0), (("negated", "targeted"), 1, 2, 1.0)])
+    assert abs(got["targeted"] - (90 + 8 * 0.98) / 108) < 1e-12 and got["negated"] < 0.15 and got["insult"] == 0.95
+    empty = toxicity.fit(make([]), spark.createDataFrame([], "doc_id long, toxic int"))
+    assert toxicity.score(make([]), empty).count() == 0
+    ties = toxicity.Grammar(exact={"moron": 0.5, "idiot": 0.5})
+    assert ties.score("moron idiot") == ties.score("moron") and ties.score("fine words " * 50_000 + "you moron") == ties.score("you moron")
 
 
 def test_no_labels(spark, make):
