@@ -87,12 +87,16 @@ def token_streams(spark, pool: int, length: int, seed: int) -> DataFrame:
     return two.select("place", "prefix", "warm", "target", F.when(clash, shift(F.col("_r"), "target")).otherwise(F.col("_u")).cast("int").alias("unrelated"))
 
 
-def provenance(lines: DataFrame, line: str = "value") -> DataFrame:
-    """Facts of a run's provenance text: stamp, model, limits, cache tokens."""
-    text = F.concat_ws("\n", F.array_sort(F.collect_list(F.col(line))))
-    pick = lambda regex, kind="string": F.nullif(F.regexp_extract(F.col("_t"), regex, 1), F.lit("")).try_cast(kind)
-    return lines.agg(text.alias("_t")).select(
-        pick(r"timestamp\s+(\S+)").alias("stamp"), pick(r"(?m)^model\s+(\S+)").alias("model"), pick(r"max_model_len\s+(\d+)", "int").alias("max_model_len"),
+def provenance(lines: DataFrame, line: str = "value", order: str = "line") -> DataFrame:
+    """Facts of a run's provenance text: stamp, model, limits, cache tokens. Each is the first that a line gives, by place."""
+
+    def pick(regex: str, kind: str = "string") -> Column:
+        found = F.nullif(F.regexp_extract(F.col(line), regex, 1), F.lit(""))
+        return F.min_by(found, F.when(found.isNotNull(), F.col(order))).try_cast(kind)
+
+    tokens = F.nullif(F.replace(F.regexp_extract(F.col(line), r"(?i)kv cache size:?\s+([\d,]+)", 1), F.lit(","), F.lit("")), F.lit(""))
+    return lines.agg(
+        pick(r"timestamp\s+(\S+)").alias("stamp"), pick(r"^model\s+(\S+)").alias("model"), pick(r"max_model_len\s+(\d+)", "int").alias("max_model_len"),
         pick(r"gpu_mem_util\s+([\d.]+)", "double").alias("gpu_mem_util"), pick(r"kv_dtype\s+(\S+)").alias("kv_dtype"),
-        F.replace(F.nullif(F.regexp_extract(F.col("_t"), r"(?i)kv cache size:?\s+([\d,]+)", 1), F.lit("")), F.lit(","), F.lit("")).try_cast("bigint").alias("kv_cache_tokens"),
+        F.min_by(tokens, F.when(tokens.isNotNull(), F.col(order))).try_cast("bigint").alias("kv_cache_tokens"),
     )

@@ -6,69 +6,63 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+_USAGE = "struct<input_tokens:bigint,output_tokens:bigint,cache_read_input_tokens:bigint,cache_creation_input_tokens:bigint>"
+#: What is read of an event; each line is parsed once.
+EVENT = (
+    "type string, index int, content_block struct<type:string,name:string,id:string>,"
+    " delta struct<text:string,partial_json:string,thinking:string,signature:string,stop_reason:string>,"
+    f" message struct<id:string,model:string,usage:{_USAGE}>, usage {_USAGE}"
+)
+
+
 def events(df: DataFrame, key: str, raw: str) -> DataFrame:
-    """One row per event (key, pos, event): data lines that hold JSON, in order."""
+    """One row per event (key, pos, event): data lines that hold an event's JSON, in order."""
     lines = df.select(key, F.posexplode(F.split(F.col(raw).cast("string"), "\n")).alias("pos", "line"))
     data = F.trim(F.substring(F.col("line"), 6, 1 << 30))
-    return (
-        lines.where(F.col("line").startswith("data:"))
-        .select(key, "pos", data.alias("data"))
-        .where("data <> '' AND data <> '[DONE]'")
-        .select(key, "pos", F.try_parse_json("data").alias("event"))
-        .where("event IS NOT NULL")
-    )
-
-
-def _get(path: str, kind: str = "string") -> Column:
-    return F.try_variant_get("event", path, kind)
-
-
-def joined(key_cols: list[str], rows: DataFrame, value: str, out: str) -> DataFrame:
-    """Ordered concatenation of a group's pieces."""
-    piece = F.array_sort(F.collect_list(F.struct("pos", F.col(value).alias("v"))))
-    return rows.where(F.col(value).isNotNull()).groupBy(*key_cols).agg(F.array_join(F.transform(piece, lambda p: p["v"]), "").alias(out))
+    parsed = lines.where(F.col("line").startswith("data:")).select(key, "pos", F.from_json(data, EVENT).alias("event"))
+    return parsed.where("event.type IS NOT NULL")
 
 
 def reassemble(ev: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(blocks, messages): content blocks by index, and each message's id, model, stop reason and usage.
 
     Tool input that is no JSON, the empty string included, becomes
-    {"_unparsed": text}. Of values sent more than once the last one stays.
+    {"_unparsed": text}. Of values sent more than once the last one stays. Both
+    come from one grouping: events without an index belong to the message.
     """
-    kind = _get("$.type")
-    delta = ev.where(kind == "content_block_delta").select(
-        key, "pos", _get("$.index", "int").alias("index"), _get("$.delta.text").alias("text"), _get("$.delta.partial_json").alias("json"),
-        _get("$.delta.thinking").alias("thinking"), _get("$.delta.signature").alias("signature"),
-    )
-    start = ev.where(kind == "content_block_start").groupBy(key, _get("$.index", "int").alias("index")).agg(
-        F.max_by(_get("$.content_block.type"), "pos").alias("type"), F.max_by(_get("$.content_block.name"), "pos").alias("name"), F.max_by(_get("$.content_block.id"), "pos").alias("block_id")
-    )
-
-    def piece(c: str) -> Column:
-        parts = F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("pos", F.col(c).alias("v")))))
-        return F.array_join(F.transform(parts, lambda p: p["v"]), "").alias(c)
-
-    folded = delta.groupBy(key, "index").agg(*[piece(c) for c in ("text", "json", "thinking", "signature")])
-    blocks = start.join(folded, [key, "index"], "left")
-    text = F.coalesce("json", F.lit(""))
-    unparsed = F.to_json(F.struct(text.alias("_unparsed")))
-    tool = F.when(F.col("type") == "tool_use", F.coalesce(F.to_json(F.try_parse_json(text)), unparsed))
-    blocks = blocks.select(key, "index", "type", "name", "block_id", F.coalesce("text", F.lit("")).alias("text"), "thinking", "signature", tool.alias("input"))
-
-    def latest(*paths: str) -> Column:
-        v = F.coalesce(*[_get(p) for p in paths])
-        return F.max_by(v, F.when(v.isNotNull(), F.col("pos")))
-
-    messages = ev.groupBy(key).agg(
-        latest("$.message.id").alias("message_id"), latest("$.message.model").alias("model"), latest("$.delta.stop_reason").alias("stop_reason"),
-        latest("$.message.usage.input_tokens", "$.usage.input_tokens").cast("long").alias("input_tokens"),
-        latest("$.usage.output_tokens", "$.message.usage.output_tokens").cast("long").alias("output_tokens"),
-        latest("$.usage.cache_read_input_tokens", "$.message.usage.cache_read_input_tokens").cast("long").alias("cache_read"),
-        latest("$.usage.cache_creation_input_tokens", "$.message.usage.cache_creation_input_tokens").cast("long").alias("cache_creation"),
+    kind, pos = F.col("event.type"), F.col("pos")
+
+    def latest(*values: Column) -> Column:
+        v = F.coalesce(*values)
+        return F.max_by(v, F.when(v.isNotNull(), pos))
+
+    def piece(name: str) -> Column:
+        v = F.when(kind == "content_block_delta", F.col(f"event.delta.{name}"))
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.when(v.isNotNull(), F.struct(pos, v.alias("v"))))), lambda p: p["v"]), "")
+
+    begun = lambda name: F.max_by(F.col(f"event.content_block.{name}"), F.when(kind == "content_block_start", pos))
+    use = lambda name: (F.col(f"event.usage.{name}"), F.col(f"event.message.usage.{name}"))
+    of_block = F.when(kind.startswith("content_block"), F.col("event.index")).alias("index")
+    folded = ev.groupBy(key, of_block).agg(
+        F.count_if(kind == "content_block_start").alias("_starts"), begun("type").alias("type"), begun("name").alias("name"), begun("id").alias("block_id"),
+        piece("text").alias("text"), piece("partial_json").alias("_json"), piece("thinking").alias("thinking"), piece("signature").alias("signature"),
+        latest(F.col("event.message.id")).alias("message_id"), latest(F.col("event.message.model")).alias("model"), latest(F.col("event.delta.stop_reason")).alias("stop_reason"),
+        latest(*use("input_tokens")).alias("input_tokens"), latest(*use("output_tokens")).alias("output_tokens"),
+        latest(*use("cache_read_input_tokens")).alias("cache_read"), latest(*use("cache_creation_input_tokens")).alias("cache_creation"),
     )
+    text = F.col("_json")
+    tool = F.when(F.col("type") == "tool_use", F.coalesce(F.to_json(F.try_parse_json(text)), F.to_json(F.struct(text.alias("_unparsed")))))
+    blocks = folded.where("index IS NOT NULL AND _starts > 0").select(key, "index", "type", "name", "block_id", "text", "thinking", "signature", tool.alias("input"))
+    messages = folded.where("index IS NULL").select(key, "message_id", "model", "stop_reason", "input_tokens", "output_tokens", "cache_read", "cache_creation")
     return blocks, messages
 
 
+def contents(blocks: DataFrame, key: str) -> DataFrame:
+    """Each message's blocks in the order of their index."""
+    fields = [c for c in blocks.columns if c not in (key, "index")]
+    return blocks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("index", *fields))).alias("content"))
+
+
 def first_chunk(df: DataFrame, key: str, ts: str, chunk: str, marker: str = "content_block_delta") -> DataFrame:
     """When the first chunk holding the marker came, per call."""
     return df.groupBy(key).agg(F.min(F.when(F.contains(chunk, F.lit(marker)), F.col(ts))).alias("first_ts"))

@@ -32,8 +32,10 @@ def running_ewma(df: DataFrame, key: str, ts: str, value: str, alpha: float = 0.
 
     The rows of a key are sorted within their partition and read in batches
     with one state carried along, so a key may be longer than memory. Rows of
-    equal time are read by the columns of order.
+    equal time are read by the columns of order. Rows without a key are a key of
+    their own. Columns that have the names of the results are replaced.
     """
+    df = df.drop("rtt_ewma", "jitter_ewma", "n_samples", "staleness_s")
     schema = df.schema
     names = df.columns
     at_key, at_ts, at_value = names.index(key), names.index(ts), names.index(value)
@@ -43,6 +45,7 @@ def running_ewma(df: DataFrame, key: str, ts: str, value: str, alpha: float = 0.
         for pdf in batches:
             out = []
             for k, t, x in zip(pdf.iloc[:, at_key], pdf.iloc[:, at_ts], pdf.iloc[:, at_value]):
+                k = None if pd.isna(k) else k  # a null number reads as NaN, which differs from itself
                 if k != now:
                     now, rtt, jitter, n, last = k, None, None, 0, None
                 if not pd.isna(x):
@@ -67,8 +70,9 @@ def latest_sample(records: DataFrame, samples: DataFrame, ts: str, value: str, w
     everything would be one task. Time is cut into buckets instead: within a
     bucket the window finds the last sample; a record before its bucket's first
     sample takes the last one of the earlier buckets, from a carry table of one
-    row per bucket.
+    row per bucket. Columns named sample and age_s are replaced.
     """
+    records = records.drop("sample", "age_s")
     bucket = F.floor(F.col(ts) / width)
     r = records.withColumns({"_b": bucket, "_s": F.lit(None).cast(samples.schema[value].dataType), "_t": F.lit(None).cast("double"), "_k": F.lit(1)})
     empty = {c: F.lit(None).cast(records.schema[c].dataType) for c in records.columns if c != ts}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.text import CREDENTIALS, redact
@@ -42,9 +42,20 @@ def calls(records: DataFrame) -> DataFrame:
     return records.where((F.col("path") == "/v1/messages") & F.schema_of_variant("request").startswith("OBJECT"))
 
 
-def routable(path):
-    """Looser than calls: leading and trailing slashes do not matter."""
-    return F.trim(F.lit("/"), path) == "v1/messages"
+def routable(path: Column, request: Column) -> Column:
+    """Looser than calls: slashes around the path do not matter. The request must be an object."""
+    same = F.regexp_replace(path, "^/+|/+$", "") == "v1/messages"
+    return F.coalesce(same & F.schema_of_variant(request).startswith("OBJECT"), F.lit(False))
+
+
+def in_order(records: DataFrame, ts: str = "ts", place: tuple[str, ...] = ("file", "line")) -> DataFrame:
+    """Records by time, a missing one counting as 0, and equal times as they were read."""
+    return records.orderBy(F.coalesce(F.col(ts), F.lit(0.0)), *place)
+
+
+def shuffled(records: DataFrame, seed: int, *place: str) -> DataFrame:
+    """Records in an order that a seed gives: by a hash of their place, so a rerun gives it again."""
+    return records.orderBy(F.xxhash64(F.lit(seed), *place), *place)
 
 
 def session_id(headers):

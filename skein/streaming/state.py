@@ -24,13 +24,12 @@ def online_gaps(stream: DataFrame, ttl_ms: int | None = None) -> DataFrame:
             state.remove()
             return
         last = state.get[0] if state.exists else None
-        for pdf in frames:
-            ts = pdf["ts"].sort_values()
-            before = ts.shift(1)
-            if len(ts):
-                before.iloc[0] = last if last is not None else float("nan")
-                last = float(ts.iloc[-1])
-            yield pd.DataFrame({"session": key[0], "ts": ts, "gap_s": ts - before})
+        ts = pd.concat([pdf["ts"] for pdf in frames]).sort_values()  # a batch may come in several frames
+        if len(ts):
+            before = [last, *ts.iloc[:-1].tolist()]
+            last = float(ts.iloc[-1])
+            gaps = [None if b is None else t - b for t, b in zip(ts.tolist(), before)]
+            yield pd.DataFrame({"session": key[0], "ts": ts.tolist(), "gap_s": pd.array(gaps, dtype="Float64")})
         if last is not None:
             state.update((last,))
         if ttl_ms:
@@ -46,18 +45,17 @@ def online_link(stream: DataFrame, alpha: float = 0.2) -> DataFrame:
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rtt, jitter, n = state.get if state.exists else (None, None, 0)
-        for pdf in frames:
-            pdf = pdf.sort_values("ts")
-            out = []
-            for x in pdf["network_ms"]:
-                if n == 0:
-                    rtt, jitter = x, 0.0
-                else:
-                    rtt, jitter = rtt + alpha * (x - rtt), jitter + alpha * (abs(x - rtt) - jitter)
-                n += 1
-                out.append((rtt, jitter, n))
-            est = pd.DataFrame(out, columns=["rtt_ewma", "jitter_ewma", "n_samples"], index=pdf.index)
-            yield pd.concat([pdf[["link", "ts", "network_ms"]], est], axis=1)
+        pdf = pd.concat(list(frames)).sort_values("ts", kind="stable")
+        out = []
+        for x in pdf["network_ms"]:
+            if n == 0:
+                rtt, jitter = x, 0.0
+            else:
+                rtt, jitter = rtt + alpha * (x - rtt), jitter + alpha * (abs(x - rtt) - jitter)
+            n += 1
+            out.append((rtt, jitter, n))
+        est = pd.DataFrame(out, columns=["rtt_ewma", "jitter_ewma", "n_samples"], index=pdf.index)
+        yield pd.concat([pdf[["link", "ts", "network_ms"]], est], axis=1)
         if n:
             state.update((rtt, jitter, n))
 
@@ -74,3 +72,13 @@ def write_daily_stream(stream: DataFrame, path: str, checkpoint: str, ts: str =
 def tail_records(spark, path: str, schema: str) -> DataFrame:
     """New records of a folder of JSON lines as they appear."""
     return spark.readStream.schema(schema).json(path)
+
+
+def latest_values(stream: DataFrame, key: str, ts: str, value: str) -> DataFrame:
+    """The newest value of each key, updated as it comes: what a sampler would read at any time."""
+    return stream.groupBy(key).agg(F.max_by(F.struct(F.col(ts), F.col(value)), ts).alias("_v")).select(key, F.col(f"_v.{ts}").alias(ts), F.col(f"_v.{value}").alias(value))
+
+
+def append_csv_stream(stream: DataFrame, path: str, checkpoint: str):
+    """Rows appended to a folder of CSV as they come, exactly once; a batch is on disk before the next begins."""
+    return stream.writeStream.format("csv").option("header", "true").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")

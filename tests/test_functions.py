@@ -142,3 +142,51 @@ def test_link_ewma_streams_each_user(spark, tmp_path, capsys):
                 n += 1
         assert got[user] == pytest.approx((rtt, jitter, n))
     assert len(got) == 3
+
+
+def test_label_escapes(spark):
+    """Escapes are read once, from left to right."""
+    cases = [(r'path="C:\\new"', "C:\\new"), (r'path="a\nb"', "a\nb"), (r'path="\\\n"', "\\\n"), (r'path="a\tb\u00e9"', "a\tb\u00e9"), (r'path="say \"x\", y"', 'say "x", y'), (r'path="\x41"', "A"), ('path="plain"', "plain"), ('path=""', "")]
+    df = spark.createDataFrame([(f'm{{{raw},k="1"}} 2',) for raw, _ in cases], "v string").select(text.metric(F.col("v")).alias("m"))
+    for r, (raw, want) in zip(df.collect(), cases):
+        assert r["m"]["labels"] == {"path": want, "k": "1"} and r["m"]["value"] == 2.0, raw
+
+
+def test_metric_lines(spark):
+    cases = {
+        "a 1": ("a", 1.0), "a{} 1": ("a", 1.0), '  a{b="}"} 1e3 123 ': ("a", 1000.0), "a 1 12x": None, "a": None, "": None, "# a 1": None, "a{b 1": None, "a 1 2 3": None,
+        "a NaN": ("a", "nan"), "a +Inf": ("a", float("inf")), "{x} 1": None, "a{x}1": None, 'a{b="x"}\t5': ("a", 5.0), "a x": None,
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "v string").select("v", text.metric(F.col("v")).alias("m"), text.metric(F.col("v"), strict=True).alias("s"))
+    for r in df.collect():
+        got = r["m"] and (r["m"]["name"], "nan" if r["m"]["value"] != r["m"]["value"] else r["m"]["value"])
+        assert got == cases[r["v"]], r["v"]
+        if r["v"].startswith("  a"):
+            assert r["s"] is None
+    assert one(df.where("v = 'a 1'"))["s"]["value"] == 1.0
+
+
+def test_numbers_for_reports(spark):
+    r = one(spark.sql("SELECT 3.0D a, 2.5D b, -1.0D c").select(text.integral(F.col("a")), text.integral(F.col("b")), text.integral(F.col("c"))))
+    assert tuple(r) == ("3", "2.5", "-1")
+    assert tuple(one(text.rounded(spark.sql("SELECT 1.2345D a, 2.5D b"), 2, "a"))) == (1.23, 2.5)
+    assert one(spark.range(1).select(text.gib(F.lit(3 * 1024**3)), timing.kv_bytes_per_token(F.lit(2), F.lit(4), F.lit(8), F.lit(2))))[:] == (3.0, 256)
+
+
+def test_headers_of_one_hop(spark):
+    h = F.create_map(*[F.lit(x) for kv in {"Host": "h", "X-A": "1", "TE": "t", "Content-Encoding": "gzip"}.items() for x in kv])
+    r = one(spark.range(1).select(text.forwarded(h), text.returned(h)))
+    assert r[0] == {"x-a": "1", "content-encoding": "gzip"} and set(r[1]) == {"host", "x-a", "te"}
+
+
+def test_names_that_clash_and_null_keys(spark):
+    """Columns named like results are replaced; rows without a key are one key, also where keys are numbers."""
+    df = spark.createDataFrame([(None, 1.0, 10.0, 9.0), (None, 2.0, 20.0, 9.0), (3, 1.0, 7.0, 9.0)], "key int, ts double, x double, rtt_ewma double")
+    got = windows.running_ewma(df, "key", "ts", "x")
+    assert got.columns.count("rtt_ewma") == 1
+    assert sorted((r["n_samples"], r["rtt_ewma"]) for r in got.collect()) == [(1, 7.0), (1, 10.0), (2, 12.0)]
+    recs = spark.createDataFrame([(1, 5.0, "x", 1.0)], "id int, ts double, sample string, age_s double")
+    r = one(windows.latest_sample(recs, spark.createDataFrame([(4.0, 2.0)], "ts double, v double"), "ts", "v"))
+    assert (r["sample"], r["age_s"]) == (2.0, 1.0)
+    samples = spark.createDataFrame([(200, "cloud", 1.0), (200, "cloud", None), (500, "cloud", 1.0), (200, "local", 1.0)], "s int, p string, t double")
+    assert [r[0] for r in samples.select(experiments.link_valid(F.col("s"), F.col("p"), F.col("t"))).collect()] == [True, False, False, False]

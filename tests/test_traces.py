@@ -123,7 +123,7 @@ def test_online_state_matches_batch(spark, tmp_path):
     q = state.online_gaps(s).writeStream.format("memory").queryName("gaps").outputMode("append").option("checkpointLocation", str(tmp_path / "c1")).start()
     q.processAllAvailable()
     q.stop()
-    got = {(r["session"], r["ts"]): r["gap_s"] for r in spark.sql("SELECT session, ts, nullif(gap_s, double('NaN')) gap_s FROM gaps").collect()}
+    got = {(r["session"], r["ts"]): r["gap_s"] for r in spark.sql("SELECT session, ts, gap_s FROM gaps").collect()}
     assert got == {("a", 1.0): None, ("a", 4.0): 3.0, ("b", 2.0): None, ("a", 9.0): 5.0}
 
 
@@ -166,7 +166,8 @@ def test_small_request_facts(spark):
     assert t["a"] == 500.0 and t["b"] is None
     s = requests.token_streams(spark, 3, 200, 1).collect()
     assert all(x["target"] != x["warm"] and 0 <= x[c] < 3 for x in s for c in ("prefix", "warm", "target", "unrelated")) and s[0]["unrelated"] != s[0]["target"]
-    text = spark.createDataFrame([("timestamp    20260101T000000Z",), ("model        m",), ("max_model_len 32768  gpu_mem_util 0.90  kv_dtype auto",), ("GPU KV cache size: 115,872 tokens",)], "value string")
+    lines = ["zz", "timestamp    20260101T000000Z", "model        m", "max_model_len 32768  gpu_mem_util 0.90  kv_dtype auto", "GPU KV cache size: 115,872 tokens", "model        later"]
+    text = spark.createDataFrame(list(enumerate(lines)), "line int, value string")
     assert tuple(requests.provenance(text).first()) == ("20260101T000000Z", "m", 32768, 0.9, "auto", 115872)
 
 
@@ -178,3 +179,107 @@ def test_daily_stream(spark, tmp_path):
     q.stop()
     days = {(str(r["day"]), r["id"]) for r in spark.read.json(str(tmp_path / "out")).collect()}
     assert days == {("1970-01-01", "a"), ("1970-01-02", "b"), ("1970-01-01", "c")}
+
+
+def test_routable(spark):
+    """Slashes around the path do not matter; the request must be an object."""
+    rows = [("/v1/messages", "{}"), ("v1/messages/", "{}"), ("//v1/messages//", "{}"), ("/v1/messages", "[]"), ("/v1/messages", None), ("/v1/messages/count", "{}"), ("/v2/messages", "{}"), (None, "{}")]
+    df = spark.createDataFrame(rows, "p string, r string").select(traces.routable(F.col("p"), F.try_parse_json("r")).alias("x"))
+    assert [r["x"] for r in df.collect()] == [True, True, True, False, False, False, False, False]
+
+
+def test_order_of_records(spark):
+    rows = [("a", 1, 5.0), ("a", 2, None), ("a", 3, 0.0), ("b", 1, 5.0), ("b", 2, -1.0)]
+    df = spark.createDataFrame(rows, "file string, line int, ts double")
+    assert [(r["file"], r["line"]) for r in traces.in_order(df).collect()] == [("b", 2), ("a", 2), ("a", 3), ("a", 1), ("b", 1)]
+    one, two = ([(r["file"], r["line"]) for r in traces.shuffled(df.repartition(n), 3, "file", "line").collect()] for n in (1, 4))
+    assert one == two and sorted(one) == sorted(r[:2] for r in rows)
+
+
+def naive_length(content):
+    if isinstance(content, str):
+        return len(content)
+    total = 0
+    for b in content if isinstance(content, list) else []:
+        if isinstance(b, dict):
+            total += sum(len(b[k]) for k in ("text", "thinking", "partial_json") if isinstance(b.get(k), str))
+            total += naive_length(b.get("content")) + (len(str(b["input"])) if isinstance(b.get("input"), dict) else 0)
+    return total
+
+
+def naive_ttls(x):
+    out = []
+    if isinstance(x, dict):
+        c = x.get("cache_control")
+        if isinstance(c, dict) and c.get("type") == "ephemeral":
+            out.append({"5m": 300.0, "1h": 3600.0}.get(c.get("ttl"), 300.0))
+        x = list(x.values())
+    return out + [t for v in x if isinstance(v, (dict, list)) for t in naive_ttls(v)] if isinstance(x, list) else out
+
+
+def test_content_of_any_depth(spark):
+    """Lengths and breakpoints agree with a plain recursion, at every depth; quotes within inputs count as printed."""
+    from skein.operators import features
+
+    mark = {"type": "ephemeral"}
+    nested = "deep text"
+    for k in range(6):
+        nested = [{"type": "tool_result", "content": nested, "text": "x" * k, "input": {"a": 1}}, "not a block"]
+        if k % 2:
+            nested[0]["cache_control"] = mark | ({"ttl": "1h"} if k == 3 else {})
+    requests = [
+        {"messages": [{"role": "user", "content": nested}], "system": "s"},
+        {"messages": [{"role": "user", "content": "hi"}], "system": [{"type": "text", "text": "abc", "content": nested}], "tools": [{"name": "t", "input_schema": {"type": "object", "cache_control": mark}}]},
+        {"messages": [{"role": "user", "content": [{"type": "text", "text": "a", "cache_control": {"type": "other"}}, {"type": "tool_use", "input": {"q": 'say "hi"', "p": "it's \"x\"", "b": "c\\d"}}]}], "cache_control": mark},
+        {"messages": [{"role": "user", "content": [{"type": "text", "text": 'the word "cache_control": here'}]}]},
+        {"messages": []}, {},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(requests)], "id int, r string").select("id", F.parse_json("r").alias("request"))
+    for got in features.extract(df).collect():
+        r, f = requests[got["id"]], got["features"]
+        tools = len(str(r["tools"])) if r.get("tools") else 0
+        system, body = naive_length(r.get("system")), sum(naive_length(m["content"]) for m in r.get("messages", []))
+        tools = len(str(r["tools"][0])) if tools else 0  # a list's own brackets are left out
+        assert (f["est_prompt_tokens"], f["est_system_tokens"]) == ((system + body + tools) // 4, (system + tools) // 4), got["id"]
+        ttls = naive_ttls({k: r.get(k) for k in ("tools", "system", "messages", "cache_control")})
+        assert f["n_cache_breakpoints"] == len(ttls) and f["cloud_cache_ttl_s"] == max(ttls, default=None), got["id"]
+
+
+def test_contents_in_order(spark):
+    raw = stream(*[{"type": "content_block_start", "index": i, "content_block": {"type": "text"}} for i in (2, 0, 1)], *[{"type": "content_block_delta", "index": i, "delta": {"text": f"t{i}"}} for i in (1, 2, 0, 1)])
+    blocks, _ = sse.reassemble(sse.events(spark.createDataFrame([("p", raw)], "id string, raw string"), "id", "raw"), "id")
+    assert [b["text"] for b in sse.contents(blocks, "id").first()["content"]] == ["t0", "t1t1", "t2"]
+
+
+def test_streams_of_values_and_csv(spark, tmp_path):
+    schema = "k string, ts double, v double"
+    spark.createDataFrame([("a", 1.0, 5.0), ("a", 3.0, 6.0), ("b", 2.0, 7.0)], schema).coalesce(1).write.json(str(tmp_path / "in"))
+    source = spark.readStream.schema(schema).json(str(tmp_path / "in"))
+    q = state.latest_values(source, "k", "ts", "v").writeStream.format("memory").queryName("latest").outputMode("complete").option("checkpointLocation", str(tmp_path / "c1")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert {tuple(r) for r in spark.table("latest").collect()} == {("a", 3.0, 6.0), ("b", 2.0, 7.0)}
+    q = state.append_csv_stream(source, str(tmp_path / "csv"), str(tmp_path / "c2")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert spark.read.schema(schema).option("header", "true").csv(str(tmp_path / "csv")).count() == 3
+
+
+def test_strict_read_and_exports(spark, trace, tmp_path):
+    """A broken line is an error when strict; decisions and summaries are written once, nulls included."""
+    bad = tmp_path / "bad.jsonl"
+    bad.write_text(json.dumps(record(1)) + "\n{broken\n")
+    assert traces.read_jsonl(spark, [str(bad)]).count() == 1
+    with pytest.raises(Exception, match="MALFORMED|broken|JSON"):
+        traces.read_jsonl(spark, [str(bad)], strict=True).collect()
+    decided = replay.decide(replay.prepare(trace), policies.build("cloud-only")).select("id", "decided_placement", "detail")
+    replay.export(decided, str(tmp_path / "d"))
+    assert all("detail" in json.loads(line["value"]) for line in spark.read.text(str(tmp_path / "d")).collect())
+
+
+def test_recorded_features_win(spark, tmp_path):
+    path = tmp_path / "f.jsonl"
+    recorded = {"model": "old", "has_tools": False, "n_tools": 0, "has_server_tools": False, "n_messages": 9, "est_prompt_tokens": 7, "est_system_tokens": 1, "max_tokens": 5, "stream": False, "is_tool_continuation": False, "n_cache_breakpoints": 0}
+    path.write_text("\n".join(json.dumps(r) for r in (record(1, features=recorded), record(2))) + "\n")
+    ready = {r["id"]: r["features"] for r in replay.prepare(traces.read_jsonl(spark, [str(path)]), use_recorded=True).collect()}
+    assert ready["1"]["n_messages"] == 9 and ready["1"]["est_prompt_tokens"] == 7 and ready["2"]["n_messages"] == 2
