@@ -7,20 +7,23 @@ takes away the hits that the filter's own false positives would give, and the
 language with most hits left decides.
 
 Learning takes at most about MAX_FIT_ROWS labelled rows of each language (chosen
-by a hash of the id, whatever the size of the table; a rarer language keeps all)
-and keeps the GRAMS_PER_LANGUAGE commonest n-grams of each. N-grams of one
-document only are left out, save for languages with fewer than FEW documents.
-The model grows with the number of languages (16 MB for each 64), not with rows.
-
-Defined cases: a text that is null or has no letter is `und` with score 0; a
-text with letters but no known n-gram gets the commonest language with score
-0; ties go to the earlier language in sorted order; without labelled rows every
-text is `und`; an empty table gives an empty result; other columns are ignored.
+by a hash of the id, whatever the size of the table; a rarer language keeps all).
+Of each language's n-grams those stay that lie in most of its documents: the
+largest number of documents, and all n-grams with as many, as long as there are
+no more than GRAMS_PER_LANGUAGE; a language with fewer keeps every one, those of
+a single document included. The model grows with the number of languages (16 MB
+for each 64), not with rows.
+
+Defined cases: a text that is null or has no letter (no character of Unicode
+category L) is `und` with score 0; a text with letters but no known n-gram gets
+the commonest language with score 0; a very long text is read whole; ties go to
+the earlier language in sorted order; repeated rows are predicted alike and
+count each when learned from; without labelled rows every text is `und`; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,15 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import fold, materialize, read
+from skein.llm.common import fold, hash_bound, materialize, read, release
 
 MAX_FIT_ROWS = 20_000
 GRAMS_PER_LANGUAGE = 30_000
-FEW = 50
 N = 4
 SLOTS = 1 << 21
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
-_LETTER = re.compile(r"[^\W\d_]")
 #: Digits, white space and ASCII punctuation all read as one gap, so layout carries nothing.
 _GAP = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -92,7 +93,7 @@ class LanguageFilters:
         return np.maximum(0, (bits - n * self.false_rate) / (1 - self.false_rate))
 
     def decide(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.languages or not _LETTER.search(text):
+        if not text or not self.languages or not any(map(str.isalpha, text)):
             return "und", 0.0
         n = self.hits(grams(text))
         total = float(n.sum())
@@ -127,21 +128,40 @@ def fit(labelled: DataFrame, max_rows: int = MAX_FIT_ROWS) -> LanguageFilters:
     size = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
     if not size:
         return LanguageFilters.build({})
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(97)), F.lit(1_000_000))
-    large = [(name, int(1_000_000 * max_rows / n)) for name, n in size.items() if n > max_rows]
+    large = [(name, hash_bound(max_rows, n)) for name, n in size.items() if n > max_rows]
     if large:
         bounds = rows.sparkSession.createDataFrame(large, "lang string, bound long")
-        rows = rows.join(F.broadcast(bounds), "lang", "left").where(F.col("bound").isNull() | (draw < F.col("bound")))
-    small = [name for name, n in size.items() if n < FEW]
+        rows = rows.join(F.broadcast(bounds), "lang", "left").where(F.col("bound").isNull() | (F.xxhash64("doc_id", F.lit(97)) <= F.col("bound")))
     counts = rows.select("text", "lang").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts = materialize(counts.where((F.col("n") > 1) | F.col("lang").isin(small)), "grams")
-    best: dict[str, np.ndarray] = {}
-    for name in size:  # GRAMS_PER_LANGUAGE n-grams at a time come to the driver
-        top = counts.where(F.col("lang") == name).orderBy(F.desc("n"), "gram").limit(GRAMS_PER_LANGUAGE).select("gram").toPandas()
-        best[name] = top["gram"].to_numpy(np.int64).view(np.uint64)
+    counts = materialize(counts, "grams")
+    # How many n-grams lie in n documents: a row per language and n, so at most its sampled documents.
+    held: dict[str, list[tuple[int, int]]] = {name: [] for name in size}
+    for r in counts.groupBy("lang", "n").agg(F.count("*").alias("grams")).orderBy("lang", F.desc("n")).toLocalIterator():
+        held[r["lang"]].append((r["n"], r["grams"]))
+    least = [(name, least_documents(levels, GRAMS_PER_LANGUAGE)) for name, levels in held.items()]
+    chosen = counts.join(F.broadcast(rows.sparkSession.createDataFrame(least, "lang string, least long")), "lang").where("n >= least")
+    own: dict[str, list[int]] = {name: [] for name in size}
+    for r in chosen.select("lang", "gram").toLocalIterator():  # GRAMS_PER_LANGUAGE n-grams of each language
+        own[r["lang"]].append(r["gram"])
+    release(counts)
+    best = {name: np.array(g, np.int64).view(np.uint64) for name, g in own.items()}
     return LanguageFilters.build(best, min(size, key=lambda name: (-size[name], name)))
 
 
+def least_documents(levels: list[tuple[int, int]], most: int) -> int:
+    """The least number of documents at which no more than most n-grams have as many or more; levels are (documents, n-grams), largest first.
+
+    The first level stays whatever its size, so that no language is left without n-grams.
+    """
+    total, least = 0, levels[0][0] if levels else 1
+    for n, grams in levels:
+        total += grams
+        if total > most:
+            break
+        least = n
+    return least
+
+
 def identify(docs: DataFrame, model: LanguageFilters) -> DataFrame:
     """doc_id, lang_pred and score of every row (doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS masks, whatever the number of rows

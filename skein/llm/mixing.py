@@ -14,9 +14,11 @@ sums, one written table a round.
 
 Defined cases: null sources and languages are groups of their own; a null or
 blank text has no tokens, lies in its cell and is drawn with its probability;
-a target for a group without tokens is spread over the rest; an empty table
-gives an empty result; repeated rows are drawn alike; other columns are
-ignored.
+a very long text counts whole; a target for a group without tokens is spread
+over the rest, however large the cell table is; a null doc_id draws like any one
+id; cells whose probabilities tie are drawn apart, each by the hashes of its
+documents; an empty table gives an empty result; repeated rows are drawn alike;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import SPACE, join_dim, materialize, read
+from skein.llm.common import SPACE, join_dim, materialize, read, release
 
 DIMENSIONS = ("source", "lang", "topic")
 MAX_CELLS = 200_000
@@ -109,42 +111,51 @@ def rates(share: np.ndarray, mass: np.ndarray, sample: float) -> np.ndarray:
 
 
 def _rake_frame(cells: DataFrame, targets: Targets, dims: tuple[str, ...]) -> DataFrame:
-    """The same for a cell table too large for arrays: grouped sums, a written table a round.
+    """rake() and rates() for a cell table too large for arrays: grouped sums, a written table a round.
 
-    Capping takes a few rounds of one aggregate each, as in rates().
+    Goals are those of _goals(). A cell is full where its tokens are below the rate
+    times its weight, so each round of capping is one aggregate; it ends when the
+    rate stays.
     """
-    total = cells.agg(F.sum("mass")).first()[0] or 1
+    total = cells.agg(F.sum("mass")).first()[0] or 1.0
     w = cells.withColumn("w", F.col("mass") / F.lit(total))
+    goals = []
     for dim in dims:
-        named = targets.shares.get(dim, {})
         sums = w.groupBy(dim).agg(F.sum("w").alias("s"))
         given = F.lit(None).cast("double")
-        for name, share in named.items():
+        for name, share in targets.shares.get(dim, {}).items():
             given = F.when(F.col(dim) == name, share).otherwise(given)
-        goal = sums.withColumn("g", given).withColumn("f", F.when(F.col("g").isNull(), F.pow("s", F.lit(targets.temper))).otherwise(0.0))
-        f = goal.agg(F.sum("f")).first()[0] or 1.0
-        left = max(0.0, 1 - sum(named.values()))
-        goal = materialize(goal.select(dim, F.coalesce("g", F.col("f") * (left / f)).alias(f"goal_{dim}")), "goals")
-        w = w.join(goal, dim)
+        own = materialize(sums.select(dim, given.alias("given"), F.when(given.isNull(), F.pow("s", F.lit(targets.temper))).otherwise(0.0).alias("free")), "goals")
+        r = own.agg(F.sum("given"), F.sum("free")).first()
+        left = max(0.0, 1 - (r[0] or 0.0)) / r[1] if r[1] else 0.0
+        whole = (r[0] or 0.0) + left * (r[1] or 0.0)
+        goal = (F.coalesce("given", F.lit(0.0)) + F.col("free") * left) / F.lit(whole or 1.0)
+        w = w.join(own.select(dim, goal.alias(f"goal_{dim}")), dim)
+        goals.append(own)
     w = materialize(w, "cells")
+    release(*goals)
     for _ in range(targets.rounds):
-        worst = 0.0
+        worst, before = 0.0, w
         for dim in dims:
             sums = w.groupBy(dim).agg(F.sum("w").alias("s"), F.first(f"goal_{dim}").alias("g"))
             worst = max(worst, sums.agg(F.max(F.abs(F.col("s") - F.col("g")))).first()[0] or 0.0)
-            w = w.join(sums.select(dim, (F.col("g") / F.col("s")).alias("r")), dim).withColumn("w", F.col("w") * F.col("r")).drop("r")
+            ratio = F.when(F.col("s") > 0, F.col("g") / F.col("s")).otherwise(0.0)
+            w = w.join(sums.select(dim, ratio.alias("r")), dim).withColumn("w", F.col("w") * F.col("r")).drop("r")
         w = materialize(w, "cells")
+        release(before)
         if worst < targets.tolerance:
             break
-    goal, full, rate = targets.sample * total, F.lit(False), None
-    for _ in range(20):
-        r = w.agg(F.sum(F.when(~full, F.col("w"))), F.sum(F.when(full, F.col("mass")))).first()
-        rate = max(0.0, goal - (r[1] or 0)) / (r[0] or 1.0)
-        over = full | (F.col("w") * rate > F.col("mass"))
-        if w.where(over & ~full).isEmpty():
+    share = w.agg(F.sum("w")).first()[0] or 1.0
+    w = w.withColumn("w", F.col("w") / F.lit(share))
+    goal, rate = targets.sample * total, 0.0
+    while True:
+        full = F.col("w") * F.lit(rate) > F.col("mass")
+        r = w.agg(F.sum(F.when(full, 0.0).otherwise(F.col("w"))), F.sum(F.when(full, F.col("mass")).otherwise(0.0))).first()
+        now = max(0.0, goal - (r[1] or 0.0)) / r[0] if r[0] else rate
+        if now <= rate:
             break
-        full = over
-    return w.select(*dims, F.col("w").alias("weight"), F.least(F.lit(1.0), F.when(full, 1.0).otherwise(F.col("w") * rate / F.col("mass"))).alias("probability"))
+        rate = now
+    return w.select(*dims, F.col("w").alias("weight"), F.least(F.lit(1.0), F.col("w") * F.lit(rate) / F.col("mass")).alias("probability"))
 
 
 def _with_cell(docs: DataFrame, topic_col: str | None, text_col: str) -> DataFrame:

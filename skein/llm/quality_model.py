@@ -14,10 +14,11 @@
 
 The hosts here are `source`, the paths `lang` within it; both are parameters.
 
-Defined cases: a null or blank text has the evidence of zero words; null hosts
-and paths are groups of their own; without labels the prior is 0.5 and every
-weight 0, so all are kept; an empty table gives an empty result; repeated rows
-count each; other columns are ignored.
+Defined cases: a null or blank text has the evidence of zero words; a very long
+text is measured whole; null hosts and paths are groups of their own; a posterior
+that ties with the threshold is kept; without labels the prior is 0.5 and every
+weight 0, so all are kept; a null doc_id has no label; an empty table gives an
+empty result; repeated rows count each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import SPACE, bounded, join_dim, materialize, read
+from skein.llm.common import ROW_KEY, SPACE, bounded, join_dim, materialize, read, release, row_keys, without
 
 #: Labelled rows that the bins are learned from, at most.
 MAX_FIT_ROWS = 50_000
@@ -184,10 +185,14 @@ def classify(
 
 
 def keep(docs: DataFrame, labels: DataFrame, columns: list[str], threshold: float = THRESHOLD) -> DataFrame:
-    """The rows that classify() keeps, with the named columns. Texts are measured again where they lie, not shuffled."""
-    source = docs.select(*columns).withColumns({"host": F.col("source").cast("string"), "path": F.col("lang").cast("string")})
-    measured = materialize(measure(source.select("doc_id", "text", "host", "path")).drop("text"), "measured")
-    return apply(measure(source), fit(measured, labels)).where(F.col("posterior") >= threshold).select(*columns)
+    """The rows that classify() keeps, with the named columns. Texts are measured once, in a written table of their bins by place."""
+    keyed = row_keys(docs.select(*columns))
+    source = keyed.select("doc_id", "text", F.col("source").cast("string").alias("host"), F.col("lang").cast("string").alias("path"), *ROW_KEY)
+    measured = materialize(measure(source).drop("text"), "measured")
+    judged = apply(measured, fit(measured, labels))
+    gone = materialize(judged.where(F.coalesce(F.col("posterior") < threshold, F.lit(True))).select(*ROW_KEY), "rejected")
+    release(measured)
+    return without(keyed, gone).select(*columns)
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

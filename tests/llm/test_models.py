@@ -1,5 +1,6 @@
 """Toxicity, language ID, quality, mixing and language-model operators."""
 
+import math
 import random
 
 import numpy as np
@@ -94,6 +95,21 @@ def test_language_id(make):
     edges = {r["doc_id"]: r["lang_pred"] for r in langid.identify(make([*EDGES, (70, "12 34 !"), (71, "ЖЖЖ")]), model).collect()}
     assert edges[1] == edges[2] == edges[3] == edges[70] == "und" and edges[71] in ("en", "fr")
     assert langid.identify(make([]), model).count() == 0
+    # Brute force: exact sets of n-grams instead of filters.
+    known = {name: {g for _, t, lang in rows[:200] if lang == name for g in langid.grams(t).tolist()} for name in ("en", "fr")}
+    for i, t, _ in rows[200:]:
+        n = {name: sum(g in known[name] for g in langid.grams(t).tolist()) for name in known}
+        best = max(sorted(n), key=lambda name: n[name])
+        assert got[i][0] == best and abs(got[i][1] - n[best] / sum(n.values())) < 0.01
+
+
+def test_letters_and_single_documents(make):
+    model = langid.fit(make([(1, "hello world", "en"), (2, "bonjour le monde", "fr"), *[(10 + i, "good day to all", "en") for i in range(4)]]))
+    asked = {1: "hello world", 2: "bonjour", 3: "½ ²", 4: "一二", 5: "12", 6: "ª", 7: "hello " * 50_000}
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(make(list(asked.items())), model).collect()}
+    assert got[1][0] == "en" == got[7][0] and got[2][0] == "fr" and got[3] == got[5] == ("und", 0.0)
+    assert got[4] == got[6] == ("en", 0.0)  # letters without a known n-gram: the commonest language
+    assert langid.least_documents([(9, 5), (3, 5), (1, 100)], 20) == 3 and langid.least_documents([(1, 100)], 20) == 1
 
 
 def test_bloom_masks_return_every_language():
@@ -125,6 +141,51 @@ def test_quality_sites(spark, make):
     assert quality_model.classify(make([]), spark.createDataFrame(labels, "doc_id long, quality int")).count() == 0
 
 
+def test_quality_matches_brute_force(spark, make):
+    """Bins, weights and posteriors worked out row by row; held-out labels are met."""
+    rng = random.Random(11)
+    rows, labels = [], []
+    for i in range(400):
+        junk = i % 3 == 0
+        words = [rng.choice(["alpha", "beta", "gamma", "delta", "eps"]) + str(rng.randrange(60)) for _ in range(rng.randrange(5, 90))]
+        rows.append((i, " ".join(w + "!!" if junk else w for w in words), "en", f"h{i % 4}"))
+        labels.append((i, int(not junk)))
+    lab = spark.createDataFrame(labels[:200], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in quality_model.classify(make(rows), lab).collect()}
+
+    def bins(text):
+        w = text.split()
+        n = max(1, len(w))
+        v = {
+            "symbols": sum(c in "#*$%&|<>" for c in text) / n, "capitals": sum(c.isupper() and c.isascii() for c in text) / max(1, len(text)),
+            "bangs": text.count("!") / n, "repeats": 1 - len(set(w)) / n, "length": len(w),
+        }
+        return {k: sum(v[k] >= b for b in quality_model.BINS[k]) for k in v}
+
+    total = [sum(q == y for _, q in labels[:200]) for y in (0, 1)]
+    evidence = {}
+    for i, text, *_ in rows:
+        e = 0.0
+        for k, b in bins(text).items():
+            width = len(quality_model.BINS[k]) + 1
+            share = [(sum(bins(rows[j][1])[k] == b for j, q in labels[:200] if q == y) + 2 / width) / (total[y] + 2) for y in (0, 1)]
+            e += 0.7 * (math.log(share[1]) - math.log(share[0]))
+        evidence[i] = e
+        assert abs(got[i]["evidence"] - e) < 1e-9
+    rate = (total[1] + 1) / 202
+    own = {i: 1 / (1 + math.exp(-(e + math.log(rate / (1 - rate))))) for i, e in evidence.items()}
+    base = sum(own.values()) / len(own)
+    for i, r in got.items():
+        logit = lambda p: math.log(p / (1 - p))
+        site = max(-2.0, min(2.0, logit(r["path_rate"]) - logit(base)))
+        assert abs(r["posterior"] - 1 / (1 + math.exp(-(logit(base) + site + evidence[i])))) < 1e-9
+    for h in range(4):
+        mean = np.mean([own[i] for i, *_ in rows if i % 4 == h])
+        r = got[h]["host_rate"]
+        assert min(mean, base) - 1e-9 <= r <= max(mean, base) + 1e-9  # between its own mean and the global one
+    assert all(got[i]["kept"] == bool(q) for i, q in labels[200:])
+
+
 def test_raking_meets_its_margins():
     rng = np.random.default_rng(0)
     cells = [(s, la, t) for s in "abc" for la in "xy" for t in "pq"]
@@ -157,7 +218,16 @@ def test_mix_draws_by_probability(make, monkeypatch):
     monkeypatch.setattr(mixing, "MAX_CELLS", 3)  # the large-table form
     large = {r["doc_id"]: r for r in mixing.mix(make(rows), few).collect()}
     for r in small:
-        assert abs(large[r["doc_id"]]["probability"] - r["probability"]) < 1e-3 and abs(large[r["doc_id"]]["weight"] - r["weight"]) < 1e-4
+        assert abs(large[r["doc_id"]]["probability"] - r["probability"]) < 1e-9 and abs(large[r["doc_id"]]["weight"] - r["weight"]) < 1e-9
+    # Targets for absent groups are spread alike, and cells fill up until none is over.
+    odd = mixing.Targets({"topic": {"absent": 0.5}, "source": {"hot": 0.01}, "lang": {"en": 0.98, "fr": 0.01}}, rounds=4, sample=0.9)
+    large = {r["doc_id"]: (r["weight"], r["probability"]) for r in mixing.mix(make(rows), odd).collect()}
+    monkeypatch.undo()
+    cells = {}
+    for r in mixing.mix(make(rows), odd).collect():
+        assert np.allclose(large[r["doc_id"]], (r["weight"], r["probability"]), atol=1e-9)
+        cells[r["source"], r["lang"], r["topic"]] = r["weight"]
+    assert abs(sum(cells.values()) - 1) < 1e-9
     assert mixing.mix(make([])).count() == 0
 
 
