@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,15 +18,14 @@ def unescaped(value: Column) -> Column:
 
     def code_points(text: Column, mark: str, digits: int) -> Column:
         """Hexadecimal code points behind a mark."""
-        parts = F.split(text, F.lit("\\\\" + mark))
-        own = F.transform(
-            F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))),
-            lambda x: F.when(
-                F.left(x, F.lit(digits)).rlike(f"^[0-9a-fA-F]{{{digits}}}$"),
-                F.concat(F.decode(F.unhex(F.lpad(F.left(x, F.lit(digits)), 4, "0")), "UTF-16BE"), F.substring(x, digits + 1, 1 << 30)),
-            ).otherwise(F.concat(F.lit("\\" + mark), x)),
-        )
-        return F.when(F.size(parts) > 1, F.concat(parts[0], F.array_join(own, ""))).otherwise(text)
+
+        def piece(x: Column, i: Column) -> Column:
+            hexa = F.left(x, F.lit(digits))
+            char = F.decode(F.unhex(F.lpad(hexa, 4, "0")), "UTF-16BE")
+            known = F.when(hexa.rlike(f"^[0-9a-fA-F]{{{digits}}}$"), F.concat(char, F.substring(x, digits + 1, 1 << 30)))
+            return F.when(i == 0, x).otherwise(F.coalesce(known, F.concat(F.lit("\\" + mark), x)))
+
+        return F.array_join(F.transform(F.split(text, F.lit("\\\\" + mark)), piece), "")
 
     def decoded(text: Column) -> Column:
         for letter, meant in _ESCAPES.items():
@@ -47,20 +48,35 @@ def metric(line: Column, strict: bool = False) -> Column:
     whole milliseconds. The strict form has no time and no brace within labels.
     """
     blank = F.lit(" \t\r")
-    line = F.btrim(line, blank)
-    open_at, close_at = F.instr(line, "{"), F.length(line) - F.instr(F.reverse(line), "}") + 1
-    bare = F.split(line, r"\s", 2)
-    braced = (open_at > 1) & (close_at > open_at) & F.contains(line, F.lit("}")) & ~F.substring_index(line, "{", 1).rlike(r"\s")
-    name = F.when(braced, F.substring_index(line, "{", 1)).otherwise(bare[0])
-    inner = F.when(braced, F.substring(line, open_at + 1, close_at - open_at - 1)).otherwise(F.lit(""))
-    tail = F.when(braced, F.substring(line, close_at + 1, F.length(line))).otherwise(F.concat(F.lit(" "), F.try_element_at(bare, F.lit(2))))
-    words = F.split(F.btrim(tail, blank), r"\s+")
-    timed = F.lit(False) if strict else (F.size(words) == 2) & words[1].rlike("^[0-9]+$")
-    fits = tail.rlike(r"^\s") & ((F.size(words) == 1) | timed) & (name != "") & ~F.contains(name, F.lit("{"))
-    if strict:
-        fits = fits & ~F.contains(inner, F.lit("}"))
-    value = words[0].try_cast("double")
-    return F.when(~line.startswith("#") & fits & value.isNotNull(), F.struct(name.alias("name"), labels(inner).alias("labels"), value.alias("value")))
+
+    def parts(x: Column) -> Column:
+        """Name, labels and the rest."""
+        open_at, close_at = F.instr(x, "{"), F.length(x) - F.instr(F.reverse(x), "}") + 1
+        braced = (open_at > 1) & (close_at > open_at) & F.contains(x, F.lit("}")) & ~F.substring_index(x, "{", 1).rlike(r"\s")
+        bare = F.split(x, r"\s", 2)
+        rest = F.concat(F.lit(" "), F.try_element_at(bare, F.lit(2)))
+        names = ("name", "inner", "tail")
+        with_labels = (F.substring_index(x, "{", 1), F.substring(x, open_at + 1, close_at - open_at - 1), F.substring(x, close_at + 1, F.length(x)))
+        made = [F.struct(*[v.alias(n) for n, v in zip(names, values)]) for values in (with_labels, (bare[0], F.lit(""), rest))]
+        return F.when(braced, made[0]).otherwise(made[1])
+
+    def checked(p: Column) -> Column:
+        return _let(F.split(F.btrim(p["tail"], blank), r"\s+"), lambda words: valued(p, words))
+
+    def valued(p: Column, words: Column) -> Column:
+        timed = F.lit(False) if strict else (F.size(words) == 2) & words[1].rlike("^[0-9]+$")
+        fits = p["tail"].rlike(r"^\s") & ((F.size(words) == 1) | timed) & (p["name"] != "") & ~F.contains(p["name"], F.lit("{"))
+        if strict:
+            fits = fits & ~F.contains(p["inner"], F.lit("}"))
+        value = words[0].try_cast("double")
+        return F.when(fits & value.isNotNull(), F.struct(p["name"].alias("name"), labels(p["inner"]).alias("labels"), value.alias("value")))
+
+    return _let(F.btrim(line, blank), lambda x: F.when(~x.startswith("#"), _let(parts(x), checked)))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once."""
+    return F.transform(F.array(value), body)[0]
 
 
 def integral(x: Column) -> Column:

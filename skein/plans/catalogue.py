@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import stats, text, timing
 from skein.operators import experiments, policies, sse, windows
-from skein.plans import replay
+from skein.plans import inspect, replay
 from skein.sources import metrics
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,26 +80,21 @@ def cache_temperature(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_E} SELECT CAST({_TTL_SQL} AS DOUBLE) AS ttl_s, count(*) AS n FROM e WHERE {_TTL_SQL} IS NOT NULL GROUP BY 1")
 def ttl_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return _events(spark, d).withColumn("ttl_s", _ttl()).where("ttl_s IS NOT NULL").groupBy("ttl_s").agg(F.count("*").alias("n")).orderBy("ttl_s")
+    return replay.ttl_histogram(_events(spark, d).select(F.struct(_ttl().alias("cloud_cache_ttl_s")).alias("features")))
 
 
 @query("SELECT event_type AS path, count(*) AS n, min(event_id) AS first_seen FROM events GROUP BY 1")
 def path_counts(spark: SparkSession, d: str) -> DataFrame:
-    e = _t(spark, d, "events")
-    return e.groupBy(F.col("event_type").alias("path")).agg(F.count("*").alias("n"), F.min("event_id").alias("first_seen")).orderBy(F.desc("n"), "first_seen")
+    return inspect.counts(_t(spark, d, "events").withColumnRenamed("event_type", "path"), "path", "event_id")
 
 
 @query(f"WITH {_E}, t AS (SELECT {_STATUS_SQL} AS status FROM e) SELECT status, count(*) AS n FROM t WHERE EXISTS (SELECT 1 FROM t WHERE status IS DISTINCT FROM 200) GROUP BY 1")
 def status_counts(spark: SparkSession, d: str) -> DataFrame:
-    from skein.plans import inspect
-
     return inspect.status_counts(_events(spark, d).withColumn("status", _status()), "event_id").drop("first_seen")
 
 
 @query(f"WITH {_E} SELECT k AS tool, count(*) AS n, min(event_id) AS first_seen FROM e GROUP BY 1 ORDER BY n DESC, first_seen LIMIT 15")
 def tool_topk(spark: SparkSession, d: str) -> DataFrame:
-    from skein.plans import inspect
-
     return inspect.counts(_events(spark, d).withColumnRenamed("k", "tool"), "tool", "event_id").limit(15)
 
 
@@ -131,13 +126,8 @@ SELECT CAST(sum(est_prompt_tokens) AS BIGINT) AS sum_input, CAST(sum(output_toke
 )
 def token_summary(spark: SparkSession, d: str) -> DataFrame:
     read = F.when(F.col("earlier_calls") > 0, F.floor(F.col("est_prompt_tokens") / 2)).otherwise(0)
-    r = _calls(spark, d).withColumn("cache_read", read)
-    total = F.sum("cache_read")
-    return r.agg(
-        F.sum("est_prompt_tokens").alias("sum_input"), F.sum("output_tokens").alias("sum_output"), total.alias("sum_cache_read"),
-        stats.median(F.col("est_prompt_tokens")).alias("median_input"), stats.median(F.col("output_tokens")).alias("median_output"),
-        F.try_divide(total, F.sum("est_prompt_tokens") + total).alias("prefix_reuse"),
-    )
+    usage = F.struct(F.col("est_prompt_tokens").alias("input_tokens"), F.col("output_tokens"), read.alias("cache_read_input_tokens"))
+    return inspect.token_summary(_calls(spark, d).select(F.to_variant_object(usage).alias("usage"))).drop("sum_cache_creation")
 
 
 @query(
@@ -193,7 +183,7 @@ def link_ewma(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_EWMA} SELECT event_id, rtt AS rtt_ewma, jitter AS jitter_ewma, CAST(i AS BIGINT) AS n_samples FROM r")
 def link_ewma_running(spark: SparkSession, d: str) -> DataFrame:
     e = _events(spark, d).select("event_id", "user_id", "s", "value")
-    return windows.running_ewma(e, "user_id", "s", "value").select("event_id", "rtt_ewma", "jitter_ewma", "n_samples")
+    return windows.running_ewma(e, "user_id", "s", "value", order=["event_id"]).select("event_id", "rtt_ewma", "jitter_ewma", "n_samples")
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
@@ -375,7 +365,7 @@ def prometheus_parse(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_E} SELECT 'app:' || event_type AS name, sum(CAST(k AS DOUBLE)) AS total FROM e WHERE k NOT IN (3, 7) GROUP BY 1")
 def counter_total(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.parse_lines(_lines(spark, d)).groupBy("name").agg(F.sum("value").alias("total"))
+    return metrics.totals(metrics.parse_lines(_lines(spark, d)))
 
 
 @query(f"WITH {_E} SELECT user_id, max_by(value, event_id) AS value FROM e WHERE event_type = 'view' GROUP BY 1")
@@ -434,13 +424,6 @@ def redact_map(spark: SparkSession, d: str) -> DataFrame:
     return r.select("event_id", F.try_element_at("h", F.lit("x-session")).alias("session"), F.size("h").alias("n_headers"))
 
 
-@query("SELECT * FROM (VALUES ('0,80,120', 3, 200.0::DOUBLE, true), ('5, 5', 2, 10.0, false), ('1,x', 0, NULL, false), ('', 0, NULL, false)) AS t(raw, n, total, all_distinct)")
-def comma_list_parse(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([("0,80,120",), ("5, 5",), ("1,x",), ("",)], "raw string").withColumn("x", text.comma_numbers(F.col("raw")))
-    n = F.when(F.col("x").isNotNull(), F.size("x")).otherwise(0)
-    return rows.select("raw", n.alias("n"), F.aggregate("x", F.lit(0.0), lambda a, b: a + b).alias("total"), F.coalesce(text.all_distinct(F.col("x")), F.lit(False)).alias("all_distinct"))
-
-
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1")
 def daily_partition_counts(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))

@@ -14,9 +14,14 @@ def parse_lines(lines: DataFrame, line: str = "value", strict: bool = False) ->
     return lines.select(*rest, metric(F.col(line), strict).alias("_m")).where("_m IS NOT NULL").select(*rest, "_m.name", "_m.labels", "_m.value")
 
 
+def totals(metrics: DataFrame, *keys: str) -> DataFrame:
+    """Each metric's sum over label sets."""
+    return metrics.groupBy("name", *keys).agg(F.sum("value").alias("total"))
+
+
 def counter_total(metrics: DataFrame, name: str, *keys: str) -> DataFrame:
-    """Sum over label sets."""
-    return metrics.where(F.col("name") == name).groupBy(*keys).agg(F.sum("value").alias("total"))
+    """The sum of one metric over label sets."""
+    return totals(metrics.where(F.col("name") == name), *keys).drop("name")
 
 
 def required_total(metrics: DataFrame, name: str) -> DataFrame:
