@@ -75,10 +75,9 @@ def test_star_rounds(spark):
     assert {tuple(r) for r in m.components(spark.createDataFrame(links, "a long, b long")).collect()} == want
 
 
-def test_ids_may_repeat_or_be_null(spark, make, monkeypatch):
+def test_ids_may_repeat_or_be_null(make):
     """Rows that share an id are linked by their texts only; groups without an id are kept."""
     a, b, c_ = ("a1 a2 a3 a4 a5 a6 a7 a8 a9", "b1 b2 b3 b4 b5 b6 b7 b8 b9", "c1 c2 c3 c4 c5 c6 c7 c8 c9")
     rows = [(1, a), (5, b), (5, a), (None, c_), (None, c_), (7, b), (9, None)]
-    monkeypatch.setattr(m, "HOT", 1)
     got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in m.near_dedup(make(rows)).collect()), key=str)
     assert got == sorted([(1, 1, True), (5, 5, True), (5, 1, False), (None, None, True), (None, None, True), (7, 5, False), (9, 9, True)], key=str)
