@@ -11,35 +11,73 @@ def truthy(x: Column) -> Column:
     return x.isNotNull() & (x != 0)
 
 
-def linear_percentile(x: Column, q: float) -> Column:
-    """Exact percentile with linear interpolation; null for an empty group."""
-    return F.percentile(x, F.lit(q))
+#: Buckets of values: so many to each doubling.
+STEPS = 64
 
 
-def median(x: Column) -> Column:
-    return F.percentile(x, F.lit(0.5))
+def _bucket(v: Column) -> Column:
+    """A number that grows with the value, the same for values within about a hundredth of each other."""
+    size = F.floor(STEPS * F.log2(F.abs(v))) + 2048 * STEPS
+    return F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0).cast("long"))
 
 
-def nearest_rank(df: DataFrame, keys: list[str], value: str, qs: dict[str, float]) -> DataFrame:
-    """sorted[min(int(q * n), n - 1)] per group, 0.0 for a group without values.
+def grouped_alike(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which nulls are equal; the keys are a's."""
+    on = F.lit(True)
+    for k in keys:
+        on = on & a[k].eqNullSafe(b[k])
+    joined = a.join(b, on, how)
+    for k in keys:
+        joined = joined.drop(b[k])
+    return joined
+
+
+def quantiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], nearest: bool = False) -> DataFrame:
+    """Exact percentiles: one row per group, a column per name of wanted, each (value column, q).
+
+    With linear interpolation at q * (n - 1), or, if nearest, sorted[min(int(q *
+    n), n - 1)]. Nulls are left out; a group without values has nulls (nearest:
+    0.0).
 
-    Ranks come from counts of distinct values, not from a list of a group's
-    rows, so a group may hold any number of rows: only its distinct values meet
-    in the window, and each is one row.
+    No task holds a group. Values are counted by bucket first, a bounded table;
+    the buckets that hold the wanted ranks follow from its running sums, and only
+    their distinct values are put in order. So a hot group costs what its counts
+    cost, unless nearly all its distinct values lie within a hundredth of each other.
     """
-    own = [F.col(k) for k in keys]
-    counts = df.groupBy(*own, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*keys)
-    some = F.col("_v").isNotNull()
-    n = F.sum(F.when(some, F.col("_n"))).over(w)
-    upto = F.sum(F.when(some, F.col("_n"))).over(w.orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumns({"_total": n, "_upto": upto})
-    out = []
-    for name, q in qs.items():
-        rank = F.least(F.floor(F.lit(q) * F.col("_total")), F.col("_total") - 1)
-        hit = some & (F.col("_upto") > rank) & (F.col("_upto") - F.col("_n") <= rank)
-        out.append(F.coalesce(F.max(F.when(hit, F.col("_v"))), F.lit(0.0)).alias(name))
-    return ranked.groupBy(*own).agg(*out)
+    names = list(wanted)
+    columns = sorted({c for c, _ in wanted.values()})
+    long = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(columns)])).alias("_x"))
+    long = long.select(*keys, "_x._c", "_x._v").where("_v IS NOT NULL")
+    counts = long.groupBy(*keys, "_c", "_v").agg(F.count("*").alias("_n")).withColumn("_b", _bucket(F.col("_v")))
+    by_bucket = long.withColumn("_b", _bucket(F.col("_v"))).groupBy(*keys, "_c", "_b").agg(F.count("*").alias("_m"))
+    group = Window.partitionBy(*keys, "_c")
+    by_bucket = by_bucket.withColumns({"_total": F.sum("_m").over(group), "_upto": F.sum("_m").over(group.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))})
+    total, before = F.col("_total"), F.col("_upto") - F.col("_m")
+    asked = []
+    for i, name in enumerate(names):
+        c, q = columns.index(wanted[name][0]), F.lit(wanted[name][1])
+        at = F.least(F.floor(q * total), total - 1).cast("double") if nearest else q * (total - 1)
+        for side, rank in ((0, F.floor(at)), (1, F.ceil(at))):
+            asked.append(F.when(F.col("_c") == c, F.struct(F.lit(2 * i + side).alias("id"), rank.cast("long").alias("rank"), (at - F.floor(at)).alias("part"))))
+    here = F.filter(F.array_compact(F.array(*asked)), lambda r: (r["rank"] >= before) & (r["rank"] < F.col("_upto")))
+    some = by_bucket.select(*keys, "_c", "_b", before.alias("_before"), here.alias("_here")).where(F.size("_here") > 0)
+    inside = Window.partitionBy(*keys, "_c", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = grouped_alike(counts, some, [*keys, "_c", "_b"]).withColumn("_upto", F.col("_before") + F.sum("_n").over(inside))
+    hit = F.filter("_here", lambda r: (r["rank"] < F.col("_upto")) & (r["rank"] >= F.col("_upto") - F.col("_n")))
+    found = placed.select(*keys, "_v", F.explode(hit).alias("_r"))
+    value = lambda i: F.max(F.when(F.col("_r.id") == i, F.col("_v")))
+    part = lambda i: F.max(F.when(F.col("_r.id") == 2 * i, F.col("_r.part")))
+    out = found.groupBy(*keys).agg(*[(value(2 * i) + (value(2 * i + 1) - value(2 * i)) * part(i)).alias(n) for i, n in enumerate(names)])
+    if not keys:
+        return out.withColumns({n: F.coalesce(n, F.lit(0.0)) for n in names}) if nearest else out
+    every = df.select(*keys).distinct()
+    out = grouped_alike(every, out, keys, "left")
+    return out.withColumns({n: F.coalesce(n, F.lit(0.0)) for n in names}) if nearest else out
+
+
+def nearest_rank(df: DataFrame, keys: list[str], value: str, qs: dict[str, float]) -> DataFrame:
+    """sorted[min(int(q * n), n - 1)] per group, 0.0 for a group without values."""
+    return quantiles(df, keys, {name: (value, q) for name, q in qs.items()}, nearest=True)
 
 
 def share(n: Column, *keys: str) -> Column:

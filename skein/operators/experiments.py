@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.functions.stats import linear_percentile, median
+from skein.functions.stats import grouped_alike, quantiles
 from skein.functions.timing import tracks
 
 #: Link presets as (delay ms, jitter ms, megabits a second; 0 is unlimited).
@@ -25,13 +25,11 @@ def link_valid(status: Column, placement: Column, ttft: Column) -> Column:
 def link_summary(rows: DataFrame, tolerance_ms: float = 5.0) -> DataFrame:
     """Per configured delay: medians over valid rows, and their distance to delay 0 (null without one)."""
     metrics = ["shaped_ms", "ttft_ms", "total_ms", "transport_network_ms", "effective_network_ms", "raw_server_ttft_ms", "corrected_server_ttft_ms", "response_headers_ms"]
-    ok = F.col("valid")
-    own = lambda c: F.when(ok, F.col(c))
-    groups = rows.groupBy("configured_delay_ms").agg(
-        F.count_if(ok).alias("valid_samples"), F.count("*").alias("total_samples"),
-        *[median(own(m)).alias(f"median_{m}") for m in metrics],
-        linear_percentile(own("ttft_ms"), 0.1).alias("p10_ttft_ms"), linear_percentile(own("ttft_ms"), 0.9).alias("p90_ttft_ms"),
-    ).where("valid_samples > 0")
+    key = ["configured_delay_ms"]
+    valid = rows.where("valid")
+    wanted = {f"median_{m}": (m, 0.5) for m in metrics} | {"p10_ttft_ms": ("ttft_ms", 0.1), "p90_ttft_ms": ("ttft_ms", 0.9)}
+    n = rows.groupBy(*key).agg(F.count_if(F.col("valid")).alias("valid_samples"), F.count("*").alias("total_samples")).where("valid_samples > 0")
+    groups = grouped_alike(n, quantiles(valid, key, wanted), key, "left")
     base = groups.where("configured_delay_ms = 0").select(*[F.col(f"median_{m}").alias(f"b_{m}") for m in ("ttft_ms", "raw_server_ttft_ms", "corrected_server_ttft_ms")])
     joined = groups.join(F.broadcast(base), F.lit(True), "left")  # one row
     for short, m in (("ttft", "ttft_ms"), ("raw_server", "raw_server_ttft_ms"), ("corrected_server", "corrected_server_ttft_ms")):
@@ -46,12 +44,10 @@ def link_summary(rows: DataFrame, tolerance_ms: float = 5.0) -> DataFrame:
 
 def prefix_summary(rows: DataFrame) -> DataFrame:
     """Per (total, cached): spread of valid rows and the time saved against the cold group of that total."""
-    ok = F.col("valid_hit")
-    t = F.when(ok, F.col("ttft_ms"))
-    groups = rows.groupBy("total_tokens", "intended_cached_tokens").agg(
-        median(t).alias("median_ttft_ms"), linear_percentile(t, 0.1).alias("p10_ttft_ms"), linear_percentile(t, 0.9).alias("p90_ttft_ms"),
-        F.count_if(ok).alias("valid_samples"), F.count("*").alias("total_samples"),
-    ).where("valid_samples > 0")
+    key = ["total_tokens", "intended_cached_tokens"]
+    wanted = {"median_ttft_ms": ("ttft_ms", 0.5), "p10_ttft_ms": ("ttft_ms", 0.1), "p90_ttft_ms": ("ttft_ms", 0.9)}
+    n = rows.groupBy(*key).agg(F.count_if(F.col("valid_hit")).alias("valid_samples"), F.count("*").alias("total_samples")).where("valid_samples > 0")
+    groups = grouped_alike(n, quantiles(rows.where("valid_hit"), key, wanted), key, "left")
     cold = groups.where("intended_cached_tokens = 0").select("total_tokens", F.col("median_ttft_ms").alias("_cold"))
     return groups.join(cold, "total_tokens", "left").select(
         "total_tokens", "intended_cached_tokens", (F.col("intended_cached_tokens") / F.col("total_tokens")).alias("cached_fraction"),

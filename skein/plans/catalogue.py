@@ -142,20 +142,17 @@ def latency_nearest_rank(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_type, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.1) AS p10, quantile_cont(value, 0.9) AS p90, count(value) AS n FROM events GROUP BY 1")
 def latency_linear_pct(spark: SparkSession, d: str) -> DataFrame:
-    v = F.col("value")
-    return _t(spark, d, "events").groupBy("event_type").agg(
-        stats.median(v).alias("p50"), stats.linear_percentile(v, 0.1).alias("p10"), stats.linear_percentile(v, 0.9).alias("p90"), F.count(v).alias("n")
-    )
+    e = _t(spark, d, "events")
+    n = e.groupBy("event_type").agg(F.count("value").alias("n"))
+    return stats.grouped_alike(n, stats.quantiles(e, ["event_type"], {"p50": ("value", 0.5), "p10": ("value", 0.1), "p90": ("value", 0.9)}), ["event_type"])
 
 
 @query(
     "SELECT l_returnflag, l_linestatus, quantile_cont(l_quantity, 0.5) AS median_quantity, quantile_cont(l_extendedprice, 0.1) AS p10_price, quantile_cont(l_extendedprice, 0.9) AS p90_price FROM lineitem GROUP BY 1, 2"
 )
 def lineitem_linear_pct(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(
-        stats.median(F.col("l_quantity")).alias("median_quantity"), stats.linear_percentile(F.col("l_extendedprice"), 0.1).alias("p10_price"),
-        stats.linear_percentile(F.col("l_extendedprice"), 0.9).alias("p90_price"),
-    )
+    wanted = {"median_quantity": ("l_quantity", 0.5), "p10_price": ("l_extendedprice", 0.1), "p90_price": ("l_extendedprice", 0.9)}
+    return stats.quantiles(_t(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], wanted)
 
 
 @query(

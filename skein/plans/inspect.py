@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.stats import common_prefix, median, nearest_rank, truthy
+from skein.functions.stats import common_prefix, nearest_rank, quantiles, truthy
 from skein.operators.features import system_text
 
 
@@ -31,10 +31,9 @@ def token_summary(df: DataFrame) -> DataFrame:
     use = lambda n: F.coalesce(F.try_variant_get("usage", f"$.{n}", "bigint"), F.lit(0))
     own = df.select(*[use(f"{n}_tokens" if "put" in n else f"{n}_input_tokens").alias(n) for n in ("input", "output", "cache_read", "cache_creation")])
     read = F.sum("cache_read")
-    return own.agg(
-        *[F.sum(c).alias(f"sum_{c}") for c in own.columns], median(F.col("input")).alias("median_input"), median(F.col("output")).alias("median_output"),
-        F.try_divide(read, F.sum("input") + read).alias("prefix_reuse"),
-    )
+    sums = own.agg(*[F.sum(c).alias(f"sum_{c}") for c in own.columns], F.try_divide(read, F.sum("input") + read).alias("prefix_reuse"))
+    middle = quantiles(own, [], {"median_input": ("input", 0.5), "median_output": ("output", 0.5)})
+    return sums.crossJoin(F.broadcast(middle))  # one row each
 
 
 def latency(df: DataFrame) -> DataFrame:

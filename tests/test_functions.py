@@ -190,3 +190,30 @@ def test_names_that_clash_and_null_keys(spark):
     assert (r["sample"], r["age_s"]) == (2.0, 1.0)
     samples = spark.createDataFrame([(200, "cloud", 1.0), (200, "cloud", None), (500, "cloud", 1.0), (200, "local", 1.0)], "s int, p string, t double")
     assert [r[0] for r in samples.select(experiments.link_valid(F.col("s"), F.col("p"), F.col("t"))).collect()] == [True, False, False, False]
+
+
+def test_quantiles_match_numpy(spark):
+    """Interpolated and nearest ranks of groups of every kind, negative, repeated, null and infinite values, and null keys."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    rows = [(g, h, None if rng.random() < 0.1 else f(rng)) for g, h, f in (
+        ("a", 1, lambda r: r.gauss(0, 100)), ("a", None, lambda r: float(r.randrange(4))), (None, 1, lambda r: 1e9 + r.random()), (None, None, lambda r: -(2.0 ** r.randrange(-30, 30))), ("z", 0, lambda r: 0.0)
+    ) for _ in range(rng.randrange(1, 400))] + [("empty", 1, None)]
+    df = spark.createDataFrame(rows, "g string, h int, v double")
+    qs = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p99": 0.99, "p100": 1.0}
+    groups = {}
+    for g, h, v in rows:
+        groups.setdefault((g, h), []).extend([] if v is None else [v])
+    linear = {(r["g"], r["h"]): r for r in stats.quantiles(df, ["g", "h"], {n: ("v", q) for n, q in qs.items()}).collect()}
+    nearest = {(r["g"], r["h"]): r for r in stats.nearest_rank(df, ["g", "h"], "v", qs).collect()}
+    assert set(linear) == set(nearest) == set(groups)
+    for k, x in groups.items():
+        x.sort()
+        for n, q in qs.items():
+            assert nearest[k][n] == (x[min(int(q * len(x)), len(x) - 1)] if x else 0.0)
+            assert linear[k][n] is None if not x else linear[k][n] == pytest.approx(float(np.quantile(x, q)), rel=1e-12)
+    whole = sorted(v for *_, v in rows if v is not None)
+    assert one(stats.quantiles(df, [], {"m": ("v", 0.5)}))["m"] == pytest.approx(float(np.median(whole)))
