@@ -14,8 +14,10 @@
    which names its sequence and its offset.
 
 Defined cases: a null or blank text is the closing id alone; a text longer
-than the capacity is cut, its last piece being whatever is left; repeated rows
-are packed each; an empty table gives no rows; other columns are ignored.
+than the capacity is cut, however long, its last piece being whatever is left;
+repeated rows are packed each, and which of them lies where (ties of length and
+id) is not said; a null doc_id stays null and its pieces are packed like any; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -6,9 +6,10 @@ that a new policy, or an ablation of an old one, reads the ledger and never the
 text again. Everything here is DataFrame functions; one document is one row and
 nothing is shuffled.
 
-Defined cases: a null text has no words and fails the length rule; an empty
-table gives an empty ledger; repeated rows give repeated rows; columns other
-than the id and the text are ignored.
+Defined cases: a null text has no words and fails the length rule; a very long
+text is measured whole; a measurement that ties with its rule's bound passes; a
+null doc_id stays null; an empty table gives an empty ledger; repeated rows give
+repeated rows; columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations

@@ -34,7 +34,7 @@ def test_planner_finds_exact_complements():
 def test_documents_round_trip(make):
     from tokenizers import Tokenizer
 
-    rows = [*EDGES[:-1], (20, "it's 42 o'clock: <|endoftext|> naïve é x y\x1cz"), *[(30 + i, "some words here " * i) for i in range(40)]]
+    rows = [*EDGES, (20, "it's 42 o'clock: <|endoftext|> naïve é x y\x1cz"), *[(30 + i, "some words here " * i) for i in range(40)]]
     out = p.pack_documents(make(rows)).collect()
     encode = Tokenizer.from_file(p.vocabulary_path()).encode
     by_doc, by_seq = {}, {}

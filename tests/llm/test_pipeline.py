@@ -42,6 +42,48 @@ def test_stages_do_what_their_operators_say(spark, table):
     assert len({r["sequence_id"] for r in packed}) <= -(-sum(r["length"] for r in packed) // packing.CAPACITY) + 1
 
 
+@pytest.fixture
+def small(spark, tmp_path, make):
+    """A table of documents, written and read as the stages get it."""
+
+    def of(rows):
+        make(rows).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+        spark.createDataFrame([], "doc_id long, quality int").write.mode("overwrite").parquet(str(tmp_path / "labels.parquet"))
+        return spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)
+
+    return of
+
+
+def test_verdicts_belong_to_rows(spark, small):
+    """Repeated and null ids: one row of each group of texts stays, and no other text is lost."""
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, "dup text"), (5, "only copy of A"), (5, "dup text"), (7, "same"), (7, "same"), (None, "none"), (None, "none"), (None, "dup text"), (8, None), (9, ""), (2, words + " x"), (None, words + " y"), (3, words)]
+    docs, d = small(rows)
+    for name, stage in p.STAGES[1:3]:
+        docs = p.materialize(stage(spark, docs, d), name)
+        assert docs.columns == p.COLUMNS
+        left = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=str)
+        if name == "exact_dedup":
+            assert left == sorted([(1, "dup text"), (5, "only copy of A"), (7, "same"), (None, "none"), (8, None), (2, words + " x"), (None, words + " y"), (3, words)], key=str)
+    assert left == sorted([(1, "dup text"), (5, "only copy of A"), (7, "same"), (None, "none"), (8, None), (2, words + " x")], key=str)
+
+
+def test_every_stage_takes_nothing(spark, small):
+    docs, d = small([])
+    for _, stage in p.STAGES:
+        assert stage(spark, docs, d).count() == 0
+    assert p.run(spark, d).count() == 0
+
+
+def test_frames_that_are_not_read_from_files(spark, make, small):
+    """A stage also takes a made frame; columns with clashing names are dropped."""
+    _, d = small([])
+    docs = make([(1, "a b c"), (2, "a b c"), (3, "other")])
+    assert sorted(r["doc_id"] for r in p.exact_duplicates(spark, docs, d).collect()) == [1, 3]
+    assert sorted(r["doc_id"] for r in p.near_duplicates(spark, docs, d).collect()) == [1, 3]
+    assert p.quality_classifier(spark, docs, d).count() == 3
+
+
 def test_registered():
     import __spark_entry__ as e
 
