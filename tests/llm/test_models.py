@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 
@@ -200,6 +201,56 @@ def test_raking_meets_its_margins():
     assert mixing.rates(np.array([0.9, 0.1]), np.array([1.0, 9.0]), 0.5).tolist() == [1.0, 4 / 9]
 
 
+def test_mix_matches_brute_force(make):
+    """Cells, raked weights and probabilities worked out with dictionaries, one group at a time."""
+    rng = random.Random(21)
+    rows = []
+    for i in range(400):
+        text = prose(rng, ENGLISH, rng.randrange(1, 500))
+        text = [text, text.replace(" ", " | "), text + " licence", text + " a@b.c"][rng.randrange(4)]
+        rows.append((i, text, rng.choice(["en", "fr", None]), rng.choice(["hot", "hot", "b", "c"])))
+    targets = mixing.Targets({"lang": {"en": 0.3, "absent": 0.4}}, sample=0.8)
+
+    def cell(r):
+        t = r[1]
+        topic = "table" if " | " in t else "legal" if re.search("licen[sc]e|copyright", t.lower()) else "contact" if "@" in t else "note" if len(t) < 1200 else "article"
+        return (r[3], r[2], topic)
+
+    mass = {}
+    for r in rows:
+        mass[cell(r)] = mass.get(cell(r), 0) + len(r[1].split())
+    total = sum(mass.values())
+    w = {c: m / total for c, m in mass.items()}
+    goals = []
+    for d, named in enumerate(({}, {"en": 0.3, "absent": 0.4}, {})):
+        have = {}
+        for c, x in w.items():
+            have[c[d]] = have.get(c[d], 0) + x
+        given = {g: named[g] for g in have if g in named}
+        free = {g: x**0.7 for g, x in have.items() if g not in named}
+        goal = given | {g: (1 - sum(given.values())) * x / sum(free.values()) for g, x in free.items()}
+        goals.append({g: x / sum(goal.values()) for g, x in goal.items()})
+    for _ in range(targets.rounds):
+        worst = 0.0
+        for d, goal in enumerate(goals):
+            have = {}
+            for c, x in w.items():
+                have[c[d]] = have.get(c[d], 0) + x
+            worst = max(worst, max(abs(have[g] - goal[g]) for g in goal))
+            w = {c: x * goal[c[d]] / have[c[d]] for c, x in w.items()}
+        if worst < targets.tolerance:
+            break
+    w = {c: x / sum(w.values()) for c, x in w.items()}
+    low, high = 0.0, 1e9  # the rate at which the sample has its size, by bisection
+    for _ in range(200):
+        rate = (low + high) / 2
+        low, high = (rate, high) if sum(min(m, w[c] * rate) for c, m in mass.items()) < 0.8 * total else (low, rate)
+    for r in mixing.mix(make(rows), targets).collect():
+        c = (r["source"], r["lang"], r["topic"])
+        assert c == cell(rows[r["doc_id"]])
+        assert abs(r["weight"] - w[c]) < 1e-9 and abs(r["probability"] - min(1.0, w[c] * rate / mass[c])) < 1e-6
+
+
 def test_mix_draws_by_probability(make, monkeypatch):
     rng = random.Random(9)
     rows = [(i, prose(rng, ENGLISH, rng.randrange(5, 400)), ("en", "fr", None)[i % 3], ("hot" if i % 3 else f"s{i % 5}")) for i in range(900)] + [(9001, None), (9002, "")]
