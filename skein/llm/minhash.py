@@ -121,8 +121,9 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key ^= key >> np.uint64(31)
         key *= _MIX[0]
         key ^= key >> np.uint64(30)
-        ids = np.repeat(b.column(0).to_numpy(zero_copy_only=False), BANDS)
-        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(ids, pa.int64())], ["key", "doc_id"])
+        ids, first = (np.repeat(b.column(i).to_numpy(zero_copy_only=False), BANDS) for i in (0, 2))
+        cols = [pa.array(key.ravel().view(np.int64)), pa.array(ids, pa.int64()), pa.array(first, pa.int64())]
+        yield pa.RecordBatch.from_arrays(cols, ["key", "doc_id", "first_id"])
 
 
 def _agree(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -268,9 +269,12 @@ def _grouped(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str,
     classes = materialize(alike.select(F.monotonically_increasing_id().alias("doc_id"), *alike.columns), "classes")
     n_classes = classes.count()
 
-    banded = classes.select("doc_id", "signature").mapInArrow(_bands, "key long, doc_id long")
-    buckets = materialize(banded.groupBy("key").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    members = materialize(join_hot(banded, buckets, "key", "n", BANDS * n_classes), "members")
+    # A bucket's head is the class of its smallest id: one that others are copies of, where copies come later.
+    ranked = classes.select("doc_id", "signature", F.coalesce("first_id", F.lit((1 << 63) - 1)).alias("first_id"))
+    banded = ranked.mapInArrow(_bands, "key long, doc_id long, first_id long")
+    least = F.min(F.struct("first_id", "doc_id"))["doc_id"]
+    buckets = materialize(banded.groupBy("key").agg(least.alias("head"), F.count("*").alias("n")).where("n > 1"), "buckets")
+    members = materialize(join_hot(banded.drop("first_id"), buckets, "key", "n", BANDS * n_classes), "members")
     release(buckets)
     pairs = members.where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
 
