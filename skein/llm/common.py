@@ -91,6 +91,22 @@ def _delete(root: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Parts:
+    """A table in the shared folder that several jobs write one after another."""
+
+    def __init__(self, spark: SparkSession, name: str, schema: str) -> None:
+        root = shared_root(spark)
+        self.spark, self.schema, self.path = spark, schema, f"{root}/{name}"
+        _roots[root] = spark
+        spark.createDataFrame([], schema).write.parquet(self.path)
+
+    def add(self, df: DataFrame) -> None:
+        df.write.mode("append").parquet(self.path)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete written tables whose last reader has been written."""
     for t in tables:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import context_mixing, exact_dedup, langid, minhash, mixing, packing, quality_model, quality_rules, secrets, toxicity
+from skein.llm import context_mixing, exact_dedup, hard_negatives, langid, minhash, mixing, packing, pieces, quality_model, quality_rules, resampling, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm_score": context_mixing.op8_lm_score,
         "op9_secret_scan": secrets.op9_secret_scan,
         "op10_language_id": langid.op10_language_id,
+        "op11_importance_resampling": resampling.op11_importance_resampling,
+        "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+        "op13_sentencepiece": pieces.op13_sentencepiece,
     }
 
 
@@ -29,4 +32,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_quality_rules": quality_rules.OP1_SQL,
         "op4_exact_dedup": exact_dedup.OP4_SQL,
         "op9_secret_scan": secrets.OP9_SQL,
+        "op11_importance_resampling": resampling.OP11_SQL,
+        "op12_hard_negatives": hard_negatives.OP12_SQL,
     }
