@@ -17,8 +17,10 @@ STEPS = 64
 
 def _bucket(v: Column) -> Column:
     """A number that grows with the value, the same for values within about a hundredth of each other."""
-    size = F.floor(STEPS * F.log2(F.abs(v))) + 2048 * STEPS
-    return F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0).cast("long"))
+    finite = ~F.isnan(v) & (F.abs(v) != float("inf"))
+    size = F.floor(STEPS * F.log2(F.when(finite, F.abs(v)))) + 2048 * STEPS
+    end = F.lit(4096 * STEPS).cast("long")
+    return F.when(F.isnan(v), end + 1).when(v == float("inf"), end).when(v == float("-inf"), -end).when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0).cast("long"))
 
 
 def grouped_alike(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -37,19 +39,21 @@ def quantiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float
 
     With linear interpolation at q * (n - 1), or, if nearest, sorted[min(int(q *
     n), n - 1)]. Nulls are left out; a group without values has nulls (nearest:
-    0.0).
-
-    No task holds a group. Values are counted by bucket first, a bounded table;
-    the buckets that hold the wanted ranks follow from its running sums, and only
-    their distinct values are put in order. So a hot group costs what its counts
-    cost, unless nearly all its distinct values lie within a hundredth of each other.
+    0.0). Infinities are the least and greatest values, NaN comes after them; a
+    rank between two equal values, infinite ones too, is that value.
+
+    The frame is read once, into counts of distinct values. No task holds a
+    group: the counts are summed by bucket, a bounded table; the buckets that
+    hold the wanted ranks follow from its running sums, and only their distinct
+    values are put in order. So a hot group costs what its counts cost, unless
+    nearly all its distinct values lie within a hundredth of each other.
     """
     names = list(wanted)
     columns = sorted({c for c, _ in wanted.values()})
     long = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(columns)])).alias("_x"))
-    long = long.select(*keys, "_x._c", "_x._v").where("_v IS NOT NULL")
-    counts = long.groupBy(*keys, "_c", "_v").agg(F.count("*").alias("_n")).withColumn("_b", _bucket(F.col("_v")))
-    by_bucket = long.withColumn("_b", _bucket(F.col("_v"))).groupBy(*keys, "_c", "_b").agg(F.count("*").alias("_m"))
+    every = long.select(*keys, "_x._c", "_x._v").groupBy(*keys, "_c", "_v").agg(F.count("*").alias("_n"))
+    counts = every.where("_v IS NOT NULL").withColumn("_b", _bucket(F.col("_v")))
+    by_bucket = counts.groupBy(*keys, "_c", "_b").agg(F.sum("_n").alias("_m"))
     group = Window.partitionBy(*keys, "_c")
     by_bucket = by_bucket.withColumns({"_total": F.sum("_m").over(group), "_upto": F.sum("_m").over(group.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))})
     total, before = F.col("_total"), F.col("_upto") - F.col("_m")
@@ -67,11 +71,11 @@ def quantiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float
     found = placed.select(*keys, "_v", F.explode(hit).alias("_r"))
     value = lambda i: F.max(F.when(F.col("_r.id") == i, F.col("_v")))
     part = lambda i: F.max(F.when(F.col("_r.id") == 2 * i, F.col("_r.part")))
-    out = found.groupBy(*keys).agg(*[(value(2 * i) + (value(2 * i + 1) - value(2 * i)) * part(i)).alias(n) for i, n in enumerate(names)])
+    between = lambda i: F.when(value(2 * i) == value(2 * i + 1), value(2 * i)).otherwise(value(2 * i) + (value(2 * i + 1) - value(2 * i)) * part(i))
+    out = found.groupBy(*keys).agg(*[between(i).alias(n) for i, n in enumerate(names)])
     if not keys:
         return out.withColumns({n: F.coalesce(n, F.lit(0.0)) for n in names}) if nearest else out
-    every = df.select(*keys).distinct()
-    out = grouped_alike(every, out, keys, "left")
+    out = grouped_alike(every.select(*keys).distinct(), out, keys, "left")
     return out.withColumns({n: F.coalesce(n, F.lit(0.0)) for n in names}) if nearest else out
 
 

@@ -89,6 +89,15 @@ def rounded(df: DataFrame, places: int, *columns: str) -> DataFrame:
     return df.withColumns({c: F.bround(F.col(c), places) for c in columns})
 
 
+def settled(df: DataFrame, places: int, *columns: str) -> DataFrame:
+    """The named columns rounded half up, where what lies within 1e-7 units of a half counts as a half.
+
+    So results that differ by rounding errors alone are rounded alike.
+    """
+    unit = 10.0**places
+    return df.withColumns({c: F.floor(F.col(c) * unit + F.lit(0.5 + 1e-7)) / unit for c in columns})
+
+
 def safe_int(x: Column) -> Column:
     """An integer, or null for null, "None" and anything that is none."""
     return F.nullif(x, F.lit("None")).try_cast("bigint")
@@ -100,10 +109,10 @@ def first_positive(*xs: Column) -> Column:
 
 
 def comma_numbers(text: Column, kind: str = "double") -> Column:
-    """Numbers of a comma list; null where one of them is not a number or the list is empty."""
+    """Numbers of a comma list; null where one is no number or negative, or the list is empty."""
     parts = F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: p != "")
     numbers = F.transform(parts, lambda p: p.try_cast(kind))
-    return F.when((F.size(parts) > 0) & ~F.exists(numbers, lambda n: n.isNull()), numbers)
+    return F.when((F.size(parts) > 0) & ~F.exists(numbers, lambda n: n.isNull() | (n < 0)), numbers)
 
 
 def all_distinct(numbers: Column) -> Column:

@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.operators.scans import decaying, last_before, sizes
+from skein.tables import BLOCK, in_ranges
 
-def session_gaps(df: DataFrame, session: str, ts: str, order: list[str], out: str = "gap_s") -> DataFrame:
-    """Seconds since the session's last record; null for a first record and where session or time is missing.
 
-    Records without a session or time neither get a gap nor count as a last
-    record; they never meet in one window, since each is dealt by its order.
+def session_gaps(df: DataFrame, session: str, ts: str, order: list[str], out: str = "gap_s", places: int | None = 1) -> DataFrame:
+    """Seconds since the session's last record, to one decimal; null for a first record and where session or time is missing.
+
+    Records without a time or with a null or empty session neither get a gap nor
+    count as a last record. Sessions may be of any size: rows lie in ranges, and
+    a session's last time is carried from range to range. places None leaves gaps
+    unrounded.
     """
-    some = F.col(session).isNotNull() & F.col(ts).isNotNull()
-    w = Window.partitionBy("_some", session, "_deal").orderBy(F.col(ts), *order)
-    deal = F.when(some, F.lit(0)).otherwise(F.pmod(F.xxhash64(*order), F.lit(1024)))
-    lagged = df.withColumns({"_some": some, "_deal": deal}).withColumn("_last", F.lag(ts).over(w))
-    return lagged.withColumn(out, F.when(F.col("_some"), F.col(ts) - F.col("_last"))).drop("_some", "_deal", "_last")
+    some = F.coalesce((F.col(session).cast("string") != "") & F.col(ts).isNotNull(), F.lit(False))
+    columns = [c for c in df.columns if c != out]
+    gap = F.col(ts) - F.col("_last")
+    t = last_before(in_ranges(df.where(some).select(*columns), session, ts, *order), session, F.col(ts), [ts, *order], "_last")
+    with_gap = t.select(*columns, (gap if places is None else F.bround(gap, places)).alias(out))
+    return with_gap.unionByName(df.where(~some).select(*columns, F.lit(None).cast(with_gap.schema[out].dataType).alias(out)))
 
 
 def cache_temperature(gap: Column, ttl: Column) -> Column:
@@ -30,59 +35,60 @@ def cache_temperature(gap: Column, ttl: Column) -> Column:
 def running_ewma(df: DataFrame, key: str, ts: str, value: str, alpha: float = 0.2, order: Sequence[str] = ()) -> DataFrame:
     """Each row with the estimate after it: rtt, jitter, n and seconds since the last sample.
 
-    The rows of a key are sorted within their partition and read in batches
-    with one state carried along, so a key may be longer than memory. Rows of
-    equal time are read by the columns of order. Rows without a key are a key of
-    their own. Columns that have the names of the results are replaced.
+    The mean starts with a key's first sample, the jitter with 0; jitter moves
+    towards the distance from the mean before the sample. Null and NaN samples
+    are skipped. Rows of equal time are taken by the columns of order. Rows
+    without a key are a key of their own. alpha lies between 0 and 1. Columns
+    that have the names of the results are replaced, all others stay as they are.
+
+    Both estimates are prefix scans (see scans): first the mean, then, once the
+    means are known, the jitter. Keys may be of any size.
     """
-    df = df.drop("rtt_ewma", "jitter_ewma", "n_samples", "staleness_s")
-    schema = df.schema
-    names = df.columns
-    at_key, at_ts, at_value = names.index(key), names.index(ts), names.index(value)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, rtt, jitter, n, last = object(), None, None, 0, None
-        for pdf in batches:
-            out = []
-            for k, t, x in zip(pdf.iloc[:, at_key], pdf.iloc[:, at_ts], pdf.iloc[:, at_value]):
-                k = None if pd.isna(k) else k  # a null number reads as NaN, which differs from itself
-                if k != now:
-                    now, rtt, jitter, n, last = k, None, None, 0, None
-                if not pd.isna(x):
-                    if rtt is None:
-                        rtt, jitter = x, 0.0
-                    else:
-                        rtt, jitter = rtt + alpha * (x - rtt), jitter + alpha * (abs(x - rtt) - jitter)
-                    n, last = n + 1, t
-                out.append((rtt, jitter, n, None if last is None else t - last))
-            est = pd.DataFrame(out, columns=["rtt_ewma", "jitter_ewma", "n_samples", "staleness_s"], index=pdf.index)
-            yield pd.concat([pdf, est], axis=1)
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    sorted_rows = df.repartition(F.col(key)).sortWithinPartitions(key, ts, *order)
-    return sorted_rows.mapInPandas(run, f"{fields}, rtt_ewma double, jitter_ewma double, n_samples long, staleness_s double")
-
-
-def latest_sample(records: DataFrame, samples: DataFrame, ts: str, value: str, width: float = 3600.0) -> DataFrame:
-    """As-of attach: the last sample at or before each record, and its age.
-
-    There is one sample stream for all records, so an ordered window over
-    everything would be one task. Time is cut into buckets instead: within a
-    bucket the window finds the last sample; a record before its bucket's first
-    sample takes the last one of the earlier buckets, from a carry table of one
-    row per bucket. Columns named sample and age_s are replaced.
+    if not 0 < alpha < 1:
+        raise ValueError("alpha lies between 0 and 1")
+    columns = [c for c in df.columns if c not in ("rtt_ewma", "jitter_ewma", "n_samples", "staleness_s")]
+    by = list(dict.fromkeys([ts, *order]))
+    x = F.col(value).cast("double")
+    t = in_ranges(df.select(*columns, F.when(~F.isnan(x), x).alias("_x")), key, *by)
+    size = sizes(t)
+    upto = Window.partitionBy(key, BLOCK).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    mean = decaying(t, key, by, "_x", 1 - alpha, size, "rtt_ewma", True, "_prev")
+    sampled = F.when(F.col("_x").isNotNull(), F.col(ts))
+    counted = mean.withColumns({"_n": F.count("_x").over(upto), "_at": F.last(sampled, ignorenulls=True).over(upto)})
+    ends = t.groupBy(key, BLOCK).agg(F.count("_x").alias("_n"), F.max(sampled).alias("_at"))
+    before = Window.partitionBy(key).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(BLOCK, F.col(key).alias("_of"), F.sum("_n").over(before).alias("_n0"), F.max("_at").over(before).alias("_at0")).where("_n0 > 0")
+    both = counted.join(F.broadcast(carry), BLOCK, "left")  # at most one a range
+    same = F.col(key).eqNullSafe(F.col("_of"))
+    both = both.withColumns({"n_samples": F.col("_n") + F.coalesce(F.when(same, F.col("_n0")), F.lit(0)), "_at": F.coalesce("_at", F.when(same, F.col("_at0")))})
+    # A sample's distance from the mean before it; a key's first sample has none.
+    both = both.withColumn("_d", F.when(F.col("_x").isNotNull(), F.coalesce(F.abs(F.col("_x") - F.col("_prev")), F.lit(0.0))))
+    out = decaying(both.select(*t.columns, "rtt_ewma", "n_samples", "_at", "_d"), key, by, "_d", 1 - alpha, size, "jitter_ewma", False)
+    return out.select(*columns, "rtt_ewma", "jitter_ewma", "n_samples", (F.col(ts) - F.col("_at")).alias("staleness_s"))
+
+
+def latest_sample(records: DataFrame, samples: DataFrame, ts: str, value: str, order: Sequence[str] = ()) -> DataFrame:
+    """As-of attach: the last sample at or before each record, and its age; of samples of one time the later by order.
+
+    There is one sample stream for all records. Both lie together in ranges of
+    time of about equal numbers of rows, so a busy hour is many ranges; the last
+    sample before a range is its carry. Records without a time get nulls, samples
+    without a time are left out. Columns named sample and age_s are replaced.
     """
-    records = records.drop("sample", "age_s")
-    bucket = F.floor(F.col(ts) / width)
-    r = records.withColumns({"_b": bucket, "_s": F.lit(None).cast(samples.schema[value].dataType), "_t": F.lit(None).cast("double"), "_k": F.lit(1)})
-    empty = {c: F.lit(None).cast(records.schema[c].dataType) for c in records.columns if c != ts}
-    s = samples.select(F.col(ts), F.col(value).alias("_s")).withColumns({**empty, "_b": bucket, "_t": F.col(ts), "_k": F.lit(0)})
-    w = Window.partitionBy("_b").orderBy(ts, "_k").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("_k") == 0, F.struct("_t", "_s")), ignorenulls=True)
-    seen = r.unionByName(s.select(*r.columns)).withColumn("_last", last.over(w))
-    ends = samples.groupBy(bucket.alias("_b")).agg(F.max_by(F.struct(F.col(ts).alias("_t"), F.col(value).alias("_s")), ts).alias("_end"))
-    # One row per bucket of time; buckets of records without samples take part as well.
-    every = records.select(bucket.alias("_b")).distinct().join(ends, "_b", "left").unionByName(ends.join(records.select(bucket.alias("_b")).distinct(), "_b", "left_anti"))
-    carry = every.withColumn("_carry", F.last("_end", ignorenulls=True).over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)))
-    out = seen.where("_k = 1").join(carry.select("_b", "_carry"), "_b", "left").withColumn("_hit", F.coalesce("_last", "_carry"))
-    return out.select(*records.columns, F.col("_hit._s").alias("sample"), (F.col(ts) - F.col("_hit._t")).alias("age_s"))
+    columns = [c for c in records.columns if c not in ("sample", "age_s")]
+    timed = F.col(ts).isNotNull()
+    # Samples of a time come before its records; equal records may be dealt anywhere.
+    s = samples.where(timed).select(F.col(ts).alias("_t"), F.lit(0).alias("_kind"), F.struct(F.lit(None).cast("long").alias("deal"), *order).alias("_order"), F.struct(F.col(ts).alias("t"), F.col(value).alias("v")).alias("_s"))
+    fields = s.schema["_order"].dataType
+    deal = F.struct(F.xxhash64(*[F.col(c).cast("string") for c in columns]).alias("deal"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in fields.fields[1:]])
+    r = records.where(timed).select(F.col(ts).alias("_t"), F.lit(1).alias("_kind"), deal.alias("_order"), F.struct(*columns).alias("_r"))
+    t = in_ranges(r.unionByName(s, allowMissingColumns=True), "_t", "_kind", "_order")
+    here = Window.partitionBy(BLOCK).orderBy("_t", "_kind", "_order").rowsBetween(Window.unboundedPreceding, 0)
+    ends = t.groupBy(BLOCK).agg(F.max_by("_s", F.when(F.col("_kind") == 0, F.struct("_t", "_order"))).alias("_end"))
+    # One row a range.
+    carry = ends.select(BLOCK, F.last("_end", ignorenulls=True).over(Window.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    seen = t.withColumn("_hit", F.last("_s", ignorenulls=True).over(here)).where("_kind = 1").join(F.broadcast(carry), BLOCK)
+    hit = F.coalesce("_hit", "_carry")
+    out = seen.select(*[F.col("_r")[c].alias(c) for c in columns], hit["v"].alias("sample"), (F.col("_t") - hit["t"]).alias("age_s"))
+    untimed = records.where(~timed).select(*columns, *[F.lit(None).cast(out.schema[c].dataType).alias(c) for c in ("sample", "age_s")])
+    return out.unionByName(untimed)

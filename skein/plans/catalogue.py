@@ -46,7 +46,7 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 
 
 _E = "e AS (SELECT *, epoch_us(ts) / 1e6 AS s, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)"
-_GAP = f"{_E}, g AS (SELECT *, s - lag(s) OVER (PARTITION BY user_id ORDER BY s, event_id) AS gap_s FROM e)"
+_GAP = f"{_E}, g AS (SELECT *, round_even(s - lag(s) OVER (PARTITION BY user_id ORDER BY s, event_id), 1) AS gap_s FROM e)"
 #: The lifetime of each event type's cache; others have none.
 _TTL = {"view": 300.0, "click": 300.0, "purchase": 3600.0, "signup": 3600.0}
 _TTL_SQL = "CASE WHEN event_type IN ('view', 'click') THEN 300.0 WHEN event_type IN ('purchase', 'signup') THEN 3600.0 END"
@@ -163,24 +163,25 @@ def common_prefix_by_role(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "conversations").groupBy("role").agg(stats.common_prefix(F.col("text")).alias("prefix"))
 
 
+_SETTLED = "floor({} * 10 + CAST('0.5000001' AS DOUBLE)) / 10"
 _EWMA = f"""RECURSIVE o AS (WITH {_E} SELECT event_id, user_id, s, value AS x, row_number() OVER (PARTITION BY user_id ORDER BY s, event_id) AS i FROM e),
 r AS (SELECT event_id, user_id, i, x AS rtt, CAST(0 AS DOUBLE) AS jitter FROM o WHERE i = 1
   UNION ALL SELECT o.event_id, o.user_id, o.i, r.rtt + CAST('0.2' AS DOUBLE) * (o.x - r.rtt), r.jitter + CAST('0.2' AS DOUBLE) * (abs(o.x - r.rtt) - r.jitter) FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1)"""
 
 
-@query(f"WITH {_EWMA} SELECT user_id, max_by(rtt, i) AS rtt_ewma, max_by(jitter, i) AS jitter_ewma, count(*) AS n_samples FROM r GROUP BY 1")
+@query(f"WITH {_EWMA} SELECT user_id, {_SETTLED.format('max_by(rtt, i)')} AS rtt_ewma, {_SETTLED.format('max_by(jitter, i)')} AS jitter_ewma, count(*) AS n_samples FROM r GROUP BY 1")
 def link_ewma(spark: SparkSession, d: str) -> DataFrame:
-    # Rows without a user are one group, named by a flag, since Python reads a null number as NaN.
-    e = _events(spark, d).select("user_id", "s", "event_id", "value").withColumn("who", F.concat(F.col("user_id").isNull().cast("string"), F.coalesce(F.col("user_id").cast("string"), F.lit(""))))
-    run = windows.running_ewma(e, "who", "s", "value", order=["event_id", "value"])
-    last = F.max_by(F.struct("rtt_ewma", "jitter_ewma", "n_samples"), F.struct("s", "event_id", "n_samples"))
-    return run.groupBy("user_id").agg(last.alias("e")).select("user_id", "e.rtt_ewma", "e.jitter_ewma", "e.n_samples")
+    e = _events(spark, d).select("user_id", "s", "event_id", "value")
+    run = windows.running_ewma(e, "user_id", "s", "value", order=["event_id"])
+    last = F.max_by(F.struct("rtt_ewma", "jitter_ewma", "n_samples"), F.struct("s", "event_id"))
+    return text.settled(run.groupBy("user_id").agg(last.alias("e")).select("user_id", "e.rtt_ewma", "e.jitter_ewma", "e.n_samples"), 1, "rtt_ewma", "jitter_ewma")
 
 
-@query(f"WITH {_EWMA} SELECT event_id, rtt AS rtt_ewma, jitter AS jitter_ewma, CAST(i AS BIGINT) AS n_samples FROM r")
+@query(f"WITH {_EWMA} SELECT event_id, {_SETTLED.format('rtt')} AS rtt_ewma, {_SETTLED.format('jitter')} AS jitter_ewma, CAST(i AS BIGINT) AS n_samples FROM r")
 def link_ewma_running(spark: SparkSession, d: str) -> DataFrame:
     e = _events(spark, d).select("event_id", "user_id", "s", "value")
-    return windows.running_ewma(e, "user_id", "s", "value", order=["event_id"]).select("event_id", "rtt_ewma", "jitter_ewma", "n_samples")
+    run = windows.running_ewma(e, "user_id", "s", "value", order=["event_id"]).select("event_id", "rtt_ewma", "jitter_ewma", "n_samples")
+    return text.settled(run, 1, "rtt_ewma", "jitter_ewma")
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
@@ -327,12 +328,12 @@ def phase_durations(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_E} SELECT r.event_id, v.value AS sample, r.s - v.s AS age_s FROM e AS r ASOF LEFT JOIN (SELECT s, value FROM e WHERE event_type = 'view') AS v ON r.s >= v.s"""
+    f"""WITH {_E} SELECT r.event_id, v.value AS sample, r.s - v.s AS age_s FROM e AS r ASOF LEFT JOIN (SELECT s, max_by(value, event_id) AS value FROM e WHERE event_type = 'view' GROUP BY 1) AS v ON r.s >= v.s"""
 )
 def asof_latest_sample(spark: SparkSession, d: str) -> DataFrame:
     e = _events(spark, d)
-    samples = e.where("event_type = 'view'").select("s", "value")
-    return windows.latest_sample(e.select("event_id", "s"), samples, "s", "value").select("event_id", "sample", "age_s")
+    samples = e.where("event_type = 'view'").select("s", "value", "event_id")
+    return windows.latest_sample(e.select("event_id", "s"), samples, "s", "value", ["event_id"]).select("event_id", "sample", "age_s")
 
 
 @query(

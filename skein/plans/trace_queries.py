@@ -158,7 +158,7 @@ def inspect_tool_uses(spark: SparkSession, d: str) -> DataFrame:
 
 
 _CALLS = f"""{_E}, c AS (SELECT event_id AS line, s, k, CASE WHEN k % 11 <> 0 THEN 's' || user_id END AS session FROM e WHERE k % 4 IN (0, 3) AND k % 5 NOT IN (0, 1)),
-g AS (SELECT *, CASE WHEN session IS NOT NULL THEN s - lag(s) OVER (PARTITION BY session ORDER BY s, line) END AS gap FROM c)"""
+g AS (SELECT *, CASE WHEN session IS NOT NULL THEN round_even(s - lag(s) OVER (PARTITION BY session ORDER BY s, line), 1) END AS gap FROM c)"""
 
 
 @query(f"WITH {_CALLS} SELECT line, session, gap AS gap_s, CAST((k + 1) // 4 AS BIGINT) AS est_prompt_tokens FROM g")

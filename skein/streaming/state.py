@@ -14,7 +14,7 @@ ESTIMATE = "link string, ts double, network_ms double, rtt_ewma double, jitter_e
 
 
 def online_gaps(stream: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """Gap to the session's last call, in arrival order by time within a batch.
+    """Gap to the session's last call to one decimal, in arrival order by time within a batch.
 
     stream has session and ts. State never expires unless ttl_ms is given.
     """
@@ -28,7 +28,7 @@ def online_gaps(stream: DataFrame, ttl_ms: int | None = None) -> DataFrame:
         if len(ts):
             before = [last, *ts.iloc[:-1].tolist()]
             last = float(ts.iloc[-1])
-            gaps = [None if b is None else t - b for t, b in zip(ts.tolist(), before)]
+            gaps = [None if b is None else round(t - b, 1) for t, b in zip(ts.tolist(), before)]
             yield pd.DataFrame({"session": key[0], "ts": ts.tolist(), "gap_s": pd.array(gaps, dtype="Float64")})
         if last is not None:
             state.update((last,))

@@ -90,7 +90,7 @@ def test_ewma_folds_and_runs_alike(spark):
     rtt, jitter = 10.0, 0.0
     for x in (20.0, 5.0):
         rtt, jitter = rtt + 0.2 * (x - rtt), jitter + 0.2 * (abs(x - rtt) - jitter)
-    assert (run["k", 4.0]["rtt_ewma"], run["k", 4.0]["jitter_ewma"]) == (rtt, jitter)
+    assert (run["k", 4.0]["rtt_ewma"], run["k", 4.0]["jitter_ewma"]) == pytest.approx((rtt, jitter), rel=1e-12)
     folded = df.orderBy("ts").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("ts", "x"))).alias("a")).select("key", stats.ewma(F.transform("a", lambda s: s["x"])).alias("e"))
     assert {r["key"]: (r["e"]["rtt"], r["e"]["jitter"], r["e"]["n"]) for r in folded.collect()} == {"k": (rtt, jitter, 3), "j": (7.0, 0.0, 1)}
 
