@@ -72,8 +72,9 @@ def decaying(t: DataFrame, key: str, order: Sequence[str], x: str, decay: float,
 
     maps = rows.groupBy("_unit", "_section").agg(F.pow(r, F.max("_j")).alias("_f"), F.max_by("_local", "_j").alias("_o"), F.min_by(x, F.when(F.col(x).isNotNull(), F.col("_c"))).alias("_first"))
     maps = cut(composed(maps, Window.partitionBy("_unit").orderBy("_section"), steps(longest // length + 1)))
-    # What comes before a section, by its number: for keys with several in one range.
-    before = maps.withColumn("_n", F.count("*").over(Window.partitionBy("_unit"))).where("_n > 1").groupBy("_unit").agg(F.array_sort(F.collect_list(F.struct("_section", "_f", "_o"))).alias("_before"))
+    # What comes before a section: only keys with several sections in a range have it.
+    in_unit = Window.partitionBy("_unit").orderBy("_section")
+    before = maps.select("_unit", "_section", F.lag("_f").over(in_unit).alias("_pf"), F.lag("_o").over(in_unit).alias("_po")).where("_pf IS NOT NULL")
     ends = maps.groupBy("_unit").agg(F.max_by(F.struct("_f", "_o"), "_section").alias("_m"), F.min_by("_first", "_section").alias("_first"))
     ends = composed(ends.select(F.col("_unit.key").alias("_of"), F.col("_unit.block").alias(BLOCK), "_m._f", "_m._o", "_first"), Window.partitionBy("_of").orderBy(BLOCK), steps(blocks))
     of_key = Window.partitionBy("_of").orderBy(BLOCK)
@@ -82,11 +83,10 @@ def decaying(t: DataFrame, key: str, order: Sequence[str], x: str, decay: float,
     carry = ends.withColumn("_in", F.when(first.isNotNull(), entering)).where("_in IS NOT NULL").select(BLOCK, "_of", "_in")
 
     own = F.first(x, ignorenulls=True).over(so_far) if first_as_start else F.when(F.col("_c") > 0, F.lit(0.0))
-    both = rows.withColumn("_own", own).join(before, "_unit", "left").join(F.broadcast(carry), BLOCK, "left")  # at most one a range
+    both = rows.withColumn("_own", own).join(before, ["_unit", "_section"], "left").join(F.broadcast(carry), BLOCK, "left")  # at most one a range
     came = F.when(F.col(key).eqNullSafe(F.col("_of")), F.col("_in"))
-    prior = F.get(F.col("_before"), F.col("_section") - 1)
     start = F.coalesce(came, F.col("_own"))
-    y = F.pow(r, F.col("_j")) * F.coalesce(prior["_f"] * start + prior["_o"], start) + F.col("_local")
+    y = F.pow(r, F.col("_j")) * F.coalesce(F.col("_pf") * start + F.col("_po"), start) + F.col("_local")
     both = both.withColumn(out, y)
     if previous:
         both = both.withColumn(previous, F.coalesce(F.lag(out).over(here), came))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 _USAGE = "struct<input_tokens:bigint,output_tokens:bigint,cache_read_input_tokens:bigint,cache_creation_input_tokens:bigint>"
 #: What is read of an event; each line is parsed once.
 EVENT = (
-    "type string, index int, content_block struct<type:string,name:string,id:string>,"
+    "type string, index int, content_block struct<type:string,name:string,id:string,text:string,thinking:string,signature:string,input:variant>,"
     " delta struct<text:string,partial_json:string,thinking:string,signature:string,stop_reason:string>,"
     f" message struct<id:string,model:string,usage:{_USAGE}>, usage {_USAGE}"
 )
@@ -26,9 +26,12 @@ def events(df: DataFrame, key: str, raw: str) -> DataFrame:
 def reassemble(ev: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(blocks, messages): content blocks by index, and each message's id, model, stop reason and usage.
 
-    Tool input that is no JSON, the empty string included, becomes
-    {"_unparsed": text}. Of values sent more than once the last one stays. Both
-    come from one grouping: events without an index belong to the message.
+    A block begins with what its last start holds and goes on with the deltas
+    after it; deltas without a start make a block of their own, without a type.
+    Pieces of tool input replace the input that a start holds; if they are no
+    JSON together, the empty string included, it becomes {"_unparsed": text}.
+    A block event without an index belongs to block 0. Of values sent more than
+    once the last one stays. Both frames come from one grouping.
     """
     kind, pos = F.col("event.type"), F.col("pos")
 
@@ -36,23 +39,27 @@ def reassemble(ev: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
         v = F.coalesce(*values)
         return F.max_by(v, F.when(v.isNotNull(), pos))
 
-    def piece(name: str) -> Column:
-        v = F.when(kind == "content_block_delta", F.col(f"event.delta.{name}"))
-        return F.array_join(F.transform(F.array_sort(F.collect_list(F.when(v.isNotNull(), F.struct(pos, v.alias("v"))))), lambda p: p["v"]), "")
-
-    begun = lambda name: F.max_by(F.col(f"event.content_block.{name}"), F.when(kind == "content_block_start", pos))
+    started = kind == "content_block_start"
+    begun = lambda name: F.max_by(F.col(f"event.content_block.{name}"), F.when(started, pos))
     use = lambda name: (F.col(f"event.usage.{name}"), F.col(f"event.message.usage.{name}"))
-    of_block = F.when(kind.startswith("content_block"), F.col("event.index")).alias("index")
+    # All text of a block in one list, put in order once: what it starts with, and its deltas.
+    names = ("text", "thinking", "signature", "partial_json")
+    first = [F.col(f"event.content_block.{n}") for n in names[:3]] + [F.lit(None).cast("string")]
+    piece = F.struct(pos, started.alias("start"), *[F.when(started, b).when(kind == "content_block_delta", F.col(f"event.delta.{n}")).alias(n) for n, b in zip(names, first)])
+    of_block = F.when(kind.isin("content_block_start", "content_block_delta"), F.coalesce(F.col("event.index"), F.lit(0))).alias("index")
     folded = ev.groupBy(key, of_block).agg(
-        F.count_if(kind == "content_block_start").alias("_starts"), begun("type").alias("type"), begun("name").alias("name"), begun("id").alias("block_id"),
-        piece("text").alias("text"), piece("partial_json").alias("_json"), piece("thinking").alias("thinking"), piece("signature").alias("signature"),
-        latest(F.col("event.message.id")).alias("message_id"), latest(F.col("event.message.model")).alias("model"), latest(F.col("event.delta.stop_reason")).alias("stop_reason"),
+        begun("type").alias("type"), begun("name").alias("name"), begun("id").alias("block_id"), begun("input").alias("_input"),
+        F.array_sort(F.collect_list(F.when(of_block.isNotNull(), piece))).alias("_pieces"), F.max(F.when(started, pos)).alias("_from"),
+        latest(F.col("event.message.id")).alias("message_id"), latest(F.col("event.message.model")).alias("model"),
+        latest(F.when(kind == "message_delta", F.col("event.delta.stop_reason"))).alias("stop_reason"),
         latest(*use("input_tokens")).alias("input_tokens"), latest(*use("output_tokens")).alias("output_tokens"),
         latest(*use("cache_read_input_tokens")).alias("cache_read"), latest(*use("cache_creation_input_tokens")).alias("cache_creation"),
     )
-    text = F.col("_json")
-    tool = F.when(F.col("type") == "tool_use", F.coalesce(F.to_json(F.try_parse_json(text)), F.to_json(F.struct(text.alias("_unparsed")))))
-    blocks = folded.where("index IS NOT NULL AND _starts > 0").select(key, "index", "type", "name", "block_id", "text", "thinking", "signature", tool.alias("input"))
+    since = folded.withColumn("_pieces", F.filter("_pieces", lambda p: F.col("_from").isNull() | (p["pos"] >= F.col("_from"))))
+    joined = lambda name: F.array_join(F.transform("_pieces", lambda p: p[name]), "")
+    text = joined("partial_json")
+    tool = F.when(F.exists("_pieces", lambda p: p["partial_json"].isNotNull()), F.coalesce(F.to_json(F.try_parse_json(text)), F.to_json(F.struct(text.alias("_unparsed"))))).otherwise(F.to_json("_input"))
+    blocks = since.where("index IS NOT NULL").select(key, "index", "type", "name", "block_id", *[joined(n).alias(n) for n in names[:3]], tool.alias("input"))
     messages = folded.where("index IS NULL").select(key, "message_id", "model", "stop_reason", "input_tokens", "output_tokens", "cache_read", "cache_creation")
     return blocks, messages
 

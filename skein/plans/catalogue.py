@@ -163,7 +163,7 @@ def common_prefix_by_role(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "conversations").groupBy("role").agg(stats.common_prefix(F.col("text")).alias("prefix"))
 
 
-_SETTLED = "floor({} * 10 + CAST('0.5000001' AS DOUBLE)) / 10"
+_SETTLED = "floor({} * CAST('1000000' AS DOUBLE) + CAST('0.50137' AS DOUBLE)) / CAST('1000000' AS DOUBLE)"
 _EWMA = f"""RECURSIVE o AS (WITH {_E} SELECT event_id, user_id, s, value AS x, row_number() OVER (PARTITION BY user_id ORDER BY s, event_id) AS i FROM e),
 r AS (SELECT event_id, user_id, i, x AS rtt, CAST(0 AS DOUBLE) AS jitter FROM o WHERE i = 1
   UNION ALL SELECT o.event_id, o.user_id, o.i, r.rtt + CAST('0.2' AS DOUBLE) * (o.x - r.rtt), r.jitter + CAST('0.2' AS DOUBLE) * (abs(o.x - r.rtt) - r.jitter) FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1)"""
@@ -174,14 +174,14 @@ def link_ewma(spark: SparkSession, d: str) -> DataFrame:
     e = _events(spark, d).select("user_id", "s", "event_id", "value")
     run = windows.running_ewma(e, "user_id", "s", "value", order=["event_id"])
     last = F.max_by(F.struct("rtt_ewma", "jitter_ewma", "n_samples"), F.struct("s", "event_id"))
-    return text.settled(run.groupBy("user_id").agg(last.alias("e")).select("user_id", "e.rtt_ewma", "e.jitter_ewma", "e.n_samples"), 1, "rtt_ewma", "jitter_ewma")
+    return text.settled(run.groupBy("user_id").agg(last.alias("e")).select("user_id", "e.rtt_ewma", "e.jitter_ewma", "e.n_samples"), 6, "rtt_ewma", "jitter_ewma")
 
 
 @query(f"WITH {_EWMA} SELECT event_id, {_SETTLED.format('rtt')} AS rtt_ewma, {_SETTLED.format('jitter')} AS jitter_ewma, CAST(i AS BIGINT) AS n_samples FROM r")
 def link_ewma_running(spark: SparkSession, d: str) -> DataFrame:
     e = _events(spark, d).select("event_id", "user_id", "s", "value")
     run = windows.running_ewma(e, "user_id", "s", "value", order=["event_id"]).select("event_id", "rtt_ewma", "jitter_ewma", "n_samples")
-    return text.settled(run, 1, "rtt_ewma", "jitter_ewma")
+    return text.settled(run, 6, "rtt_ewma", "jitter_ewma")
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:

@@ -183,6 +183,28 @@ def record_order(spark: SparkSession, d: str) -> DataFrame:
     return traces.in_order(r).select("line").limit(25)
 
 
+@query(
+    """SELECT conv_id, turn, 'Hello ' || text AS said, CASE turn % 3 WHEN 0 THEN '{"a":' || turn || '}' WHEN 1 THEN '{"b":' || turn || '}' ELSE '{"_unparsed":"{broken"}' END AS input,
+  CASE WHEN turn % 2 = 0 THEN 'sig' || turn END AS loose FROM conversations WHERE text <> ''"""
+)
+def sse_initial_content(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks that start with content of their own, blocks without a start, and tool input with and without deltas."""
+    c = _t(spark, d, "conversations").where("text <> ''").withColumn("id", F.concat_ws("/", "conv_id", "turn"))
+    turn = F.col("turn").cast("string")
+    event = lambda kind, i, **rest: F.concat(F.lit("data: "), F.to_json(F.struct(F.lit(kind).alias("type"), F.lit(i).alias("index"), *[v.alias(k) for k, v in rest.items()])))
+    block = lambda kind, **f: F.struct(F.lit(kind).alias("type"), *[v.alias(k) for k, v in f.items()])
+    deltas = F.when(F.col("turn") % 3 == 1, F.concat(F.lit('{"b":'), turn, F.lit("}"))).when(F.col("turn") % 3 == 2, F.lit("{broken"))
+    raw = F.concat_ws(
+        "\n\n", event("content_block_start", 0, content_block=block("text", text=F.lit("Hello "))), event("content_block_start", 1, content_block=block("tool_use", input=F.struct(F.col("turn").alias("a")))),
+        event("content_block_delta", 0, delta=F.struct(F.substring("text", 1, 9).alias("text"))), event("content_block_delta", 0, delta=F.struct(F.substring("text", 10, 1 << 30).alias("text"))),
+        F.when(deltas.isNotNull(), event("content_block_delta", 1, delta=F.struct(deltas.alias("partial_json")))), F.when(F.col("turn") % 2 == 0, event("content_block_delta", 2, delta=F.struct(F.concat(F.lit("sig"), turn).alias("signature")))),
+        event("content_block_stop", 0), event("content_block_stop", 1),
+    )
+    blocks, _ = sse.reassemble(sse.events(c.select("id", raw.alias("raw")), "id", "raw"), "id")
+    x, part = F.col("content"), F.split("id", "/")
+    return sse.contents(blocks, "id").select(part[0].cast("long").alias("conv_id"), part[1].cast("long").alias("turn"), x[0]["text"].alias("said"), x[1]["input"].alias("input"), F.get(x, F.lit(2))["signature"].alias("loose"))
+
+
 @query(f"WITH {_E} SELECT event_id AS line, CAST(CASE WHEN k % 6 = 0 THEN 2 ELSE length('{{\"cache_read_input_tokens\":' || (k * 2) || ',\"input_tokens\":' || k || ',\"output_tokens\":' || (k % 7) || '}}') END AS INTEGER) AS usage_chars FROM e")
 def usage_objects(spark: SparkSession, d: str) -> DataFrame:
     payload = F.parse_json(F.concat(F.lit('{"usage":'), F.coalesce(F.to_json("usage"), F.lit("[1]")), F.lit("}")))

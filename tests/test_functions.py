@@ -217,3 +217,18 @@ def test_quantiles_match_numpy(spark):
             assert linear[k][n] is None if not x else linear[k][n] == pytest.approx(float(np.quantile(x, q)), rel=1e-12)
     whole = sorted(v for *_, v in rows if v is not None)
     assert one(stats.quantiles(df, [], {"m": ("v", 0.5)}))["m"] == pytest.approx(float(np.median(whole)))
+
+
+def test_percentiles_with_infinities_and_nan(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [("a", inf), ("a", 1.0), ("a", -inf), ("b", inf), ("b", inf), ("c", None), ("d", nan), ("d", 3.0), ("d", 2.0), ("e", -inf), (None, 4.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r["k"]: r["m"] for r in stats.quantiles(df, ["k"], {"m": ("v", 0.5)}).collect()}
+    assert got == {"a": 1.0, "b": inf, "c": None, "d": 3.0, "e": -inf, None: 4.0}
+    top = {r["k"]: r["t"] for r in stats.nearest_rank(df, ["k"], "v", {"t": 0.99}).collect()}
+    assert (top["a"], top["c"], top["e"]) == (inf, 0.0, -inf) and top["d"] != top["d"]
+
+
+def test_comma_numbers_refuse_negative(spark):
+    df = spark.createDataFrame([("1,2",), ("1,-2",), ("x",), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(text.comma_numbers(F.col("t"))).collect()] == [[1.0, 2.0], None, None, None, None]
