@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from skein.functions import text, timing
 from skein.operators import experiments, features, policies, requests, sse
 from skein.plans import inspect, replay
-from skein.plans.catalogue import _E, _STATUS_SQL, _events, _status, _t, query
+from skein.plans.catalogue import _E, _STATUS_SQL, _events, _lines, _status, _t, query
 from skein.sources import metrics, traces
+from skein.tables import shared_folder
 
 def _if(cond: Column, value) -> Column:
     return F.when(cond, value)
@@ -342,3 +343,12 @@ def message_contents(spark: SparkSession, d: str) -> DataFrame:
         part[0].cast("long").alias("conv_id"), part[1].cast("long").alias("turn"), F.array_join(F.transform(x, lambda b: b["type"]), ",").alias("kinds"),
         x[1]["text"].alias("said"), x[2]["input"].alias("input"), "output_tokens",
     )
+
+
+@query(f"WITH {_E} SELECT 'app:' || event_type AS name, CAST(count(*) AS BIGINT) AS n, sum(CAST(k AS DOUBLE)) AS total, count(DISTINCT user_id) AS n_users FROM e WHERE k NOT IN (3, 7) GROUP BY 1")
+def metric_endpoint(spark: SparkSession, d: str) -> DataFrame:
+    """Events written as kept scrapes in the shared folder and read back through the metrics data source."""
+    folder = shared_folder(spark) + "/scrapes"
+    _lines(spark, d).select("value").write.text(folder)
+    m = metrics.scrapes(spark, path=folder).where("error IS NULL")
+    return m.groupBy("name").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.count_distinct(F.col("labels.user")).alias("n_users"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.text import metric
+from skein.sources.endpoint import MetricSource
 
 
 def parse_lines(lines: DataFrame, line: str = "value", strict: bool = False) -> DataFrame:
@@ -46,3 +47,21 @@ def meminfo(text: Column) -> Column:
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Experiment rows with a declared schema."""
     return spark.read.schema(schema).option("header", "true").csv(path)
+
+
+def _parsed(lines: DataFrame) -> DataFrame:
+    """Metrics of scraped lines; a failed scrape stays as a row with its error alone."""
+    m = metric(F.col("value"))
+    return lines.withColumn("_m", m).where("_m IS NOT NULL OR error IS NOT NULL").select("scrape", "time", "line", "_m.name", "_m.labels", "_m.value", "error")
+
+
+def scrapes(spark: SparkSession, **options: str) -> DataFrame:
+    """scrape, time, line, name, labels, value and error of an endpoint's text now, or of a folder of kept scrapes (see endpoint)."""
+    spark.dataSource.register(MetricSource)
+    return _parsed(spark.read.format("metric_text").options(**options).load())
+
+
+def scrape_stream(spark: SparkSession, log: str, **options: str) -> DataFrame:
+    """The same as a stream that asks the endpoint again and again, each scrape exactly once."""
+    spark.dataSource.register(MetricSource)
+    return _parsed(spark.readStream.format("metric_text").options(log=log, **options).load())
