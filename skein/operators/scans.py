@@ -111,6 +111,44 @@ def running_total(t: DataFrame, value: Column, order: Sequence[str], out: str) -
     return t.withColumn(out, F.sum(value).over(here)).join(F.broadcast(carry), BLOCK).withColumn(out, F.col(out) + F.col("_carry")).drop("_carry")
 
 
+def running_sums(t: DataFrame, key: str, sums: dict[str, Column], order: Sequence[str]) -> DataFrame:
+    """Sums over the key's rows up to each row of an in_ranges() table of (key, order); values are whole numbers, never null."""
+    here = Window.partitionBy(key, BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ends = t.groupBy(key, BLOCK).agg(*[F.sum(v).alias(n) for n, v in sums.items()])
+    before = Window.partitionBy(key).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(BLOCK, F.col(key).alias("_of"), F.struct(*[F.sum(n).over(before).alias(n) for n in sums]).alias("_c")).where(f"_c.`{next(iter(sums))}` IS NOT NULL")
+    both = t.withColumns({n: F.sum(v).over(here) for n, v in sums.items()}).join(F.broadcast(carry), BLOCK, "left")  # at most one a range
+    came = F.col(key).eqNullSafe(F.col("_of"))
+    return both.withColumns({n: F.col(n) + F.coalesce(F.when(came, F.col("_c")[n]), F.lit(0)) for n in sums}).drop("_of", "_c")
+
+
+#: Bits of one level of greater_before(): as many digits are counted side by side.
+DIGIT_BITS = 4
+
+
+def greater_before(rows: DataFrame, at: str, value: str, bound: int, out: str) -> DataFrame:
+    """For each row, how many rows with a smaller at have a greater value.
+
+    at is unique; value is a whole number in [0, bound) and never null. Numbers
+    are compared digit by digit from the top: rows that agree above a digit are
+    read in order of at, with running counts of their digits. A level is one
+    range shuffle of the rows, and groups may be of any size.
+    """
+    levels = max(1, -(-max(1, bound - 1).bit_length() // DIGIT_BITS))
+    top = (1 << DIGIT_BITS) - 1
+    columns = rows.columns
+    acc = rows.withColumn(out, F.lit(0).cast("long"))
+    for level in reversed(range(levels)):
+        digit = F.shiftright(F.col(value), DIGIT_BITS * level).bitwiseAND(F.lit(top))
+        grouped = acc.withColumns({"_g": F.shiftright(F.col(value), DIGIT_BITS * (level + 1)), "_d": digit.cast("int")})
+        t = in_ranges(grouped, "_g", at)
+        # _n{j}: rows so far whose digit is j or more; a row itself is not above its own digit.
+        counted = running_sums(t, "_g", {f"_n{j}": (F.col("_d") >= j).cast("long") for j in range(1, top + 1)}, [at])
+        above = F.get(F.array(*[F.col(f"_n{j}") for j in range(1, top + 1)], F.lit(0).cast("long")), F.col("_d"))
+        acc = counted.select(*columns, (F.col(out) + above).alias(out))
+    return acc
+
+
 def running_least(t: DataFrame, key: str, value: Column, order: Sequence[str], out: str) -> DataFrame:
     """The least value of the key's rows strictly before each row of an in_ranges() table; null for a first row."""
     here = Window.partitionBy(key, BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -119,6 +157,3 @@ def running_least(t: DataFrame, key: str, value: Column, order: Sequence[str], o
     both = t.withColumn(out, F.min(value).over(here)).join(F.broadcast(carry.select(BLOCK, F.col(key).alias("_of"), "_carry")), BLOCK, "left")
     mine = F.when(F.col(key).eqNullSafe(F.col("_of")), F.col("_carry"))
     return both.withColumn(out, F.least(out, mine)).drop("_of", "_carry")
-
-
-__all__ = ["in_ranges", "last_before", "decaying", "running_total", "running_least", "sizes", "composed"]
