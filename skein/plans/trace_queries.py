@@ -354,23 +354,30 @@ def metric_endpoint(spark: SparkSession, d: str) -> DataFrame:
     return m.groupBy("name").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.count_distinct(F.col("labels.user")).alias("n_users"))
 
 
-_CHAIN = """b AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS place, role, coalesce(text, '') AS text FROM conversations),
-h AS (SELECT conv_id, place, sha256(place || ':message ' || role || ' {"text":"' || replace(replace(replace(replace(text, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n'), chr(9), '\\t') || '","type":"text"}') AS h FROM b),
-p AS (SELECT conv_id, place, """ + " || ".join(
+_CHAIN = """b AS (SELECT conv_id, turn, 'message ' || role || ' {"text":"' || replace(replace(replace(replace(coalesce(text, ''), '\\', '\\\\'), '"', '\\"'), chr(10), '\\n'), chr(9), '\\t') || '","type":"text"}' AS block FROM conversations
+  UNION ALL SELECT conv_id, -1, 'system {"text":"policy ' || conv_id % 7 || '","type":"text"}' FROM conversations WHERE turn = 0
+  UNION ALL SELECT conv_id, -2, 'tool {"name":"t' || conv_id % 3 || '","strict":true}' FROM conversations WHERE turn = 0),
+h AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, sha256(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 || ':' || block) AS h FROM b),
+p AS (SELECT conv_id, CAST(place AS INTEGER) AS place, """ + " || ".join(
     f"printf('%08x', CAST(sum(CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT)) OVER (PARTITION BY conv_id ORDER BY place) % 4294967296 AS BIGINT))" for i in range(8)
 ) + " AS prefix_key FROM h)"
 
 
 def _turn_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """Each turn as the content of one message of a request, in JSON whose keys come in either order, by its place in the conversation."""
-    c = _t(spark, d, "conversations")
-    said = F.coalesce("text", F.lit(""))
-    block = F.when(F.col("turn") % 2 == 0, F.to_json(F.struct(F.lit("text").alias("type"), said.alias("text")))).otherwise(F.to_json(F.struct(said.alias("text"), F.lit("text").alias("type"))))
-    message = F.concat(F.lit('{"messages":[{"content":['), block, F.lit('],"role":"'), F.col("role"), F.lit('"}]}'))
-    asked = c.select(F.struct("conv_id", "turn").alias("call"), F.parse_json(message).alias("request"))
-    blocks = prefixes.content_blocks(asked, "call", "request").select(F.col("call.conv_id").alias("conv_id"), F.col("call.turn").alias("turn"), "block")
-    t = in_ranges(blocks, "conv_id", "turn")
-    return scans.running_sums(t, "conv_id", {"n": F.lit(1).cast("long")}, ["turn"]).select("conv_id", (F.col("n") - 1).cast("int").alias("place"), "block")
+    """Each turn as a message of a request, the first one with tools and a system text that conversations share, by place in the conversation.
+
+    Keys of the JSON come in either order.
+    """
+    c, turned = _t(spark, d, "conversations"), F.col("turn") % 2 == 1
+    said, i = F.coalesce("text", F.lit("")), F.col("conv_id")
+    block = F.when(turned, F.to_json(F.struct(said.alias("text"), F.lit("text").alias("type")))).otherwise(F.to_json(F.struct(F.lit("text").alias("type"), said.alias("text"))))
+    tool = F.when(i % 2 == 0, F.concat(F.lit('{"strict":true,"name":"t'), (i % 3).cast("string"), F.lit('"}'))).otherwise(F.concat(F.lit('{"name":"t'), (i % 3).cast("string"), F.lit('","strict":true}')))
+    head = F.when(F.col("turn") == 0, F.concat(F.lit('"system":"policy '), (i % 7).cast("string"), F.lit('","tools":['), tool, F.lit("],"))).otherwise("")
+    request = F.concat(F.lit("{"), head, F.lit('"messages":[{"content":['), block, F.lit('],"role":"'), F.col("role"), F.lit('"}]}'))
+    asked = c.select(F.struct("conv_id", "turn").alias("call"), F.parse_json(request).alias("request"))
+    blocks = prefixes.content_blocks(asked, "call", "request").select(F.col("call.conv_id").alias("conv_id"), F.col("call.turn").alias("turn"), F.col("place").alias("inner"), "block")
+    t = in_ranges(blocks, "conv_id", "turn", "inner")
+    return scans.running_sums(t, "conv_id", {"n": F.lit(1).cast("long")}, ["turn", "inner"]).select("conv_id", (F.col("n") - 1).cast("int").alias("place"), "block")
 
 
 @query(f"WITH {_CHAIN} SELECT * FROM p")
@@ -382,9 +389,9 @@ def prefix_keys(spark: SparkSession, d: str) -> DataFrame:
     f"""WITH {_CHAIN}, a AS (SELECT *, row_number() OVER (ORDER BY place, conv_id) AS pos FROM p),
 l AS (SELECT *, lag(pos) OVER (PARTITION BY prefix_key ORDER BY pos) AS was FROM a),
 d AS (SELECT l.conv_id, l.place, CASE WHEN was IS NOT NULL THEN (SELECT count(DISTINCT m.prefix_key) FROM a AS m WHERE m.pos > l.was AND m.pos < l.pos) END AS distance FROM l)
-SELECT conv_id, count(*) AS n_blocks, CAST(coalesce(min(place) FILTER (WHERE distance IS NULL OR distance >= 64), count(*)) AS BIGINT) AS resident FROM d GROUP BY 1"""
+SELECT conv_id, count(*) AS n_blocks, CAST(coalesce(min(place) FILTER (WHERE distance IS NULL OR distance >= 50), count(*)) AS BIGINT) AS resident FROM d GROUP BY 1"""
 )
 def resident_prefixes(spark: SparkSession, d: str) -> DataFrame:
-    """Conversations side by side, a turn of each in turn: how much of each a list of the 64 keys used last still holds."""
+    """Conversations side by side, a turn of each in turn: how much of each a list of the 50 keys used last still holds."""
     keys = prefixes.prefix_keys(_turn_blocks(spark, d), "conv_id", "place", "block")
-    return prefixes.resident_prefix(prefixes.reuse_distances(keys, "prefix_key", "place", "conv_id"), "conv_id", "place", 64)
+    return prefixes.resident_prefix(prefixes.reuse_distances(keys, "prefix_key", "place", "conv_id"), "conv_id", "place", 50)
