@@ -8,11 +8,10 @@ language with most hits left decides.
 
 Learning takes at most about MAX_FIT_ROWS labelled rows of each language (chosen
 by a hash of the id, whatever the size of the table; a rarer language keeps all).
-Of each language's n-grams those stay that lie in most of its documents: the
-largest number of documents, and all n-grams with as many, as long as there are
-no more than GRAMS_PER_LANGUAGE; a language with fewer keeps every one, those of
-a single document included. The model grows with the number of languages (16 MB
-for each 64), not with rows.
+Every n-gram of those rows stays. The filter has at least LEAST_SLOTS slots and
+SLOTS_PER_GRAM for each n-gram of the language that has most, so its chance hits
+stay few; its size so follows from the bound on rows and the number of languages
+(16 MB for each 64 at the least), not from the table.
 
 Defined cases: a text that is null or has no letter (no character of Unicode
 category L) is `und` with score 0; a text with letters but no known n-gram gets
@@ -33,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import fold, hash_bound, materialize, read, release
+from skein.llm.common import fold, hash_bound, read
 
 MAX_FIT_ROWS = 20_000
-GRAMS_PER_LANGUAGE = 30_000
 N = 4
-SLOTS = 1 << 21
+LEAST_SLOTS = 1 << 21
+SLOTS_PER_GRAM = 16
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 #: Digits, white space and ASCII punctuation all read as one gap, so layout carries nothing.
 _GAP = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -58,9 +57,9 @@ def grams(text: str) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two slots of an n-gram."""
-    return (h & np.uint64(SLOTS - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(SLOTS - 1)).astype(np.int64)
+def places(h: np.ndarray, slots: int = LEAST_SLOTS) -> tuple[np.ndarray, np.ndarray]:
+    """The two slots of an n-gram; slots is a power of two."""
+    return (h & np.uint64(slots - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(slots - 1)).astype(np.int64)
 
 
 @dataclass
@@ -75,18 +74,20 @@ class LanguageFilters:
     @classmethod
     def build(cls, by_language: dict[str, np.ndarray], commonest: str = "") -> LanguageFilters:
         names = sorted(by_language)
-        masks = np.zeros((SLOTS, max(1, -(-len(names) // 64))), np.uint64)
+        most = max(map(len, by_language.values()), default=0)
+        slots = max(LEAST_SLOTS, 1 << (SLOTS_PER_GRAM * most - 1).bit_length() if most else 0)
+        masks = np.zeros((slots, max(1, -(-len(names) // 64))), np.uint64)
         rate = np.zeros(len(names))
         for i, name in enumerate(names):
             own, bit = masks[:, i // 64], np.uint64(i % 64)
-            for at in places(by_language[name]):
+            for at in places(by_language[name], slots):
                 own[at] |= np.uint64(1) << bit  # the same bit, so repeats of a slot are harmless
             rate[i] = float(((own >> bit) & np.uint64(1)).mean()) ** 2
         return cls(names, masks, rate, commonest or (names[0] if names else ""))
 
     def hits(self, h: np.ndarray) -> np.ndarray:
         """Per language, n-grams found less those that chance would find."""
-        a, b = places(h)
+        a, b = places(h, len(self.masks))
         found = self.masks[a] & self.masks[b]
         n = len(h)
         bits = np.array([np.count_nonzero(found[:, i // 64] & np.uint64(1 << i % 64)) for i in range(len(self.languages))], float)
@@ -133,38 +134,16 @@ def fit(labelled: DataFrame, max_rows: int = MAX_FIT_ROWS) -> LanguageFilters:
         bounds = rows.sparkSession.createDataFrame(large, "lang string, bound long")
         rows = rows.join(F.broadcast(bounds), "lang", "left").where(F.col("bound").isNull() | (F.xxhash64("doc_id", F.lit(97)) <= F.col("bound")))
     counts = rows.select("text", "lang").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts = materialize(counts, "grams")
-    # How many n-grams lie in n documents: a row per language and n, so at most its sampled documents.
-    held: dict[str, list[tuple[int, int]]] = {name: [] for name in size}
-    for r in counts.groupBy("lang", "n").agg(F.count("*").alias("grams")).orderBy("lang", F.desc("n")).toLocalIterator():
-        held[r["lang"]].append((r["n"], r["grams"]))
-    least = [(name, least_documents(levels, GRAMS_PER_LANGUAGE)) for name, levels in held.items()]
-    chosen = counts.join(F.broadcast(rows.sparkSession.createDataFrame(least, "lang string, least long")), "lang").where("n >= least")
-    own: dict[str, list[int]] = {name: [] for name in size}
-    for r in chosen.select("lang", "gram").toLocalIterator():  # GRAMS_PER_LANGUAGE n-grams of each language
-        own[r["lang"]].append(r["gram"])
-    release(counts)
-    best = {name: np.array(g, np.int64).view(np.uint64) for name, g in own.items()}
+    table = counts.select("lang", "gram").toArrow()  # the n-grams of the bounded rows
+    lang, gram = table["lang"].combine_chunks().dictionary_encode(), table["gram"].to_numpy()
+    names, at = lang.dictionary.to_pylist(), lang.indices.to_numpy()
+    best = {name: np.empty(0, np.uint64) for name in size} | {name: gram[at == i].view(np.uint64) for i, name in enumerate(names)}
     return LanguageFilters.build(best, min(size, key=lambda name: (-size[name], name)))
 
 
-def least_documents(levels: list[tuple[int, int]], most: int) -> int:
-    """The least number of documents at which no more than most n-grams have as many or more; levels are (documents, n-grams), largest first.
-
-    The first level stays whatever its size, so that no language is left without n-grams.
-    """
-    total, least = 0, levels[0][0] if levels else 1
-    for n, grams in levels:
-        total += grams
-        if total > most:
-            break
-        least = n
-    return least
-
-
 def identify(docs: DataFrame, model: LanguageFilters) -> DataFrame:
     """doc_id, lang_pred and score of every row (doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS masks, whatever the number of rows
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by the rows learned from
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decide = shared.value.decide

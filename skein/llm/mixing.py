@@ -67,11 +67,10 @@ def _goals(mass: np.ndarray, names: list[str], shares: dict[str, float], temper:
     """Target shares of the groups of one dimension, summing to 1 over groups that have tokens."""
     own = np.where(mass > 0, np.power(np.maximum(mass, 1e-300), temper), 0.0)
     named = np.array([n in shares for n in names])
-    goal = np.array([shares.get(n, 0.0) for n in names])
+    goal = np.where(mass > 0, np.array([shares.get(n, 0.0) for n in names]), 0.0)  # a group without tokens uses up no share
     left = max(0.0, 1 - goal.sum())
     free = own * ~named
     goal = goal + (left * free / free.sum() if free.sum() else 0.0)
-    goal = np.where(mass > 0, goal, 0.0)
     return goal / goal.sum() if goal.sum() else goal
 
 

@@ -23,9 +23,9 @@ take them.
 
 Learning takes at most about MAX_FIT_ROWS labelled rows, chosen by a hash of the
 id whatever the size of the table. An entry needs a significant share of toxic
-documents, at least LEAST_G2 and LEAST_ODDS; beyond MAX_ENTRIES the strongest
-stay, so the model has a fixed size (the README gives the number in use). Labels,
-language, source and ids are no inputs.
+documents, at least LEAST_G2 and LEAST_ODDS; all that have it stay, so the model's
+size is bounded by the rows learned from (the README gives the number in use).
+Labels, language, source and ids are no inputs.
 
 Defined cases: a null or empty text matches nothing and scores 0; a very long
 text is read whole; without labelled toxic rows the lexicon is empty and only
@@ -50,7 +50,6 @@ from skein.llm.common import bounded, fold, read
 
 REMEMBERED = 50_000
 MAX_FIT_ROWS = 30_000
-MAX_ENTRIES = 4_000
 STEMS = range(4, 8)
 #: A lexicon entry needs this log-likelihood ratio and this log-odds.
 LEAST_G2, LEAST_ODDS = 20.0, 2.5
@@ -325,7 +324,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> Gra
         rows.mapInArrow(_count, "feature string, toxic long, clean long")
         .groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         .where("toxic > 0").withColumn("g2", g2).where((F.col("g2") >= LEAST_G2) & (odds >= LEAST_ODDS))
-        .orderBy(F.desc("g2"), "feature").limit(MAX_ENTRIES).collect()
+        .orderBy(F.desc("g2"), "feature").collect()
     )
     g = Grammar()
     for r in found:
@@ -335,7 +334,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> Gra
         else:
             g.exact[r["feature"]] = w
     # Patterns and scopes weigh what the labels say of the documents whose strongest clause takes them.
-    shared = spark.sparkContext.broadcast(g)  # at most MAX_ENTRIES entries
+    shared = spark.sparkContext.broadcast(g)  # bounded by the rows learned from
     seen = rows.mapInArrow(lambda x: _weigh(x, shared.value), "pattern string, label int, n long, own double").groupBy("pattern", "label").agg(F.sum("n").alias("n"), F.sum("own").alias("own")).collect()
     rows.unpersist()
     g.met.clear()

@@ -110,7 +110,17 @@ def test_letters_and_single_documents(make):
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(make(list(asked.items())), model).collect()}
     assert got[1][0] == "en" == got[7][0] and got[2][0] == "fr" and got[3] == got[5] == ("und", 0.0)
     assert got[4] == got[6] == ("en", 0.0)  # letters without a known n-gram: the commonest language
-    assert langid.least_documents([(9, 5), (3, 5), (1, 100)], 20) == 3 and langid.least_documents([(1, 100)], 20) == 1
+
+
+def test_every_ngram_stays(make):
+    """Far more n-grams than slots of the least size would hold well, of single documents."""
+    rng = random.Random(8)
+    texts = [" ".join("".join(chr(rng.randrange(97, 123)) for _ in range(6)) for _ in range(40_000)) for _ in range(2)]
+    model = langid.fit(make([(1, texts[0], "aa"), (2, texts[1], "aa"), (3, "zz top", "zz")]))
+    own = np.unique(np.concatenate([langid.grams(t) for t in texts]))
+    assert len(own) > 150_000 and len(model.masks) >= langid.SLOTS_PER_GRAM * len(own)
+    x, y = langid.places(own, len(model.masks))
+    assert (model.masks[x] & model.masks[y] & np.uint64(1)).all() and model.false_rate[0] < 0.02
 
 
 def test_bloom_masks_return_every_language():
@@ -274,6 +284,15 @@ def test_mix_draws_by_probability(make, monkeypatch):
     odd = mixing.Targets({"topic": {"absent": 0.5}, "source": {"hot": 0.01}, "lang": {"en": 0.98, "fr": 0.01}}, rounds=4, sample=0.9)
     large = {r["doc_id"]: (r["weight"], r["probability"]) for r in mixing.mix(make(rows), odd).collect()}
     monkeypatch.undo()
+    # Groups whose rows have no tokens use up no share, in both forms.
+    empty = [(1, "", None, "x"), *[(10 + i, "word " * 9, None, s) for i, s in enumerate("yzzwwwww")]]
+    bare = mixing.Targets({"source": {"x": 0.5, "y": 0.2}})
+    shares = [dict(sorted({r["source"]: r["weight"] for r in mixing.mix(make(empty), bare).collect()}.items()))]
+    monkeypatch.setattr(mixing, "MAX_CELLS", 1)
+    shares.append(dict(sorted({r["source"]: r["weight"] for r in mixing.mix(make(empty), bare).collect()}.items())))
+    monkeypatch.undo()
+    assert list(shares[0]) == list(shares[1]) == ["w", "x", "y", "z"] and shares[0]["x"] == 0
+    assert np.allclose(list(shares[0].values()), list(shares[1].values()), atol=1e-6) and abs(shares[0]["y"] - 0.2) < 1e-6
     cells = {}
     for r in mixing.mix(make(rows), odd).collect():
         assert np.allclose(large[r["doc_id"]], (r["weight"], r["probability"]), atol=1e-9)
