@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.operators.scans import greater_before, last_before, running_sums
+from skein.operators.scans import greater_before, last_before, numbered, running_sums
 from skein.tables import in_ranges
 
 LANES = 8
@@ -75,22 +75,16 @@ def reuse_distances(accesses: DataFrame, key: str, *order: str) -> DataFrame:
     the accesses since the last use those are counted that are the first of
     their key there; the rest are those whose own last use is later than it.
     """
-    numbered = _numbered(accesses, order)
-    last = last_before(in_ranges(numbered, key, "at"), key, F.col("at"), ["at"], "_last").drop("_block")
+    placed = numbered(accesses, *order, out="at")
+    last = last_before(in_ranges(placed, key, "at"), key, F.col("at"), ["at"], "_last").drop("_block")
     again = last.where("_last IS NOT NULL")
-    n = (numbered.agg(F.max("at")).first()[0] or 0) + 1
+    n = (placed.agg(F.max("at")).first()[0] or 0) + 1
     inner = greater_before(again, "at", "_last", n, "_again")
     columns = [*accesses.columns, "at"]
     hit = inner.select(*columns, (F.col("at") - F.col("_last") - 1 - F.col("_again")).alias("distance"))
     return hit.unionByName(last.where("_last IS NULL").select(*columns, F.lit(None).cast("long").alias("distance")))
 
 
-def _numbered(rows: DataFrame, order: tuple[str, ...]) -> DataFrame:
-    """Rows with their place in a total order, from 0."""
-    t = in_ranges(rows.withColumn("_all", F.lit(0)), *order)
-    return running_sums(t, "_all", {"at": F.lit(1).cast("long")}, order).withColumn("at", F.col("at") - 1).drop("_all", "_block")
-
-
 def resident_prefix(distances: DataFrame, call: str, place: str, capacity: int) -> DataFrame:
     """call, n_blocks and resident: how many blocks from its beginning a call finds among the capacity keys used last."""
     found = F.coalesce(F.col("distance") < capacity, F.lit(False))

@@ -2,8 +2,8 @@
 
 Rows are dealt in balanced ranges of (key, order), so a frequent key spans many
 ranges. A running value is worked out inside each range, and what a key brings
-along from earlier ranges is a carry. At most one key of a range began before
-it, so there is at most one carry a range, which is little enough to broadcast.
+along from earlier ranges is a carry. Only the first key of a range can have begun
+before it, so there is one carry a range, which is little enough to broadcast.
 """
 
 from __future__ import annotations
@@ -22,6 +22,14 @@ EXPONENT = 100
 LONGEST = 4096
 
 
+def of_first_key(ends: DataFrame, key: str, *came: str | Column) -> DataFrame:
+    """One row a range: its first key as _of, and what that key brings along; ends has a row for each key of a range.
+
+    No other key of the range began before it.
+    """
+    return ends.groupBy(BLOCK).agg(F.min_by(F.struct(F.col(key).alias("_of"), *came), F.struct(F.col(key).alias("key"))).alias("_first")).select(BLOCK, "_first.*")
+
+
 def last_before(t: DataFrame, key: str, value: Column, order: Sequence[str], out: str) -> DataFrame:
     """The value of the key's row before each row of an in_ranges() table.
 
@@ -29,9 +37,8 @@ def last_before(t: DataFrame, key: str, value: Column, order: Sequence[str], out
     """
     here = Window.partitionBy(key, BLOCK).orderBy(*order)
     ends = t.groupBy(key, BLOCK).agg(F.max_by(value, F.struct(*order)).alias("_end"))
-    carry = ends.withColumn("_carry", F.lag("_end").over(Window.partitionBy(key).orderBy(BLOCK))).where("_carry IS NOT NULL")
-    carry = carry.select(BLOCK, F.col(key).alias("_of"), "_carry")
-    both = t.withColumn(out, F.lag(value).over(here)).join(F.broadcast(carry), BLOCK, "left")
+    carry = of_first_key(ends.withColumn("_carry", F.lag("_end").over(Window.partitionBy(key).orderBy(BLOCK))), key, "_carry")
+    both = t.withColumn(out, F.lag(value).over(here)).join(F.broadcast(carry), BLOCK)
     return both.withColumn(out, F.coalesce(out, F.when(F.col(key).eqNullSafe(F.col("_of")), F.col("_carry")))).drop("_of", "_carry")
 
 
@@ -80,10 +87,10 @@ def decaying(t: DataFrame, key: str, order: Sequence[str], x: str, decay: float,
     of_key = Window.partitionBy("_of").orderBy(BLOCK)
     first = F.first("_first", ignorenulls=True).over(of_key.rowsBetween(Window.unboundedPreceding, -1))
     entering = F.lag("_f").over(of_key) * (first if first_as_start else F.lit(0.0)) + F.lag("_o").over(of_key)
-    carry = ends.withColumn("_in", F.when(first.isNotNull(), entering)).where("_in IS NOT NULL").select(BLOCK, "_of", "_in")
+    carry = of_first_key(ends.withColumn("_in", F.when(first.isNotNull(), entering)), "_of", "_in")
 
     own = F.first(x, ignorenulls=True).over(so_far) if first_as_start else F.when(F.col("_c") > 0, F.lit(0.0))
-    both = rows.withColumn("_own", own).join(before, ["_unit", "_section"], "left").join(F.broadcast(carry), BLOCK, "left")  # at most one a range
+    both = rows.withColumn("_own", own).join(before, ["_unit", "_section"], "left").join(F.broadcast(carry), BLOCK)
     came = F.when(F.col(key).eqNullSafe(F.col("_of")), F.col("_in"))
     start = F.coalesce(came, F.col("_own"))
     y = F.pow(r, F.col("_j")) * F.coalesce(F.col("_pf") * start + F.col("_po"), start) + F.col("_local")
@@ -111,13 +118,20 @@ def running_total(t: DataFrame, value: Column, order: Sequence[str], out: str) -
     return t.withColumn(out, F.sum(value).over(here)).join(F.broadcast(carry), BLOCK).withColumn(out, F.col(out) + F.col("_carry")).drop("_carry")
 
 
+def numbered(rows: DataFrame, *order: str | Column, out: str) -> DataFrame:
+    """Rows with their place in a total order, from 0."""
+    by = {f"_by{i}": F.col(c) if isinstance(c, str) else c for i, c in enumerate(order)}
+    t = in_ranges(rows.withColumns(by), *by)
+    return running_total(t, F.lit(1).cast("long"), list(by), out).withColumn(out, F.col(out) - 1).drop(BLOCK, *by)
+
+
 def running_sums(t: DataFrame, key: str, sums: dict[str, Column], order: Sequence[str]) -> DataFrame:
     """Sums over the key's rows up to each row of an in_ranges() table of (key, order); values are whole numbers, never null."""
     here = Window.partitionBy(key, BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     ends = t.groupBy(key, BLOCK).agg(*[F.sum(v).alias(n) for n, v in sums.items()])
     before = Window.partitionBy(key).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = ends.select(BLOCK, F.col(key).alias("_of"), F.struct(*[F.sum(n).over(before).alias(n) for n in sums]).alias("_c")).where(f"_c.`{next(iter(sums))}` IS NOT NULL")
-    both = t.withColumns({n: F.sum(v).over(here) for n, v in sums.items()}).join(F.broadcast(carry), BLOCK, "left")  # at most one a range
+    carry = of_first_key(ends.select(BLOCK, key, F.struct(*[F.sum(n).over(before).alias(n) for n in sums]).alias("_c")), key, "_c")
+    both = t.withColumns({n: F.sum(v).over(here) for n, v in sums.items()}).join(F.broadcast(carry), BLOCK)
     came = F.col(key).eqNullSafe(F.col("_of"))
     return both.withColumns({n: F.col(n) + F.coalesce(F.when(came, F.col("_c")[n]), F.lit(0)) for n in sums}).drop("_of", "_c")
 
@@ -153,7 +167,7 @@ def running_least(t: DataFrame, key: str, value: Column, order: Sequence[str], o
     """The least value of the key's rows strictly before each row of an in_ranges() table; null for a first row."""
     here = Window.partitionBy(key, BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     ends = t.groupBy(key, BLOCK).agg(F.min(value).alias("_end"))
-    carry = ends.withColumn("_carry", F.min("_end").over(Window.partitionBy(key).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1))).where("_carry IS NOT NULL")
-    both = t.withColumn(out, F.min(value).over(here)).join(F.broadcast(carry.select(BLOCK, F.col(key).alias("_of"), "_carry")), BLOCK, "left")
+    carry = of_first_key(ends.withColumn("_carry", F.min("_end").over(Window.partitionBy(key).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1))), key, "_carry")
+    both = t.withColumn(out, F.min(value).over(here)).join(F.broadcast(carry), BLOCK)
     mine = F.when(F.col(key).eqNullSafe(F.col("_of")), F.col("_carry"))
     return both.withColumn(out, F.least(out, mine)).drop("_of", "_carry")

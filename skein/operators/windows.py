@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.operators.scans import decaying, last_before, sizes
+from skein.operators.scans import decaying, last_before, of_first_key, sizes
 from skein.tables import BLOCK, in_ranges
 
 
@@ -57,8 +57,8 @@ def running_ewma(df: DataFrame, key: str, ts: str, value: str, alpha: float = 0.
     counted = mean.withColumns({"_n": F.count("_x").over(upto), "_at": F.last(sampled, ignorenulls=True).over(upto)})
     ends = t.groupBy(key, BLOCK).agg(F.count("_x").alias("_n"), F.max(sampled).alias("_at"))
     before = Window.partitionBy(key).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = ends.select(BLOCK, F.col(key).alias("_of"), F.sum("_n").over(before).alias("_n0"), F.max("_at").over(before).alias("_at0")).where("_n0 > 0")
-    both = counted.join(F.broadcast(carry), BLOCK, "left")  # at most one a range
+    carry = of_first_key(ends.withColumns({"_n0": F.sum("_n").over(before), "_at0": F.max("_at").over(before)}), key, "_n0", "_at0")
+    both = counted.join(F.broadcast(carry), BLOCK)
     same = F.col(key).eqNullSafe(F.col("_of"))
     both = both.withColumns({"n_samples": F.col("_n") + F.coalesce(F.when(same, F.col("_n0")), F.lit(0)), "_at": F.coalesce("_at", F.when(same, F.col("_at0")))})
     # A sample's distance from the mean before it; a key's first sample has none.

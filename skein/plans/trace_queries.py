@@ -152,10 +152,10 @@ def inspect_latency(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {_E}, u AS (SELECT 't' || (k % 20) AS tool, event_id FROM e UNION ALL SELECT 'u' || (k % 3), event_id FROM e)
-SELECT tool, count(*) AS n, min(event_id) AS first_seen FROM u GROUP BY 1 ORDER BY n DESC, first_seen, tool LIMIT 3"""
+SELECT tool, count(*) AS n, min(event_id) AS first_seen FROM u GROUP BY 1 ORDER BY n DESC, first_seen, tool LIMIT 15"""
 )
 def inspect_tool_uses(spark: SparkSession, d: str) -> DataFrame:
-    return inspect.tool_uses(_records(spark, d), top=3)
+    return inspect.tool_uses(_records(spark, d), top=15)
 
 
 _CALLS = f"""{_E}, c AS (SELECT event_id AS line, s, k, CASE WHEN k % 11 <> 0 THEN 's' || user_id END AS session FROM e WHERE k % 4 IN (0, 3) AND k % 5 NOT IN (0, 1)),
@@ -178,10 +178,10 @@ def replay_static(spark: SparkSession, d: str) -> DataFrame:
     return replay.decide(ready, policies.build("static", cap=32, clamp=16)).groupBy("placement").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_E} SELECT event_id AS line FROM e ORDER BY CASE WHEN k % 7 = 0 THEN 0 ELSE s END, event_id LIMIT 25")
+@query(f"WITH {_E} SELECT event_id AS line, row_number() OVER (ORDER BY CASE WHEN k % 7 = 0 THEN 0 ELSE s END, event_id) - 1 AS place FROM e")
 def record_order(spark: SparkSession, d: str) -> DataFrame:
     r = _records(spark, d).withColumn("ts", F.when(F.col("k") % 7 != 0, F.col("ts")))
-    return traces.in_order(r).select("line").limit(25)
+    return traces.placed(r.select("ts", "file", "line")).select("line", "place")
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.text import CREDENTIALS, redact
+from skein.operators.scans import numbered
 
 _FIELDS = {
     "id": "string", "ts": "double", "path": "string", "method": "string", "stream": "boolean", "placement": "string", "reason": "string",
@@ -53,6 +54,11 @@ def in_order(records: DataFrame, ts: str = "ts", place: tuple[str, ...] = ("file
     return records.orderBy(F.coalesce(F.col(ts), F.lit(0.0)), *place)
 
 
+def placed(records: DataFrame, ts: str = "ts", place: tuple[str, ...] = ("file", "line")) -> DataFrame:
+    """Records with their place in the order of in_order(), from 0."""
+    return numbered(records, F.coalesce(F.col(ts), F.lit(0.0)), *place, out="place")
+
+
 def shuffled(records: DataFrame, seed: int, *place: str) -> DataFrame:
     """Records in an order that a seed gives: by a hash of their place, so a rerun gives it again."""
     return records.orderBy(F.xxhash64(F.lit(seed), *place), *place)
