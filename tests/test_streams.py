@@ -145,3 +145,19 @@ def test_latest_metrics_and_idle_sessions(spark, tmp_path):
     source = spark.readStream.schema("session string, ts double").json(str(tmp_path / "idle" / "*"))
     closed = run_until(spark, processors.gaps(source, idle_ms=500), tmp_path, "idle", processors.GAP, 1, "closed")
     assert [tuple(r) for r in closed] == [("x", 4.0, None, True)]
+
+
+def test_messages_keep_every_field(spark):
+    from skein.operators import sse
+
+    events = [
+        '{"type":"message_start","message":{"id":"m","role":"assistant","content":[],"usage":{"input_tokens":3,"server_tool_use":{"web":1},"tier":"std"}}}',
+        '{"type":"content_block_start","index":0,"content_block":{"type":"text","text":""}}', '{"type":"content_block_delta","index":0,"delta":{"type":"text_delta","text":"x"}}',
+        '{"type":"message_delta","delta":{"stop_reason":"stop_sequence","stop_sequence":"END"},"usage":{"output_tokens":5,"tier":"fast"}}', '{"type":"message_delta","delta":{"stop_sequence":null}}',
+    ]
+    raw = spark.createDataFrame([("k", "\n".join(f"data: {e}" for e in events)), ("none", "data: {}")], "id string, raw string")
+    blocks, messages = sse.reassemble(sse.events(raw, "id", "raw"), "id")
+    (m,) = messages.collect()
+    assert m["fields"] == {"id": '"m"', "role": '"assistant"', "usage": '{"input_tokens":3,"server_tool_use":{"web":1},"tier":"std"}', "stop_reason": '"stop_sequence"', "stop_sequence": "null"}
+    assert m["usage"] == {"input_tokens": "3", "server_tool_use": '{"web":1}', "output_tokens": "5", "tier": '"fast"'}
+    assert (m["message_id"], m["stop_reason"], m["input_tokens"], m["output_tokens"]) == ("m", "stop_sequence", 3, 5) and blocks.count() == 1
