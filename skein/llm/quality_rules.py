@@ -49,6 +49,8 @@ def rules() -> list[Rule]:
     ]
 
 
+#: By bit, as rules() has them.
+RULE_NAMES = ["few_words", "repeated_windows", "symbols", "repeated_lines", "word_length", "shouting"]
 BASE_MASK = 0b000011
 #: Policies by version: a document is kept if it fails no rule in the mask.
 POLICIES = {"v1": 0b000011, "v2": 0b111111}
@@ -104,20 +106,22 @@ def apply_policy(led: DataFrame, mask: int) -> DataFrame:
 
 
 def ablations(led: DataFrame, mask: int) -> DataFrame:
-    """Per rule of a policy: failures, documents it alone rejects, and kept without it.
+    """ablations_of() one policy, given by its mask."""
+    return ablations_of(led, {"": mask}).drop("policy")
 
-    One grouped pass over the ledger: failures are first counted per distinct
-    bit pattern (at most 2^rules), then the patterns are read per rule.
+
+def ablations_of(led: DataFrame, policies: dict[str, int]) -> DataFrame:
+    """Per policy and rule of it: failures, documents it alone rejects, and documents and words kept without it.
+
+    One grouped pass over the ledger for all policies: failures are first counted
+    per distinct bit pattern (at most 2^rules), then the patterns are read per rule.
     """
     patterns = led.groupBy("fail_bits").agg(F.count("*").alias("n"), F.sum("n_words").alias("words"))
-    own = [r for r in rules() if r.mask & mask]
-    per = patterns.select(
-        F.explode(F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(r.mask).alias("m")) for r in own])).alias("r"),
-        "fail_bits", "n", "words",
-    )
+    asked = [F.struct(F.lit(p).alias("policy"), F.lit(mask).alias("mask"), F.lit(r.name).alias("rule"), F.lit(r.mask).alias("m")) for p, mask in policies.items() for r in rules() if r.mask & mask]
+    per = patterns.select(F.explode(F.array(*asked)).alias("r"), "fail_bits", "n", "words")
     hit = F.col("fail_bits").bitwiseAND(F.col("r.m")) != 0
-    left = F.col("fail_bits").bitwiseAND(F.bitwise_not(F.col("r.m")).bitwiseAND(mask))
-    return per.groupBy(F.col("r.rule").alias("rule")).agg(
+    left = F.col("fail_bits").bitwiseAND(F.bitwise_not(F.col("r.m")).bitwiseAND(F.col("r.mask")))
+    return per.groupBy(F.col("r.policy").alias("policy"), F.col("r.rule").alias("rule")).agg(
         F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0)).alias("failed"),
         F.coalesce(F.sum(F.when(hit & (left == 0), F.col("n"))), F.lit(0)).alias("only_by_it"),
         F.coalesce(F.sum(F.when(left == 0, F.col("n"))), F.lit(0)).alias("kept_without"),
@@ -126,6 +130,11 @@ def ablations(led: DataFrame, mask: int) -> DataFrame:
     )
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy version rejects, over all documents."""
+    return ablations_of(ledger(read(spark, sf_dir, "documents")), POLICIES)
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = apply_policy(ledger(read(spark, sf_dir, "documents")), POLICIES["v2"])
     return led.select(
@@ -134,7 +143,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _W = r"'[^\x20\x09-\x0D]+'"
-OP1_SQL = rf"""
+_LEDGER_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {_W}) AS w,
   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
 g AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
@@ -148,5 +157,15 @@ b AS (SELECT *, CAST(CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 *
   + CASE WHEN 100 * n_symbols > 30 * n_words THEN 4 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 50 * n_lines THEN 8 ELSE 0 END
   + CASE WHEN word_chars > 20 * n_words OR word_chars < 2 * n_words THEN 16 ELSE 0 END
   + CASE WHEN 100 * n_upper > 60 * word_chars THEN 32 ELSE 0 END AS INTEGER) AS fail_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
 """
+OP1_SQL = _LEDGER_SQL + """SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
+"""
+ABLATIONS_SQL = (
+    _LEDGER_SQL.rstrip()
+    + """, a AS (SELECT * FROM (VALUES """
+    + ", ".join(f"('{p}', {mask}, '{name}', {1 << bit})" for p, mask in POLICIES.items() for bit, name in enumerate(RULE_NAMES) if mask >> bit & 1)
+    + """) AS v(policy, mask, rule, m))
+SELECT policy, rule, count(*) FILTER (WHERE fail_bits & m <> 0) AS failed, count(*) FILTER (WHERE fail_bits & mask = m) AS only_by_it, count(*) FILTER (WHERE fail_bits & mask & ~m = 0) AS kept_without,
+  CAST(coalesce(sum(n_words) FILTER (WHERE fail_bits & mask & ~m = 0), 0) AS BIGINT) AS words_without, bit_or(fail_bits) AS seen_bits FROM b, a GROUP BY 1, 2
+"""
+)

@@ -12,6 +12,7 @@ from skein.llm import context_mixing, exact_dedup, hard_negatives, langid, minha
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
+        "quality_ablations": quality_rules.quality_ablations,
         "op2_quality_classifier": quality_model.op2_quality_classifier,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality_rules.OP1_SQL,
+        "quality_ablations": quality_rules.ABLATIONS_SQL,
         "op4_exact_dedup": exact_dedup.OP4_SQL,
         "op9_secret_scan": secrets.OP9_SQL,
         "op11_importance_resampling": resampling.OP11_SQL,

@@ -38,6 +38,14 @@ def test_policies_and_ablations(make):
         assert got[rule.name]["only_by_it"] == sum(b == rule.mask for b in bits.values())
 
 
+def test_ablations_of_every_policy(make):
+    rows = [(1, " ".join(f"w{i}" for i in range(60))), (2, "short"), (3, "again and again " * 40), (4, "A B C # " * 30)]
+    led = q.ledger(make(rows)).cache()
+    both = sorted(tuple(r) for r in q.ablations_of(led, q.POLICIES).collect())
+    assert both == sorted((v, *r) for v, m in q.POLICIES.items() for r in q.ablations(led, m).collect())
+    assert [r.name for r in q.rules()] == q.RULE_NAMES
+
+
 def test_empty_and_repeated(make):
     assert q.ledger(make([])).count() == 0
     assert q.ledger(make(EDGES)).count() == len(EDGES)
