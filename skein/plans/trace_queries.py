@@ -316,13 +316,18 @@ def rounded_report(spark: SparkSession, d: str) -> DataFrame:
     return text.rounded(means, 1, "mean_price")
 
 
-@query("SELECT 'N' || min(n_nationkey) AS stamp, 'm' || max(n_nationkey) AS model, CAST(32768 AS INTEGER) AS max_model_len, CAST('0.9' AS DOUBLE) AS gpu_mem_util, 'auto' AS kv_dtype, CAST(115872 AS BIGINT) AS kv_cache_tokens FROM nation")
+@query(
+    """SELECT 'N' || min(n_nationkey) AS stamp, 'm' || max(n_nationkey) AS model, CAST(1024 * (max(n_nationkey) + 1) AS INTEGER) AS max_model_len, CAST('0.' || (50 + max(n_nationkey)) AS DOUBLE) AS gpu_mem_util,
+  'd' || max(n_nationkey) AS kv_dtype, CAST(1000 * (100 + min(n_nationkey)) + 872 AS BIGINT) AS kv_cache_tokens FROM nation"""
+)
 def provenance_facts(spark: SparkSession, d: str) -> DataFrame:
-    """A run's text whose lines come from a table: the first stamp and model by place count."""
+    """A run's text with lines of every kind from each row of a table: of each fact the first by place counts."""
     k = F.col("n_nationkey")
-    stamps = _t(spark, d, "nation").select(k.cast("long").alias("line"), F.concat(F.lit("timestamp  N"), k.cast("string")).alias("value"))
-    models = _t(spark, d, "nation").select((-k).cast("long").alias("line"), F.concat(F.lit("model  m"), k.cast("string")).alias("value"))
-    other = spark.createDataFrame([(-1000, "max_model_len 32768  gpu_mem_util 0.9  kv_dtype auto"), (-999, "GPU KV cache size: 115,872 tokens")], "line long, value string")
+    n, key = _t(spark, d, "nation"), k.cast("string")
+    at = lambda order, *parts: n.select(order.cast("long").alias("line"), F.concat(*parts).alias("value"))
+    stamps, models = at(k, F.lit("timestamp  N"), key), at(-k, F.lit("model  m"), key)
+    limits = at(-k, F.lit("max_model_len "), (1024 * (k + 1)).cast("string"), F.lit("  gpu_mem_util 0."), (50 + k).cast("string"), F.lit("  kv_dtype d"), key)
+    other = at(k, F.lit("GPU KV cache size: "), (100 + k).cast("string"), F.lit(",872 tokens")).unionByName(limits)
     return requests.provenance(stamps.unionByName(models).unionByName(other))
 
 
