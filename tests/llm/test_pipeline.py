@@ -88,6 +88,6 @@ def test_registered():
     import __spark_entry__ as e
 
     names = set(e.queries())
-    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
     assert set(e.oracle_sql()) <= names
     assert p.ORACLE_SQL is None and [n for n, _ in p.STAGES][0] == "quality_classifier"
