@@ -13,8 +13,8 @@ four predictors, made from the corpus' counts of zeros and ones in its context:
 
 Predictions are summed in the logistic domain. A gate picks the weights: how
 often the word so far was seen, and whether the earlier word says anything. The
-weights of each gate are learned from training documents by Newton steps whose
-gradients are summed on Spark, each occurrence predicted without itself. Within
+weights of each gate are learned from every decision of every training document
+(see below), by Newton steps whose gradients are summed on Spark. Within
 a document they are refined, gate by gate, after every block of decisions (the
 first of FIRST decisions), so that only the past is used; decisions that are sure either
 way (SURE) keep their mix, and are summed once per token. The score is the sum
@@ -30,9 +30,15 @@ no task holds more than a range. Documents are worked on in blocks; a block asks
 for the predictions of its distinct tokens once, by a join on the token; the
 HEAD commonest tokens are broadcast instead, which leaves no hot key.
 
-The hashed tables and the broadcast have a fixed size. Counting covers every
-training document. The gates learn from about FIT_ROWS occurrences of about
-FIT_TOKENS tokens, chosen by hashes.
+What the gates learn from. Each occurrence is predicted without itself. Beyond
+the first REACH bytes the inputs of a decision depend on the token alone, so a
+range sums its tokens' counts over cells: gate and inputs, rounded to levels. In
+the first REACH bytes they depend on those bytes and the earlier word; all
+occurrences are counted by such pairs, which also fill the earlier word's table.
+There are no more cells than levels allow, whatever the corpus.
+
+The hashed tables and the broadcast have a fixed size. Counting and learning
+cover every training document.
 
 Defined cases: a null or blank text is the end alone; without training
 documents the base is 0 and every decision has chance 1/2; repeated rows are
@@ -46,7 +52,6 @@ from __future__ import annotations
 
 import heapq
 import math
-import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -74,13 +79,15 @@ SEEN = (1, 3, 8, 32, 128)
 GATES = len(SEEN) + 1
 INPUTS = 4
 START = (0.3, 0.3, 0.4, 0.3)
-#: Occurrences and distinct tokens that the gates learn from, about; Newton steps; strength of the start.
-FIT_ROWS, FIT_TOKENS, STEPS, PRIOR = 60_000, 60_000, 4, 20.0
+#: Newton steps; strength of the start.
+STEPS, PRIOR = 4, 20.0
 #: A decision whose mix is beyond this either way is sure: it is not refined, and summed once per token.
 SURE = 4.0
 #: Decisions of a document's first block and of its largest, and the step of refinement.
 FIRST, LAST, STEP = 128, 4096, 0.1
-#: Text of a block of documents; tokens that are scored at a time, and distinct ones whose predictions are mixed at a time.
+#: Pairs that a task holds before it hands them on.
+PAIRS = 1 << 20
+#: Text of a block of documents; tokens that are scored at a time, and distinct ones whose predictions are made or mixed at a time.
 BLOCK_BYTES, SLICE, PIECE = 3 << 20, 1 << 13, 1 << 12
 END = b""  # the empty word: no text has it, so no token reads like this one
 _M = np.uint32(0x9E3779B1)
@@ -92,6 +99,7 @@ TOP, SIDE = 8.0, 15
 _FINE_SIDE = 127
 _FINE = (TOP * np.sign(np.arange(256, dtype=np.uint8).view(np.int8)) * (np.arange(256, dtype=np.uint8).view(np.int8) / _FINE_SIDE) ** 2).astype(np.float32)
 _LEVELS = (TOP * np.sign(np.arange(-SIDE, SIDE + 2)) * (np.arange(-SIDE, SIDE + 2) / SIDE) ** 2).astype(np.float32)
+_N_LEVELS = 2 * SIDE + 1
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -131,6 +139,13 @@ class Code:
         return cls(start_a, np.diff(np.append(start_a, len(bits))), np.array(bits, np.uint8), np.array(nodes, np.uint32))
 
 
+def decisions(tokens: list[bytes], code: Code) -> np.ndarray:
+    """How many decisions each token and its space take."""
+    size = np.array([len(t) + 1 for t in tokens], np.int64)
+    raw = np.frombuffer(b" ".join([*tokens, b""]), np.uint8)
+    return np.add.reduceat(code.length[raw], np.cumsum(size) - size) if tokens else np.empty(0, np.int64)
+
+
 def _mixed(h: np.ndarray, bits: int) -> np.ndarray:
     """The slots of hashes, which are overwritten."""
     h ^= h >> np.uint32(16)
@@ -216,6 +231,20 @@ def logistic(right: np.ndarray, wrong: np.ndarray) -> np.ndarray:
     return np.clip(np.log((right + np.float32(0.2)) / (wrong + np.float32(0.2))), -TOP, TOP)
 
 
+def _rounded(x: np.ndarray, side: int) -> np.ndarray:
+    """The level of each prediction, 0 in the middle."""
+    return np.rint(np.sign(x) * (side * np.sqrt(np.abs(x) / np.float32(TOP)))).astype(np.int8)
+
+
+def without_one(table: np.ndarray, side: int) -> np.ndarray:
+    """Per slot and bit the level of the prediction for that bit, made without one occurrence of it."""
+    out = np.empty(table.shape, np.int8)
+    for bit in (0, 1):
+        right, wrong = np.maximum(table[:, bit] - 1, 0), table[:, 1 - bit]
+        out[:, bit] = _rounded(np.where(right + wrong > 0, logistic(right, wrong), 0), side)
+    return out
+
+
 # Documents as blocks of numbered tokens.
 
 BLOCK_SCHEMA = "block long, ids array<long>, train array<boolean>, sizes array<int>, n_bytes array<long>, at binary, tokens binary, counts binary"
@@ -337,32 +366,88 @@ def _fill(code: Code) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     return run
 
 
-def _fill_after(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Counts under the earlier common word of the training documents of a task."""
+# Beginnings of words under the earlier common word.
+
+
+def beginnings(tokens: list[bytes]) -> np.ndarray:
+    """The first REACH bytes of each token and its space as a number; no token holds a space, so the rest may be zeros."""
+    raw = np.frombuffer(b"".join([(t + b" ".ljust(REACH, b"\0"))[:REACH] for t in tokens]), np.uint8).reshape(-1, REACH)
+    return raw.astype(np.int64) @ (1 << np.arange(8 * REACH - 8, -8, -8, dtype=np.int64))
+
+
+def _begun(numbers: np.ndarray) -> list[bytes]:
+    """Tokens with these beginnings."""
+    return [n.to_bytes(REACH, "big").split(b" ")[0] for n in numbers.tolist()]
+
+
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, and whole numbers summed over each."""
+    key = np.concatenate(keys)
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], np.concatenate(counts)[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+    return key[first], np.add.reduceat(n, first) if len(key) else n
+
+
+def _pairs(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(pair, n): the earlier common word and the beginning of every token of the training documents of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, common = shared.value
-        table, counted = np.zeros(2 << AFTER_BITS, np.uint32), 0
+        common, keys, counts = shared.value, [], []
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys[0], pa.int64()), pa.array(counts[0], pa.int64())], ["pair", "n"])
+
         for b in batches:
             for row in _rows(b):
                 tokens, at, sizes = _block(row)
                 train = np.repeat(np.array(row["train"], bool), sizes)
                 if not train.any():
                     continue
-                if counted + len(at) > 1 << 31:
-                    yield from _table_rows([table], 2 * CHUNKS)
-                    table[:], counted = 0, 0
-                counted += len(at)
-                cut: dict[bytes, int] = {}
-                short = np.array([cut.setdefault((t + b" ")[:REACH], len(cut)) for t in tokens], np.int64)
                 ctx = earlier(np.array([common.get(t, 0) for t in tokens], np.int64), at, sizes)
-                pair, n = np.unique(ctx[train] * len(cut) + short[at[train]], return_counts=True)
-                p = Paths.of(list(cut), code, REACH)
-                start = np.cumsum(p.each) - p.each
-                each, d = p.each[pair % len(cut)], _runs(start[pair % len(cut)], p.each[pair % len(cut)])
-                slot = after_slots(np.repeat(_NAME[pair // len(cut)], each), p.inside()[d])
-                np.add.at(table, slot.astype(np.int64) * 2 + p.bit[d], np.repeat(n.astype(np.uint32), each))
-        if counted:
+                pair, n = np.unique(ctx[train] << 8 * REACH | beginnings(tokens)[at[train]], return_counts=True)
+                keys.append(pair)
+                counts.append(n)
+                if sum(map(len, keys)) > PAIRS:
+                    keys, counts = ([x] for x in _merged(keys, counts))
+                    if len(keys[0]) > PAIRS // 2:
+                        yield out()
+                        keys, counts = [], []
+        if keys:
+            keys, counts = ([x] for x in _merged(keys, counts))
+            yield out()
+
+    return run
+
+
+def pairs(blocks: DataFrame, common: dict[bytes, int]) -> DataFrame:
+    """Each pair of an earlier common word and a beginning, and how often training documents hold it."""
+    seen = blocks.select("train", "sizes", "at", "tokens").mapInArrow(_pairs(blocks.sparkSession.sparkContext.broadcast(common)), "pair long, n long")
+    return materialize(seen.groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
+
+
+def _split(pair: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray, Paths, np.ndarray, np.ndarray]:
+    """Per distinct beginning of pairs where it is first, and its decisions; per pair its number of decisions, and which they are."""
+    begin, first, own = np.unique(pair & ((1 << 8 * REACH) - 1), return_index=True, return_inverse=True)
+    p = Paths.of(_begun(begin), code, REACH)
+    each = p.each[own]
+    return first, begin, p, each, _runs((np.cumsum(p.each) - p.each)[own], each)
+
+
+def _fill_after(code: Code) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts under the earlier common word of the pairs of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, some = np.zeros(2 << AFTER_BITS, np.uint64), False
+        for b in batches:
+            if not b.num_rows:
+                continue
+            some = True
+            pair, n = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.uint64)
+            _, _, p, each, d = _split(pair, code)
+            slot = after_slots(np.repeat(_NAME[pair >> 8 * REACH], each), p.inside()[d])
+            np.add.at(table, slot.astype(np.int64) * 2 + p.bit[d], np.repeat(n, each))
+        if some:
             yield from _table_rows([table], 2 * CHUNKS)
 
     return run
@@ -452,6 +537,11 @@ def _code_column(codes: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(codes).view(f"S{DEPTH // 8}").ravel()
 
 
+def _codes(column: pa.Array, code: Code) -> np.ndarray:
+    tokens = column.to_pylist()
+    return np.concatenate([Paths.of(tokens[i : i + PIECE], code).codes() for i in range(0, len(tokens), PIECE)])
+
+
 def _coded(code: Code, ends: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """token, n, code and range of (token, n)."""
 
@@ -459,7 +549,7 @@ def _coded(code: Code, ends: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]],
         for b in batches:
             if not b.num_rows:
                 continue
-            codes = Paths.of(b.column(0).to_pylist(), code).codes()
+            codes = _codes(b.column(0), code)
             part = np.searchsorted(ends, _code_column(codes), side="right").astype(np.int32) if len(ends) else np.zeros(b.num_rows, np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(part)], ["token", "n", "code", "part"])
 
@@ -473,7 +563,7 @@ def _sums(code: Code, points: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]]
         total = np.zeros(len(points) + 1, np.int64)
         for b in batches:
             if b.num_rows:
-                codes = _code_column(Paths.of(b.column(0).to_pylist(), code).codes())
+                codes = _code_column(_codes(b.column(0), code))
                 np.add.at(total, np.searchsorted(points, codes, side="right"), b.column(1).to_numpy())
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
@@ -512,8 +602,8 @@ def path_counts(codes: np.ndarray, each: np.ndarray, n: np.ndarray, before: tupl
     width = each + 1
     start = np.cumsum(width) - width
     out = np.repeat(n, width)
-    depth = np.arange(len(out)) - np.repeat(start, width)
-    out[depth > DEPTH] = 0
+    for i in np.flatnonzero(each > DEPTH).tolist():
+        out[start[i] + DEPTH + 1 : start[i] + width[i]] = 0
     active = np.arange(m)
     for d in range(DEPTH + 1):
         active = active[(share[active] >= d) & (each[active] >= d)]
@@ -532,8 +622,7 @@ def path_counts(codes: np.ndarray, each: np.ndarray, n: np.ndarray, before: tupl
 
 def _packed(right: np.ndarray, seen: np.ndarray) -> np.ndarray:
     """The word-so-far prediction and the gate of each decision in a byte. Levels are symmetric, so chances still add up to one."""
-    x = logistic(right.astype(np.float32), (seen - right).astype(np.float32))
-    q = np.rint(np.sign(x) * (SIDE * np.sqrt(np.abs(x) / np.float32(TOP)))).astype(np.int8) + SIDE
+    q = _rounded(logistic(right.astype(np.float32), (seen - right).astype(np.float32)), SIDE) + SIDE
     return (np.digitize(seen, SEEN).astype(np.uint8) << np.uint8(5)) | q.astype(np.uint8)
 
 
@@ -562,32 +651,57 @@ def _spread(trimmed: list[bytes], each: np.ndarray) -> np.ndarray:
     return own[np.minimum(place, np.repeat(size - 1, each)) + np.repeat(np.cumsum(size) - size, each)]
 
 
-def _chosen(token: bytes, rate: float) -> bool:
-    """Whether the gates learn from a token."""
-    return zlib.crc32(token) < rate * 2**32
+@dataclass
+class Learned:
+    """What the gates learn from a range: its beginnings, their predictions as if seen once less, and counts of cells."""
+
+    begin: list[int | None]  # at the first token of each
+    lead: list[bytes | None]
+    total: np.ndarray
 
 
-def predictions(tokens: list[bytes], codes: np.ndarray, n: np.ndarray, code: Code, ranges: Ranges, part: int, rate: float) -> tuple[list[bytes], list[bytes | None]]:
-    """Packed predictions of the tokens of a sorted range; those of chosen tokens also as if seen once less."""
-    each = Paths.of(tokens, code).each
+def predictions(
+    tokens: list[bytes], codes: np.ndarray, n: np.ndarray, code: Code, ranges: Ranges, part: int, less: tuple[np.ndarray, np.ndarray] | None = None
+) -> tuple[list[bytes], Learned]:
+    """Packed predictions of the tokens of a sorted range; with the levels of the two tables without one occurrence also what the gates learn from."""
+    each = decisions(tokens, code)
     before = (ranges.ends[part - 1], ranges.before[part - 1]) if part > 0 else None
     behind = (ranges.ends[part], ranges.behind[part]) if part < len(ranges.ends) else None
     ways = path_counts(codes, each, n, before, behind)
-    width = each + 1
-    at = _runs(np.cumsum(width) - width, each)
-    followed = np.arange(len(at)) - np.repeat(np.cumsum(each) - each, each) < DEPTH
-    right, seen = ways[at + 1] * followed, ways[at] * followed
-    pick = np.array([k > 0 and _chosen(t, rate) for t, k in zip(tokens, n.tolist())], bool)
-    once: list[bytes | None] = [None] * len(tokens)
-    if pick.any():
-        some = np.repeat(pick, each)
-        less = _trimmed(_packed(np.maximum(right[some] - 1, 0), np.maximum(seen[some] - 1, 0)), each[pick])
-        for i, x in zip(np.flatnonzero(pick).tolist(), less):
-            once[i] = x
-    return _trimmed(_packed(right, seen), each), once
-
-
-PREDICTED = "token binary, n long, own binary, once binary"
+    start = np.cumsum(each + 1) - each - 1
+    own: list[bytes] = []
+    learned, known = Learned([None] * len(tokens), [None] * len(tokens), np.zeros(GATES * _N_LEVELS**3)), set()
+    for i in range(0, len(tokens), PIECE):
+        e = each[i : i + PIECE]
+        at, depth = _runs(start[i : i + PIECE], e), _runs(np.zeros(len(e), np.int64), e)
+        right, seen = ways[at + 1] * (depth < DEPTH), ways[at] * (depth < DEPTH)
+        own += _trimmed(_packed(right, seen), e)
+        pick = np.flatnonzero(n[i : i + PIECE] > 0)
+        if less is None or not len(pick):
+            continue
+        if len(pick) < len(e):
+            some = np.repeat(n[i : i + PIECE] > 0, e)
+            right, seen, e = right[some], seen[some], e[pick]
+        taught = [tokens[i + k] for k in pick.tolist()]
+        once = _packed(np.maximum(right - 1, 0), np.maximum(seen - 1, 0))
+        p = Paths.of(taught, code)
+        late = p.place[p.byte] >= REACH
+        cell = (once >> np.uint8(5)).astype(np.int64)
+        for t, slot in zip(less, p.slots()):
+            cell = cell * _N_LEVELS + (t[slot, p.bit] + SIDE)
+        cell = cell * _N_LEVELS + (once & np.uint8(31))
+        learned.total += np.bincount(cell[late], np.repeat(n[i + pick], e)[late], len(learned.total))
+        raw, first = once.tobytes(), np.cumsum(e) - e
+        lead = np.add.reduceat(~late, first, dtype=np.int64)
+        for k, begin, f, m in zip((i + pick).tolist(), beginnings(taught).tolist(), first.tolist(), lead.tolist()):
+            if begin not in known:
+                known.add(begin)
+                learned.begin[k], learned.lead[k] = begin, raw[f : f + m]
+    return own, learned
+
+
+#: begin and lead stand at the first token of a beginning in a range, cells at the first of a range.
+PREDICTED = "token binary, n long, own binary, begin long, lead binary, cells binary"
 
 
 def _predict(shared) -> Callable[[pa.Table], pa.Table]:
@@ -595,9 +709,14 @@ def _predict(shared) -> Callable[[pa.Table], pa.Table]:
         table = table.sort_by("code")
         tokens, n = table.column("token").to_pylist(), table.column("n").to_numpy()
         codes = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(-1, DEPTH // 8)
-        code, ranges, rate = shared.value
-        own, once = predictions(tokens, codes, n, code, ranges, table.column("part")[0].as_py(), rate)
-        return pa.table({"token": table.column("token"), "n": table.column("n"), "own": pa.array(own, pa.binary()), "once": pa.array(once, pa.binary())})
+        code, ranges, less = shared.value
+        own, learned = predictions(tokens, codes, n, code, ranges, table.column("part")[0].as_py(), less)
+        full = np.flatnonzero(learned.total)
+        cells = [full.astype("<i4").tobytes() + learned.total[full].astype("<i8").tobytes() if len(full) else None] + [None] * (len(tokens) - 1)
+        return pa.table({
+            "token": table.column("token"), "n": table.column("n"), "own": pa.array(own, pa.binary()),
+            "begin": pa.array(learned.begin, pa.int64()), "lead": pa.array(learned.lead, pa.binary()), "cells": pa.array(cells, pa.binary()),
+        })
 
     return run
 
@@ -612,7 +731,6 @@ class Model:
     after: np.ndarray
     ranges: Ranges
     common: dict[bytes, int]
-    rate: float = 0.0
     #: Per gate without and with a word from the earlier word, the weights of the inputs.
     weights: np.ndarray = field(default_factory=lambda: np.tile(np.array(START), (2 * GATES, 1)))
 
@@ -672,9 +790,9 @@ def _ranges(tokens: DataFrame, code: Code, n_rows: int, n_tokens: int) -> Ranges
     return ranges
 
 
-def predict(tokens: DataFrame, model: Model) -> DataFrame:
-    """Predictions of distinct tokens (token, n), of all that the ranges' sums cover and others with n = 0."""
-    shared = tokens.sparkSession.sparkContext.broadcast((model.code, model.ranges, model.rate))
+def predict(tokens: DataFrame, model: Model, less: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """Predictions of distinct tokens (token, n), of all that the ranges' sums cover and others with n = 0; less as in predictions()."""
+    shared = tokens.sparkSession.sparkContext.broadcast((model.code, model.ranges, less))
     coded = tokens.mapInArrow(_coded(model.code, _bytes_of(model.ranges.ends)), "token binary, n long, code binary, part int")
     return materialize(coded.groupBy("part").applyInArrow(_predict(shared), PREDICTED), "predicted")
 
@@ -682,97 +800,94 @@ def predict(tokens: DataFrame, model: Model) -> DataFrame:
 # Weights of the gates.
 
 
-def _occurrences(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(token, earlier word, n) of chosen tokens in a share of the training documents."""
+def _cell(gate: np.ndarray, near: np.ndarray, far: np.ndarray, word: np.ndarray, after: np.ndarray | int) -> np.ndarray:
+    """Gate and levels (from 0, the earlier word's fine ones as unsigned) as one number."""
+    return (((gate << 5 | near) << 5 | far) << 5 | word) << 8 | after
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, rate, share = shared.value
-        for b in batches:
-            for row in _rows(b):
-                tokens, at, sizes = _block(row)
-                use = [t and zlib.crc32(str(i).encode()) < share * 2**32 for i, t in zip(row["ids"], row["train"])]
-                pick = np.array([_chosen(t, rate) for t in tokens])[at] & np.repeat(np.array(use, bool), sizes)
-                ctx = earlier(np.array([common.get(t, 0) for t in tokens], np.int64), at, sizes)
-                pair, n = np.unique(ctx[pick] * len(tokens) + at[pick], return_counts=True)
-                names = [tokens[k] for k in (pair % len(tokens)).tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(pair // len(tokens)), pa.array(n.astype(np.int64))], ["token", "ctx", "n"])
 
-    return run
+def inputs_of(cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gates and inputs of cells."""
+    x = [_LEVELS[cell >> shift & 31] for shift in (18, 13, 8)]
+    return cell >> 23, np.stack([*x, _FINE[cell & 255]]).T.astype(float)
 
 
-def _inputs(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The inputs of each decision of (token, ctx, n, once), each occurrence predicted without itself."""
+def _late_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cell, n) of ranges' counts."""
+    for b in batches:
+        for one in b.column(0).to_pylist():
+            m = len(one) // 12
+            left, n = np.frombuffer(one, "<i4", m).astype(np.int64), np.frombuffer(one, "<i8", m, 4 * m)
+            levels = []
+            for _ in range(3):
+                left, x = np.divmod(left, _N_LEVELS)
+                levels.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(_cell(left, *levels[::-1], 0)), pa.array(n)], ["cell", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, near, far, after = shared.value
 
-        def less(table: np.ndarray, slot: np.ndarray, bit: np.ndarray) -> np.ndarray:
-            right, wrong = table[slot, bit].astype(np.float32) - 1, table[slot, 1 - bit].astype(np.float32)
-            return np.where(right + wrong > 0, logistic(np.maximum(right, 0), wrong), 0)
+def _lead_cells(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(cell, n) of (pair, n, lead): decisions of the first bytes of words."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, near, far, after = shared.value
         for b in batches:
             if not b.num_rows:
                 continue
-            tokens, ctx, n = b.column(0).to_pylist(), b.column(1).to_numpy(), b.column(2).to_numpy()
-            p = Paths.of(tokens, code)
-            x, gate = unpacked(_spread([t.as_py() for t in b.column(3)], p.each))
-            last = [less(t, s, p.bit) for t, s in zip((near, far), p.slots())]
-            lead = Paths.of(tokens, code, REACH)
-            h = np.zeros(len(gate), np.float32)
-            slot = after_slots(np.repeat(_NAME[ctx], lead.each), lead.inside())
-            h[_runs(np.cumsum(p.each) - p.each, lead.each)] = less(after, slot, lead.bit)
-            k = gate + np.where(h != 0, GATES, 0).astype(np.uint8)
-            cols = [np.stack([*last, x, h]).T.astype(np.float16), k, np.repeat(n, p.each).astype(np.float32)]
-            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cols], ["x", "k", "n"])
+            pair, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+            first, begin, p, each, d = _split(pair, code)
+            once = np.frombuffer(b"".join(b.column(2).take(pa.array(first)).to_pylist()), np.uint8)
+            levels = [t[s, p.bit].astype(np.int64) + SIDE for t, s in zip((near, far), p.slots())]
+            gate = (once >> np.uint8(5)).astype(np.int64)
+            h = after[after_slots(np.repeat(_NAME[pair >> 8 * REACH], each), p.inside()[d]), p.bit[d]].view(np.uint8).astype(np.int64)
+            cell = _cell(gate, *levels, (once & np.uint8(31)).astype(np.int64), 0)[d] + h + np.where(h != 0, GATES << 23, 0)
+            cell, total = _merged([cell], [np.repeat(n, each)])
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total)], ["cell", "n"])
 
     return run
 
 
+def cells(seen: DataFrame, predicted: DataFrame, model: Model, less: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Every decision of the training documents by gate and inputs: cell, n."""
+    late = predicted.where("cells IS NOT NULL").select("cells").mapInArrow(_late_cells, "cell long, n long")
+    leads = predicted.where("begin IS NOT NULL").groupBy("begin").agg(F.first("lead").alias("lead"))  # the same in each range
+    shared = predicted.sparkSession.sparkContext.broadcast((model.code, *less, without_one(model.after, _FINE_SIDE)))
+    rows = seen.withColumn("begin", F.col("pair").bitwiseAND((1 << 8 * REACH) - 1)).join(leads, "begin").select("pair", "n", "lead")
+    lead = rows.mapInArrow(_lead_cells(shared), "cell long, n long")
+    return materialize(late.unionByName(lead).groupBy("cell").agg(F.sum("n").alias("n")), "cells")
+
+
 def _newton(weights: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Gradient and curvature of the log likelihood per gate, summed over a task."""
+    """Gradient and curvature of the log likelihood per gate, summed over a task's cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2 * GATES, INPUTS, INPUTS + 1))
         for b in batches:
-            for row in b.to_pylist():
-                x, k = np.frombuffer(row["x"], np.float16).reshape(-1, INPUTS).astype(float), np.frombuffer(row["k"], np.uint8)
-                n = np.frombuffer(row["n"], np.float32).astype(float)
-                order = np.argsort(k, kind="stable")
-                for g, own in enumerate(np.split(order, np.searchsorted(k[order], np.arange(1, 2 * GATES)))):
-                    y, m = x[own], n[own]
-                    q = 1 / (1 + np.exp(np.clip(y @ weights[g], -30, 30)))  # chance given to the other bit
-                    total[g, :, 0] += (m * q) @ y
-                    total[g, :, 1:] += (y * (m * q * (1 - q))[:, None]).T @ y
+            (gate, x), n = inputs_of(b.column(0).to_numpy()), b.column(1).to_numpy().astype(float)
+            for g in set(gate.tolist()):
+                y, m = x[gate == g], n[gate == g]
+                q = 1 / (1 + np.exp(np.clip(y @ weights[g], -30, 30)))  # chance given to the other bit
+                total[g, :, 0] += (m * q) @ y
+                total[g, :, 1:] += (y * (m * q * (1 - q))[:, None]).T @ y
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
     return run
 
 
-def learn_weights(blocks: DataFrame, predicted: DataFrame, model: Model, n_tokens: int) -> np.ndarray:
-    sc = blocks.sparkSession.sparkContext
-    share = min(1.0, FIT_ROWS / max(1.0, n_tokens * model.rate))
-    seen = blocks.mapInArrow(_occurrences(sc.broadcast((model.common, model.rate, share))), "token binary, ctx long, n long").groupBy("token", "ctx").agg(F.sum("n").alias("n"))
-    rows = seen.join(predicted.where("once IS NOT NULL").select("token", "once"), "token").select("token", "ctx", "n", "once")
-    # Taking one from a count matters where it is small, so large ones may be rough.
-    tables = sc.broadcast((model.code, *[np.minimum(t, 60_000).astype(np.float16) for t in (model.near, model.far, model.after)]))
-    table = materialize(rows.mapInArrow(_inputs(tables), "x binary, k binary, n binary"), "inputs")
-    tables.destroy()
+def learn_weights(table: DataFrame) -> np.ndarray:
+    """Weights of the gates from all cells, a written table."""
     start = np.tile(np.array(START), (2 * GATES, 1))
     weights = start.copy()
     for _ in range(STEPS):
         total = np.zeros((2 * GATES, INPUTS, INPUTS + 1))
-        for r in table.mapInArrow(_newton(weights), "sums binary").toLocalIterator():  # a row for each task over FIT_ROWS rows
+        for r in table.mapInArrow(_newton(weights), "sums binary").toLocalIterator():  # a row for each task over a table of bounded size
             total += np.frombuffer(r["sums"], float).reshape(total.shape)
         for g in range(2 * GATES):
             grad = total[g, :, 0] - PRIOR * (weights[g] - start[g])
             weights[g] += np.clip(np.linalg.solve(total[g, :, 1:] + PRIOR * np.eye(INPUTS), grad), -0.5, 0.5)
-    release(table)
     return weights
 
 
 def fit(blocks: DataFrame) -> LanguageModel:
     """Learn from the training documents of encoded blocks."""
-    sc = blocks.sparkSession.sparkContext
     tokens = materialize(vocabulary(blocks), "tokens")
     total = tokens.agg(F.sum("n"), F.count_if(F.col("n") > 0), F.count("*")).first()
     n_tokens, n_distinct = int(total[0] or 0), int(total[1])
@@ -782,12 +897,16 @@ def fit(blocks: DataFrame) -> LanguageModel:
     code = Code.of(chars)
     head = _head(tokens)
     common = {t: i + 1 for i, t in enumerate(sorted((t for t in head if t != END), key=lambda t: (-head[t], t))[:COMMON])}
-    near, far, after = tables_of([tokens.mapInArrow(_fill(code), TABLE_SCHEMA), blocks.mapInArrow(_fill_after(sc.broadcast((code, common))), TABLE_SCHEMA)])
-    ranges = _ranges(tokens, code, int(total[2]), n_tokens)
-    model = Model(code, near, far, after, ranges, common, min(1.0, FIT_TOKENS / max(1, n_distinct)))
-    predicted = predict(tokens, model)
+    seen = pairs(blocks, common)
+    near, far, after = tables_of([tokens.mapInArrow(_fill(code), TABLE_SCHEMA), seen.mapInArrow(_fill_after(code), TABLE_SCHEMA)])
+    model = Model(code, near, far, after, _ranges(tokens, code, int(total[2]), n_tokens), common)
+    less = without_one(near, SIDE), without_one(far, SIDE)
+    predicted = predict(tokens, model, less)
     release(tokens)
-    model.weights = learn_weights(blocks, predicted, model, n_tokens)
+    table = cells(seen, predicted, model, less)
+    release(seen)
+    model.weights = learn_weights(table)
+    release(table)
     return LanguageModel(model, predicted.select("token", "n"), predicted, n_tokens, n_distinct)
 
 
@@ -809,8 +928,7 @@ class Mixer:
     @classmethod
     def of(cls, m: Model) -> Mixer:
         def for_one(t: np.ndarray) -> np.ndarray:
-            x = np.where(t.sum(axis=1) > 0, logistic(t[:, 1], t[:, 0]), 0)
-            return np.rint(np.sign(x) * (_FINE_SIDE * np.sqrt(np.abs(x) / TOP))).astype(np.int8)
+            return _rounded(np.where(t.sum(axis=1) > 0, logistic(t[:, 1], t[:, 0]), 0), _FINE_SIDE)
 
         return cls(m.code, for_one(m.near), for_one(m.far), for_one(m.after), m.weights, STEP)
 

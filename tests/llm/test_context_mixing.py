@@ -234,3 +234,49 @@ def test_the_order_of_words_changes_the_score(make):
     mixed = " ".join([*pairs, *[follows[w] for w in pairs]])
     got = {r["doc_id"]: r["score"] for r in scored(make([(1, usual), (2, mixed)]), lm)}
     assert got[1] > got[2] + 5
+
+
+def test_weights_are_learned_from_every_occurrence(make, monkeypatch):
+    """The weights are those of Newton steps over all decisions of all training documents, also of documents that a sample would leave out."""
+    monkeypatch.setattr(c, "FIT_ROWS", 200, raising=False)
+    monkeypatch.setattr(c, "FIT_TOKENS", 60, raising=False)
+    monkeypatch.setattr(c, "RANGE", 100)
+    rng = random.Random(3)
+    rows = [(i, prose(rng, ENGLISH, 60)) for i in range(60)] + [(100 + i, " ".join(f"the {i}{rng.randrange(30)}xq" for _ in range(40))) for i in range(20)]
+    lm, _ = fitted(make, rows, lambda i: True)
+    assert len(lm.model.ranges.ends) > 1
+    train = [tokens(t) for _, t in rows]
+    brute, start = Brute(train, lm), np.array(c.START)
+
+    def level(x, side):
+        return math.copysign(8 * (round(side * math.sqrt(abs(x) / 8)) / side) ** 2, x)
+
+    def less(n, bit):
+        right, wrong = n[bit] - 1, n[1 - bit]
+        return min(8, max(-8, math.log((right + 0.2) / (wrong + 0.2)))) if right + wrong else 0.0
+
+    inputs = [[] for _ in range(12)]
+    for d in train:
+        for walk, ctx in brute.walk(d):
+            for bit, keys in walk:
+                word = brute.word[keys[2]]
+                x = [level(less(t[k], bit), 15) for t, k in ((brute.near, keys[0]), (brute.far, keys[1]))]
+                right = word[bit] - 1
+                x.append(level(min(8, max(-8, math.log((right + 0.2) / (word[1 - bit] + 0.2)))), 15))
+                x.append(level(less(brute.after[ctx, keys[2]], bit), 127) if keys[3] else 0.0)
+                inputs[sum(sum(word) - 1 >= s for s in c.SEEN) + (6 if x[3] else 0)].append(x)
+    want = np.tile(start, (12, 1))
+    for g, own in enumerate(inputs):
+        y = np.array(own).reshape(-1, 4)
+        for _ in range(c.STEPS):
+            q = 1 / (1 + np.exp(y @ want[g]))
+            curve = (y * (q * (1 - q))[:, None]).T @ y + c.PRIOR * np.eye(4)
+            want[g] += np.clip(np.linalg.solve(curve, q @ y - c.PRIOR * (want[g] - start)), -0.5, 0.5)
+    assert np.abs(want - start).max() > 0.3
+    # Inputs are nearly equal in some gates, and slots may be shared, so sums of weights and losses are compared.
+    assert np.abs((lm.model.weights - want).sum(axis=1)).max() < 0.05
+
+    def loss(w):
+        return sum(np.log1p(np.exp(-np.array(own).reshape(-1, 4) @ w[g])).sum() for g, own in enumerate(inputs))
+
+    assert loss(lm.model.weights) < 1.001 * loss(want)
