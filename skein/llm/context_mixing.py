@@ -250,6 +250,24 @@ def without_one(table: np.ndarray, side: int) -> np.ndarray:
 BLOCK_SCHEMA = "block long, ids array<long>, train array<boolean>, sizes array<int>, n_bytes array<long>, at binary, tokens binary, counts binary"
 
 
+def _small(raw: bytes) -> bytes:
+    """Compressed, after the size: a block is written and shuffled whole."""
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _full(small: bytes) -> bytes:
+    return pa.decompress(small[8:], int.from_bytes(small[:8], "little"), "zstd", asbytes=True)
+
+
+def _numbers(at: np.ndarray) -> bytes:
+    """Numbers of tokens by bytes, all first bytes in front: the last ones are nearly all zeros."""
+    return _small(np.ascontiguousarray(at.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _at(small: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_full(small), np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of (doc_id, text, train): documents as numbers of the block's tokens, and how often training documents hold each."""
     first, made = TaskContext.get().partitionId() << 32, 0
@@ -266,14 +284,16 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = [len(d) for *_, d in docs]
         train = [bool(t) for _, t, _, _ in docs]
         counts = np.bincount(at[np.repeat(train, sizes)], minlength=len(place)).astype(np.int64)
-        row = (first + made, [i for i, *_ in docs], train, sizes, [n for _, _, n, _ in docs], at.tobytes(), b" ".join(place), counts.tobytes())
+        row = (first + made, [i for i, *_ in docs], train, sizes, [n for _, _, n, _ in docs], _numbers(at), _small(b" ".join(place)), _small(counts.tobytes()))
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], ["block", "ids", "train", "sizes", "n_bytes", "at", "tokens", "counts"])
 
     (place, docs), size = fresh(), 0
     for b in batches:
         for i, text, train in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), b.column(2).to_pylist()):
             raw = text.as_py()
-            docs.append((i, train, len(raw or b"") + 1, np.array([*[place[w] for w in words_of(raw)], 0], np.int32)))
+            words = words_of(raw)
+            words.append(END)
+            docs.append((i, train, len(raw or b"") + 1, np.fromiter(map(place.__getitem__, words), np.int32, len(words))))
             size += len(raw or b"")
             if size >= BLOCK_BYTES:
                 yield out()
@@ -292,8 +312,8 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(token, n) of blocks (tokens, counts)."""
     for b in batches:
         for tokens, counts in zip(b.column(0), b.column(1)):
-            names = tokens.as_py().split(b" ")
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(np.frombuffer(counts.as_py(), np.int64))], ["token", "n"])
+            names = _full(tokens.as_py()).split(b" ")
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(np.frombuffer(_full(counts.as_py()), np.int64))], ["token", "n"])
 
 
 def vocabulary(blocks: DataFrame) -> DataFrame:
@@ -308,7 +328,7 @@ def _rows(b: pa.RecordBatch) -> Iterator[dict]:
 
 
 def _block(row: dict) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    return row["tokens"].split(b" "), np.frombuffer(row["at"], np.int32), np.array(row["sizes"], np.int64)
+    return _full(row["tokens"]).split(b" "), _at(row["at"]), np.array(row["sizes"], np.int64)
 
 
 def earlier(common: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -970,7 +990,7 @@ class Mixer:
             d = at[s:e]
             n, m = each[d], lead[d]
             where = _runs(start[d], n)
-            t, k = alone[where], gate[where]
+            t, k = alone.take(where), gate.take(where).astype(np.intp)  # as indices, for each block of decisions below
             own = _runs(lead_start[d], m)
             place = _runs(np.cumsum(n) - n, m)
             said = _FINE[self.after[after_slots(np.repeat(_NAME[ctx[s:e]], m), inside[own])].view(np.uint8)] * sign[own]
@@ -989,18 +1009,19 @@ class Mixer:
                 while i < last:
                     j = min(i + size, last)
                     kk, tt = k[i:j], t[i:j]
-                    y = tt * scale[kk]
+                    y = scale.take(kk)
+                    y *= tt
                     # The earlier word speaks at few places.
                     u, v = np.searchsorted(place, (i, j))
                     at_, hh, gg = place[u:v] - i, said[u:v], beyond[u:v]
                     y[at_] += hh * more[gg]
-                    np.clip(y, -12, 12, out=y)
-                    miss = np.exp(-y)
+                    np.minimum(np.maximum(y, -12, out=y), 12, out=y)
+                    miss = np.exp(np.negative(y, out=y), out=y)
                     one = miss + 1
-                    loss += float(np.log(one).sum(dtype=np.float64))
                     miss /= one  # chance given to the other bit
+                    loss += float(np.log(one, out=one).sum(dtype=np.float64))
                     step = self.step / (j - i)
-                    scale += (step * np.bincount(kk, miss * tt, 2 * GATES)).astype(np.float32)
+                    scale += (step * np.bincount(kk, np.multiply(miss, tt, out=one), 2 * GATES)).astype(np.float32)
                     more += (step * np.bincount(gg, miss[at_] * hh, GATES)).astype(np.float32)
                     i, size = j, min(2 * size, LAST)
                 if stop < int(ends[doc]):
@@ -1020,8 +1041,9 @@ def _requests(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
         head = shared.value[1]
         for b in batches:
             for block, tokens in zip(b.column(0).to_pylist(), b.column(1)):
-                rare = [(i, t) for i, t in enumerate(tokens.as_py().split(b" ")) if t not in head]
-                cols = [pa.array([block] * len(rare), pa.int64()), pa.array([i for i, _ in rare], pa.int32()), pa.array([t for _, t in rare], pa.binary())]
+                names = _full(tokens.as_py()).split(b" ")
+                rare = [i for i, t in enumerate(names) if t not in head]
+                cols = [pa.array(np.full(len(rare), block, np.int64)), pa.array(rare, pa.int32()), pa.array([names[i] for i in rare], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, ["block", "number", "token"])
 
     return run
