@@ -72,14 +72,14 @@ class PartTokenizer:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _learn(self, new: list[bytes]) -> None:
-        known, mark = self.known, self.MARK.encode()
+        known, mark, between = self.known, self.MARK.encode(), f" {self.MARK} ".encode()
         alone = [p for p in new if mark in p]
         rest = [p for p in new if mark not in p] if alone else new
         for p in alone:
             known[p] = np.array(self._ids(p.decode()), "<u4").tobytes()
         for at in range(0, len(rest), 8192):
             chunk = rest[at : at + 8192]
-            ids = np.array(self._ids(f" {self.MARK} ".join([c.decode() for c in chunk]) + f" {self.MARK}"), "<u4")
+            ids = np.array(self._ids((between.join(chunk) + between[:-1]).decode()), "<u4")
             ends = np.flatnonzero(ids == self.mark)
             raw, begin = ids.tobytes(), 0
             for p, end in zip(chunk, (4 * ends).tolist()):
@@ -89,12 +89,14 @@ class PartTokenizer:
     def learn(self, parts: set[bytes]) -> None:
         """Remember the ids of parts."""
         known, split, cores = self.known, [], set()
-        for p in parts:
-            if (was := self.before.get(p)) is not None:
-                known[p] = was
+        again = parts & self.before.keys()
+        known.update(zip(again, map(self.before.__getitem__, again)))
+        for p in parts - again:
+            if p[-1] not in self.TAIL:
+                cores.add(p)
                 continue
             core = p.rstrip(self.TAIL)
-            if core and len(core) < len(p) and core[-1:].isalnum():  # bytes: ASCII only
+            if core and core[-1:].isalnum():  # bytes: ASCII only
                 split.append((p, core, p[len(core) :]))
                 cores.add(core)
                 cores.add(p[len(core) :])
@@ -109,13 +111,8 @@ class PartTokenizer:
             self.before, self.known = self.known, {}
         known = self.known
         parts = [t.split() if t else [] for t in texts]
-        found = [list(map(known.get, ps)) for ps in parts]
-        holes = [[i for i, f in enumerate(fs) if f is None] for fs in found]
-        self.learn({ps[i] for ps, h in zip(parts, holes) for i in h})
-        for ps, fs, h in zip(parts, found, holes):
-            for i in h:
-                fs[i] = known[ps[i]]
-        return list(map(b"".join, found))
+        self.learn(set().union(*parts).difference(known))
+        return [b"".join(map(known.__getitem__, ps)) for ps in parts]
 
 
 @functools.cache
