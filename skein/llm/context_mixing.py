@@ -55,9 +55,11 @@ import math
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,6 +91,10 @@ FIRST, LAST, STEP = 128, 4096, 0.1
 PAIRS = 1 << 20
 #: Text of a block of documents; tokens that are scored at a time, and distinct ones whose predictions are made or mixed at a time.
 BLOCK_BYTES, SLICE, PIECE = 3 << 20, 1 << 13, 1 << 12
+#: Tokens of whole documents that are refined side by side.
+SIDE_BY_SIDE = 1 << 15
+#: Tokens whose pairs of an earlier word and a beginning are mixed at a time.
+SPAN = 1 << 19
 END = b""  # the empty word: no text has it, so no token reads like this one
 _M = np.uint32(0x9E3779B1)
 _LETTER = np.random.default_rng(5).integers(0, 2**32, (3, 256), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -139,6 +145,23 @@ class Code:
         return cls(start_a, np.diff(np.append(start_a, len(bits))), np.array(bits, np.uint8), np.array(nodes, np.uint32))
 
 
+def values(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
+    """The values of a binary column without nulls, as to_pylist() gives them, in a tenth of its time."""
+    out: list[bytes] = []
+    for a in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        _, ends, data = a.cast(pa.binary()).buffers()
+        if len(a):
+            at, raw = np.frombuffer(ends, np.int32)[a.offset : a.offset + len(a) + 1].tolist(), data.to_pybytes() if data else b""
+            out += [raw[s:e] for s, e in zip(at, at[1:])]
+    return out
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """A binary column of rows of equally many bytes."""
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
 def decisions(tokens: list[bytes], code: Code) -> np.ndarray:
     """How many decisions each token and its space take."""
     size = np.array([len(t) + 1 for t in tokens], np.int64)
@@ -173,18 +196,21 @@ class Paths:
     each: np.ndarray  # decisions per token
 
     @classmethod
-    def of(cls, tokens: list[bytes], code: Code, reach: int | None = None) -> Paths:
-        """All decisions of the tokens, or those of their first reach bytes."""
+    def of(cls, tokens: list[bytes], code: Code, reach: int | None = None, skip: int = 0) -> Paths:
+        """All decisions of the tokens, or those of their first reach bytes, or those after their first skip bytes."""
         closed = [(t + b" ")[:reach] for t in tokens]
         raw = np.frombuffer(b"".join(closed), np.uint8)
         size = np.array([len(t) for t in closed], np.int64)
         start = np.cumsum(size) - size
         first = np.repeat(start.astype(np.int32), size)
+        place = np.arange(len(raw), dtype=np.int32) - first
         n = code.length[raw]
+        if skip:
+            n[place < skip] = 0
         byte = np.repeat(np.arange(len(raw), dtype=np.int32), n)
         at = np.arange(len(byte), dtype=np.int64) + (code.start[raw] - (np.cumsum(n) - n))[byte]
         each = np.add.reduceat(n, start) if len(raw) else np.empty(0, np.int64)
-        return cls(raw, np.arange(len(raw), dtype=np.int32) - first, first, byte, code.bit[at], code.node[at] * np.uint32(0x85EBCA6B), each)
+        return cls(raw, place, first, byte, code.bit[at], code.node[at] * np.uint32(0x85EBCA6B), each)
 
     def _back(self, k: int) -> np.ndarray:
         """The k-th byte before, 0 before the token."""
@@ -268,36 +294,48 @@ def _at(small: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(_full(small), np.uint8).reshape(4, -1).T).view("<i4").ravel()
 
 
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Texts as numbers of tokens, the words of each and its end; how many each has; the tokens, in which the end is the first."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))  # ASCII case and white space only, as in words_of
+    words, bounds = lists.flatten(), np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))
+    full = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)  # white space at an end leaves an empty one
+    names = words.filter(pa.array(full)).dictionary_encode()
+    sizes = np.diff(np.append(0, np.cumsum(full))[bounds])
+    at = np.zeros(len(names) + len(sizes), np.int32)
+    ends = np.cumsum(sizes + 1) - 1
+    word = np.ones(len(at), bool)
+    word[ends] = False
+    at[word] = names.indices.to_numpy() + 1
+    return at, sizes + 1, [END, *values(names.dictionary)]
+
+
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of (doc_id, text, train): documents as numbers of the block's tokens, and how often training documents hold each."""
     first, made = TaskContext.get().partitionId() << 32, 0
     types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
 
-    def fresh() -> tuple[defaultdict, list]:
-        place: defaultdict = defaultdict()
-        place.default_factory = place.__len__
-        place[END]
-        return place, []
-
     def out() -> pa.RecordBatch:
-        at = np.concatenate([d for *_, d in docs])
-        sizes = [len(d) for *_, d in docs]
-        train = [bool(t) for _, t, _, _ in docs]
-        counts = np.bincount(at[np.repeat(train, sizes)], minlength=len(place)).astype(np.int64)
-        row = (first + made, [i for i, *_ in docs], train, sizes, [n for _, _, n, _ in docs], _numbers(at), _small(b" ".join(place)), _small(counts.tobytes()))
+        ids, texts, train = (pa.concat_arrays([d.column(i) for d in docs]) for i in range(3))
+        texts = texts.fill_null("")
+        at, sizes, tokens = _words(texts)
+        learned = np.repeat(train.fill_null(False).to_numpy(zero_copy_only=False), sizes)
+        counts = np.bincount(at[learned], minlength=len(tokens)).astype(np.int64)
+        n_bytes = pc.binary_length(texts).to_numpy().astype(np.int64) + 1
+        row = (first + made, ids.to_pylist(), train.fill_null(False).to_pylist(), sizes, n_bytes, _numbers(at), _small(b" ".join(tokens)), _small(counts.tobytes()))
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], ["block", "ids", "train", "sizes", "n_bytes", "at", "tokens", "counts"])
 
-    (place, docs), size = fresh(), 0
+    docs, size = [], 0
     for b in batches:
-        for i, text, train in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), b.column(2).to_pylist()):
-            raw = text.as_py()
-            words = words_of(raw)
-            words.append(END)
-            docs.append((i, train, len(raw or b"") + 1, np.fromiter(map(place.__getitem__, words), np.int32, len(words))))
-            size += len(raw or b"")
-            if size >= BLOCK_BYTES:
-                yield out()
-                (place, docs), size, made = fresh(), 0, made + 1
+        done, upto = 0, np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy().astype(np.int64))
+        # A block ends with the text that fills it.
+        while done < b.num_rows:
+            full = int(np.searchsorted(upto, BLOCK_BYTES - size + (upto[done - 1] if done else 0)))
+            docs.append(b.slice(done, full + 1 - done))
+            if full >= b.num_rows:
+                size += int(upto[-1] - (upto[done - 1] if done else 0))
+                break
+            yield out()
+            docs, size, made, done = [], 0, made + 1, full + 1
     if docs:
         yield out()
 
@@ -376,7 +414,7 @@ def _fill(code: Code) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
             if not (n > 0).any():
                 continue
             some = True
-            p = Paths.of([t for t, k in zip(b.column(0).to_pylist(), n) if k], code)
+            p = Paths.of([t for t, k in zip(values(b.column(0)), n.tolist()) if k], code)
             often = np.repeat(n[n > 0].astype(np.uint64), p.each)
             for t, s in zip(tables, p.slots()):
                 np.add.at(t, s.astype(np.int64) * 2 + p.bit, often)
@@ -391,8 +429,14 @@ def _fill(code: Code) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
 
 def beginnings(tokens: list[bytes]) -> np.ndarray:
     """The first REACH bytes of each token and its space as a number; no token holds a space, so the rest may be zeros."""
-    raw = np.frombuffer(b"".join([(t + b" ".ljust(REACH, b"\0"))[:REACH] for t in tokens]), np.uint8).reshape(-1, REACH)
-    return raw.astype(np.int64) @ (1 << np.arange(8 * REACH - 8, -8, -8, dtype=np.int64))
+    raw = np.frombuffer(b" ".join([*tokens, b"\0" * REACH]), np.uint8)
+    at = np.append(0, np.flatnonzero(raw == ord(" ")) + 1)[: len(tokens)]
+    out, goes_on = np.zeros(len(tokens), np.int64), np.ones(len(tokens), bool)
+    for k in range(REACH):
+        byte = raw[at + k]
+        out = out << 8 | np.where(goes_on, byte, 0)
+        goes_on &= byte != ord(" ")
+    return out
 
 
 def _begun(numbers: np.ndarray) -> list[bytes]:
@@ -558,7 +602,7 @@ def _code_column(codes: np.ndarray) -> np.ndarray:
 
 
 def _codes(column: pa.Array, code: Code) -> np.ndarray:
-    tokens = column.to_pylist()
+    tokens = values(column)
     return np.concatenate([Paths.of(tokens[i : i + PIECE], code).codes() for i in range(0, len(tokens), PIECE)])
 
 
@@ -571,7 +615,7 @@ def _coded(code: Code, ends: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]],
                 continue
             codes = _codes(b.column(0), code)
             part = np.searchsorted(ends, _code_column(codes), side="right").astype(np.int32) if len(ends) else np.zeros(b.num_rows, np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(part)], ["token", "n", "code", "part"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _binary(codes), pa.array(part)], ["token", "n", "code", "part"])
 
     return run
 
@@ -663,12 +707,12 @@ def _trimmed(packed: np.ndarray, each: np.ndarray) -> list[bytes]:
     return [raw[s:e] for s, e in zip((ends - each).tolist(), last.tolist())]
 
 
-def _spread(trimmed: list[bytes], each: np.ndarray) -> np.ndarray:
-    """The bytes of each decision again."""
+def _spread(trimmed: list[bytes], skip: np.ndarray | int, each: np.ndarray) -> np.ndarray:
+    """The bytes of decisions again: each of a token, after the first skip."""
     size = np.array([len(t) for t in trimmed], np.int64)
     own = np.frombuffer(b"".join(trimmed), np.uint8)
-    place = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
-    return own[np.minimum(place, np.repeat(size - 1, each)) + np.repeat(np.cumsum(size) - size, each)]
+    first = np.cumsum(size) - size
+    return own[np.minimum(_runs(first + skip, each), np.repeat(first + size - 1, each))]
 
 
 @dataclass
@@ -727,8 +771,8 @@ PREDICTED = "token binary, n long, own binary, begin long, lead binary, cells bi
 def _predict(shared) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("code")
-        tokens, n = table.column("token").to_pylist(), table.column("n").to_numpy()
-        codes = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(-1, DEPTH // 8)
+        tokens, n = values(table.column("token")), table.column("n").to_numpy()
+        codes = np.frombuffer(b"".join(values(table.column("code"))), np.uint8).reshape(-1, DEPTH // 8)
         code, ranges, less = shared.value
         own, learned = predictions(tokens, codes, n, code, ranges, table.column("part")[0].as_py(), less)
         full = np.flatnonzero(learned.total)
@@ -767,7 +811,7 @@ class LanguageModel:
 def _count_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(256, np.int64)
     for b in batches:
-        tokens = [t + b" " for t in b.column(0).to_pylist()]
+        tokens = [t + b" " for t in values(b.column(0))]
         raw = np.frombuffer(b"".join(tokens), np.uint8)
         np.add.at(total, raw, np.repeat(b.column(1).to_numpy(), [len(t) for t in tokens]))
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(256, dtype=np.int32)), pa.array(total)], ["byte", "n"])
@@ -933,6 +977,17 @@ def fit(blocks: DataFrame) -> LanguageModel:
 # Scores.
 
 
+@dataclass
+class Late:
+    """Decisions beyond the first REACH bytes of tokens, which depend on the token alone: per token the loss of the sure
+    ones and the number of others; per other decision the mix and its gate."""
+
+    sure: np.ndarray
+    each: np.ndarray
+    alone: np.ndarray
+    gate: np.ndarray
+
+
 @dataclass
 class Mixer:
     """Scores documents given as numbers of tokens with known predictions."""
@@ -950,95 +1005,157 @@ class Mixer:
         def for_one(t: np.ndarray) -> np.ndarray:
             return _rounded(np.where(t.sum(axis=1) > 0, logistic(t[:, 1], t[:, 0]), 0), _FINE_SIDE)
 
-        return cls(m.code, for_one(m.near), for_one(m.far), for_one(m.after), m.weights, STEP)
+        return cls(m.code, for_one(m.near), for_one(m.far), for_one(m.after), m.weights.astype(np.float32), STEP)
 
-    def _token_values(self, tokens: list[bytes], packed: list[bytes], w: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Per token the loss of its sure decisions and the number of others; per other decision the mix without the
-        earlier word and its gate. For decisions of the first bytes, which all count as others: their number per token, the mix
-        beside the earlier word, that word's weight, the gate, the hash of the word so far, and the bit as a sign."""
-        p = Paths.of(tokens, self.code)
-        word, gate = unpacked(_spread(packed, p.each))
+    def _mixes(self, p: Paths, packed: np.ndarray, beyond: bool) -> tuple[np.ndarray, ...]:
+        """The gate of each decision, its mix without the earlier word, and (beyond) its mix beside that word; the bit as a sign."""
+        word, gate = unpacked(packed)
         right = p.bit.astype(np.float32) * 2 - 1
-        x = [*[_FINE[t[s].view(np.uint8)] * right for t, s in zip((self.near, self.far), p.slots())], word]
-        lead = Paths.of(tokens, self.code, REACH)
-        start = np.cumsum(p.each) - p.each
-        first = _runs(start, lead.each)
-        kind = gate[first]
-        beside = sum(w[kind + GATES, i] * x[i][first] for i in range(3))
-        alone = sum(w[gate, i] * x[i] for i in range(3))
+        x = [*[_FINE.take(t[s].view(np.uint8)) * right for t, s in zip((self.near, self.far), p.slots())], word]
+
+        def mix(kind: np.ndarray) -> np.ndarray:
+            return sum(self.weights[:, i].take(kind) * x[i] for i in range(3))
+
+        return gate, mix(gate), mix(gate + GATES) if beyond else None, right
+
+    def _late(self, tokens: list[bytes], packed: list[bytes]) -> tuple[np.ndarray, ...]:
+        p = Paths.of(tokens, self.code, skip=REACH)
+        gate, alone, _, _ = self._mixes(p, _spread(packed, decisions(tokens, self.code) - p.each, p.each), False)
         other = np.abs(alone) < SURE
-        other[first] = True
-        loss = np.where(other, np.float32(0), np.log(1 + np.exp(-np.clip(alone, -12, 12))))
-        sure, each = np.add.reduceat(loss.astype(np.float64), start), np.add.reduceat(other.astype(np.int64), start)
-        return sure, each, alone[other], gate[other], lead.each, beside, w[kind + GATES, 3], kind, lead.inside(), lead.bit.astype(np.float32) * 2 - 1
-
-    def logs(self, tokens: list[bytes], packed: list[bytes], common: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> list[float]:
-        """log10 of the probability of each document."""
-        w = self.weights.astype(np.float32)
-        made = [self._token_values(tokens[i : i + PIECE], packed[i : i + PIECE], w) for i in range(0, len(tokens), PIECE)]
-        sure, each, alone, gate, lead, beside, pull, kind, inside, sign = (np.concatenate(m) for m in zip(*made))
-        del made
-        start, lead_start = np.cumsum(each) - each, np.cumsum(lead) - lead
-        ctx = earlier(common, at, sizes)
-        ends = np.cumsum(sizes)
-        scale, more, size, loss, out, doc = np.ones(2 * GATES, np.float32), np.zeros(GATES, np.float32), FIRST, 0.0, [], 0
-        s = 0
-        while s < len(at):
-            e = min(s + SLICE, len(at))
-            if e < len(at) and doc < len(ends) and (full := int(np.searchsorted(ends, e, side="right"))) > doc:
-                e = int(ends[full - 1])  # whole documents, unless one is longer than a slice
-            d = at[s:e]
-            n, m = each[d], lead[d]
-            where = _runs(start[d], n)
-            t, k = alone.take(where), gate.take(where).astype(np.intp)  # as indices, for each block of decisions below
-            own = _runs(lead_start[d], m)
-            place = _runs(np.cumsum(n) - n, m)
-            said = _FINE[self.after[after_slots(np.repeat(_NAME[ctx[s:e]], m), inside[own])].view(np.uint8)] * sign[own]
+        loss = np.log(1 + np.exp(-np.clip(alone, -12, 12)))
+        loss[other] = 0
+        ends = np.cumsum(p.each)
+        sums, others = (np.append(0, np.cumsum(v, dtype=t)) for v, t in ((loss, np.float64), (other, np.int64)))
+        return sums[ends] - sums[ends - p.each], others[ends] - others[ends - p.each], alone[other], gate[other]
+
+    def late(self, tokens: list[bytes], packed: list[bytes]) -> Late:
+        """What the tokens bring to any document beyond their first bytes."""
+        made = [self._late(tokens[i : i + PIECE], packed[i : i + PIECE]) for i in range(0, len(tokens), PIECE)]
+        return Late(*map(np.concatenate, zip(*made))) if made else Late(*(np.empty(0, t) for t in (np.float64, np.int64, np.float32, np.uint8)))
+
+    def leads(self, tokens: list[bytes], packed: list[bytes]) -> tuple[np.ndarray, ...]:
+        """Of the first bytes of tokens the number of decisions; per decision its gate, its mix without and beside the
+        earlier word, that word's weight, the hash of the word so far, and the bit as a sign."""
+        p = Paths.of(tokens, self.code, REACH)
+        gate, alone, beside, right = self._mixes(p, _spread(packed, 0, p.each), True)
+        return p.each, gate, alone, beside, self.weights[:, 3].take(gate + GATES), p.inside(), right
+
+    def _spoken(self, leads: tuple[np.ndarray, ...], begin: np.ndarray, ctx: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Per token the number of its pair of a beginning (a row of leads) and an earlier word; of each distinct pair how many
+        decisions it has; per decision of these the mix, what the earlier word says, and the gate. No pair is mixed twice."""
+        lead, gate, alone, beside, pull, inside, sign = leads
+        pair = pa.array(ctx * len(lead) + begin).dictionary_encode()
+        context, row = np.divmod(pair.dictionary.to_numpy(), len(lead))
+        each, first, made = lead[row], np.cumsum(lead) - lead, []
+        for i in range(0, len(row), 16 * PIECE):
+            n = each[i : i + 16 * PIECE]
+            d = _runs(first[row[i : i + 16 * PIECE]], n)
+            said = _FINE.take(self.after[after_slots(np.repeat(_NAME[context[i : i + 16 * PIECE]], n), inside[d])].view(np.uint8)) * sign[d]
             some = said != 0
-            place, own, said = place[some], own[some], said[some]
-            t[place] = beside[own] + pull[own] * said
-            beyond = kind[own]
-            k[place] = beyond + GATES
-            fixed = np.append(0, np.cumsum(sure[d]))
+            made.append((np.where(some, beside[d] + pull[d] * said, alone[d]), said, gate[d] + some * np.uint8(GATES)))
+        return pair.indices.to_numpy().astype(np.int64), each, *map(np.concatenate, zip(*made))
+
+    def _refine(self, state: tuple[np.ndarray, ...], losses: np.ndarray, i: np.ndarray, stop: np.ndarray, open_end: bool, t: np.ndarray, h: np.ndarray, k: np.ndarray) -> None:
+        """Add the losses of documents' decisions i to stop: a block of each document at a time, after which its state is refined.
+
+        t, h and k are the mixes, what earlier words say, and the gates. With open_end the last document goes on.
+        """
+        scale, more, block = state
+        while len(live := np.flatnonzero(i < stop)):
+            n = np.minimum(block[live], stop[live] - i[live])
+            over = i[live] + n == stop[live]
+            over[-1:] &= not (open_end and live[-1] == len(i) - 1)
+            order = np.argsort(over, kind="stable")  # after its last block a document needs no refinement
+            live, n = live[order], n[order]
+            stretch = [slice(a, b) for a, b in zip(i[live].tolist(), (i[live] + n).tolist())]
+            tt, hh, kk = (np.concatenate([x[s] for s in stretch]) for x in (t, h, k))
+            kk = kk.astype(np.intp)
+            kk += np.repeat(live * (2 * GATES), n)
+            y, pull = scale.take(kk), more.take(kk)
+            y *= tt
+            pull *= hh
+            y += pull
+            np.clip(y, -12, 12, out=y)
+            np.exp(np.negative(y, out=y), out=y)
+            one = np.add(y, 1, out=pull)
+            if go_on := len(n) - int(over.sum()):
+                own = slice(0, int(n[:go_on].sum()))
+                miss = y[own]
+                miss /= one[own]  # chance given to the other bit
+                step = np.zeros((len(scale), 1))
+                step[live[:go_on], 0] = self.step / n[:go_on]
+                for kept, x in ((scale, tt), (more, hh)):
+                    up = np.bincount(kk[own], np.multiply(miss, x[own], out=x[own]), kept.size)
+                    kept += (step * up.reshape(kept.shape)).astype(np.float32)
+            losses[live] += np.add.reduceat(np.log(one, out=one), np.cumsum(n) - n, dtype=np.float64)
+            i[live] += n
+            block[live] = np.minimum(2 * block[live], LAST)
+
+    def logs(self, late: Late, leads: tuple[np.ndarray, ...], begin: np.ndarray, common: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each document, given as numbers of tokens; begin has each token's row of leads.
+
+        The documents of a slice are refined side by side: a block of decisions of each at a time.
+        """
+        ctx, ends = earlier(common, at, sizes), np.cumsum(sizes)
+        losses = np.add.reduceat(late.sure[at], ends - sizes) if len(at) else np.empty(0)
+        long = np.flatnonzero(sizes > SLICE)
+        s = doc = base = top = 0
+        left = None  # of a document that goes on in the next slice
+        while s < len(at):
+            if ends[doc] - s > SLICE:
+                e = s + SLICE
+            else:  # whole documents, up to the next one that is longer than a slice
+                until = min([int(np.searchsorted(ends, s + SIDE_BY_SIDE, side="right")), *long[long > doc][:1].tolist()])
+                e = int(ends[max(doc, until - 1)])
+            if e > top:
+                base, top = s, min(max(e, s + SPAN), len(at))
+                pair, each, *spoken = self._spoken(leads, begin[at[base:top]], ctx[base:top])
+                each = np.append(late.each, each)
+                t, h, k = (np.concatenate(x) for x in zip((late.alone, np.zeros(len(late.alone), np.float32), late.gate), spoken))
+                both = t + 1j * h  # side by side, as they are read together
+                first = np.cumsum(each) - each
+            # The first bytes and the rest of each token in turn.
+            own = np.stack([len(late.each) + pair[s - base : e - base], at[s:e]], axis=1).ravel()
+            n = each[own]
             done = np.append(0, np.cumsum(n))
-            while True:
-                stop = min(int(ends[doc]), e)
-                begin = max(s, int(ends[doc - 1]) if doc else 0) - s
-                i, last = int(done[begin]), int(done[stop - s])
-                loss += float(fixed[stop - s] - fixed[begin])
-                while i < last:
-                    j = min(i + size, last)
-                    kk, tt = k[i:j], t[i:j]
-                    y = scale.take(kk)
-                    y *= tt
-                    # The earlier word speaks at few places.
-                    u, v = np.searchsorted(place, (i, j))
-                    at_, hh, gg = place[u:v] - i, said[u:v], beyond[u:v]
-                    y[at_] += hh * more[gg]
-                    np.minimum(np.maximum(y, -12, out=y), 12, out=y)
-                    miss = np.exp(np.negative(y, out=y), out=y)
-                    one = miss + 1
-                    miss /= one  # chance given to the other bit
-                    loss += float(np.log(one, out=one).sum(dtype=np.float64))
-                    step = self.step / (j - i)
-                    scale += (step * np.bincount(kk, np.multiply(miss, tt, out=one), 2 * GATES)).astype(np.float32)
-                    more += (step * np.bincount(gg, miss[at_] * hh, GATES)).astype(np.float32)
-                    i, size = j, min(2 * size, LAST)
-                if stop < int(ends[doc]):
-                    break  # the document goes on in the next slice
-                out.append(-loss / math.log(10))
-                scale, more, size, loss, doc = np.ones(2 * GATES, np.float32), np.zeros(GATES, np.float32), FIRST, 0.0, doc + 1
-                if doc == len(ends) or int(ends[doc - 1]) >= e:
-                    break
-            s = e
-        return out
+            where = _runs(first[own], n)
+            own = both.take(where)
+            last = int(np.searchsorted(ends, e, side="left")) + 1
+            i, stop = done[2 * np.maximum(ends[doc:last] - sizes[doc:last] - s, 0)], done[2 * (np.minimum(ends[doc:last], e) - s)]
+            open_end = int(ends[last - 1]) > e
+            state = np.ones((last - doc, 2 * GATES), np.float32), np.zeros((last - doc, 2 * GATES), np.float32), np.full(last - doc, FIRST)
+            if left is not None:
+                for kept, x in zip(state, left):
+                    kept[0] = x
+            self._refine(state, losses[doc:last], i, stop, open_end, own.real, own.imag, k.take(where))
+            left = tuple(x[-1].copy() for x in state) if open_end else None
+            s, doc = e, last - open_end
+        return -losses / math.log(10)
+
+
+@dataclass
+class Head:
+    """The tokens that are broadcast, made ready once for all blocks."""
+
+    place: dict[bytes, int]
+    n: np.ndarray
+    late: Late
+    lead: dict[int, bytes]  # packed predictions of the first bytes, per beginning
+    common: np.ndarray  # numbers of the common words, 0 for others
+
+    @classmethod
+    def of(cls, rows: Iterator[tuple[bytes, int, bytes]], mixer: Mixer, common: dict[bytes, int]) -> Head:
+        tokens, n, packed = map(list, zip(*rows)) if (rows := list(rows)) else ([], [], [])
+        # No beginning has more than REACH * 255 decisions.
+        lead = dict(zip(beginnings(tokens).tolist(), [p[: REACH * 255] for p in packed]))
+        return cls({t: i for i, t in enumerate(tokens)}, np.array(n, np.int64), mixer.late(tokens, packed), lead, np.array([common.get(t, 0) for t in tokens], np.int64))
 
 
 def _requests(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(block, number, token) of the tokens of blocks that are not broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = shared.value[1]
+        head = shared.value[1].place
         for b in batches:
             for block, tokens in zip(b.column(0).to_pylist(), b.column(1)):
                 names = _full(tokens.as_py()).split(b" ")
@@ -1052,25 +1169,37 @@ def _requests(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
 SCORED = "doc_id long, n_tokens long, n_known long, base double, score double, n_bytes long"
 
 
+def _placed(number: np.ndarray, own: Late, known: np.ndarray, place: np.ndarray, head: Late) -> Late:
+    """Of a block's tokens: own at their numbers, and those known by their places in the head."""
+    sure, each, start = np.empty(len(number) + len(known)), *np.empty((2, len(number) + len(known)), np.int64)
+    sure[number], each[number], start[number] = own.sure, own.each, np.cumsum(own.each) - own.each
+    sure[known], each[known], start[known] = head.sure[place], head.each[place], (np.cumsum(head.each) - head.each)[place] + len(own.alone)
+    where = _runs(start, each)
+    return Late(sure, each, np.concatenate([own.alone, head.alone]).take(where), np.concatenate([own.gate, head.gate]).take(where))
+
+
 def _score(shared) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """One block with the predictions of its tokens that are not broadcast."""
 
     def run(block: pa.Table, found: pa.Table) -> pa.Table:
-        mixer, head, common = shared.value
+        mixer, head = shared.value
         row = block.to_pylist()[0]
         tokens, at, sizes = _block(row)
-        packed: list[bytes] = [b""] * len(tokens)
-        count = np.zeros(len(tokens), np.int64)
-        for i, n, own in zip(found.column("number").to_pylist(), found.column("n").to_pylist(), found.column("own").to_pylist()):
-            packed[i], count[i] = own, n
-        for i, t in enumerate(tokens):
-            if t in head:
-                count[i], packed[i] = head[t]
+        place = np.fromiter(map(head.place.get, tokens, repeat(-1)), np.int64, len(tokens))
+        number, packed = found.column("number").to_numpy(), values(found.column("own"))
+        count, common = np.zeros((2, len(tokens)), np.int64)
+        count[number] = found.column("n").to_numpy()
+        known = np.flatnonzero(place >= 0)
+        count[known], common[known] = head.n[place[known]], head.common[place[known]]  # the common words are among the head's
+        late = _placed(number, mixer.late([tokens[i] for i in number.tolist()], packed), known, place[known], head.late)
+        starts, first, own = np.unique(beginnings(tokens), return_index=True, return_inverse=True)
+        rare = dict(zip(number.tolist(), packed))
+        leads = mixer.leads(_begun(starts), [head.lead.get(b) or rare[i] for b, i in zip(starts.tolist(), first.tolist())])
         gain, begin = np.log10(count + 1.0)[at], np.cumsum(sizes) - sizes
         cols = {
             "doc_id": pa.array(row["ids"], pa.int64()), "n_tokens": pa.array(sizes), "n_known": pa.array(np.add.reduceat((count > 0)[at].astype(np.int64), begin)),
             "base": pa.array(np.add.reduceat(gain, begin)),
-            "score": pa.array(mixer.logs(tokens, packed, np.array([common.get(t, 0) for t in tokens], np.int64), at, sizes)),
+            "score": pa.array(mixer.logs(late, leads, own, common, at, sizes)),
             "n_bytes": pa.array(row["n_bytes"], pa.int64()),
         }
         return pa.table(cols)
@@ -1090,10 +1219,11 @@ def score(blocks: DataFrame, lm: LanguageModel, own: bool = False) -> DataFrame:
         predicted = predict(lm.tokens.unionByName(others).groupBy("token").agg(F.sum("n").alias("n")), m)
     least = _head(lm.tokens)
     known = predicted.where(F.col("n") >= min(least.values())) if least else predicted.limit(0)
-    head = {bytes(r["token"]): (r["n"], bytes(r["own"])) for r in known.select("token", "n", "own").toLocalIterator()}  # at most HEAD rows
-    shared = sc.broadcast((Mixer.of(m), head, m.common))  # tables and HEAD tokens of a fixed size
+    mixer = Mixer.of(m)
+    head = Head.of([(bytes(r["token"]), r["n"], bytes(r["own"])) for r in known.select("token", "n", "own").toLocalIterator()], mixer, m.common)  # at most HEAD rows
+    shared = sc.broadcast((mixer, head))  # tables and HEAD tokens of a fixed size
     asked = blocks.select("block", "tokens").mapInArrow(_requests(shared), "block long, number int, token binary")
-    found = asked.join(predicted.select("token", "n", "own"), "token").select("block", "number", "n", "own")
+    found = asked.join(predicted.select("token", "n", "own").hint("shuffle_hash"), "token").select("block", "number", "n", "own")
     # A task gets a block or two, while there are not very many.
     n_blocks = blocks.count()
     parts = max(1, min(n_blocks, max(20_000, n_blocks // 16)))

@@ -280,3 +280,69 @@ def test_weights_are_learned_from_every_occurrence(make, monkeypatch):
         return sum(np.log1p(np.exp(-np.array(own).reshape(-1, 4) @ w[g])).sum() for g, own in enumerate(inputs))
 
     assert loss(lm.model.weights) < 1.001 * loss(want)
+
+
+def in_one_block(lm, docs, rare=()):
+    """Scores of documents in one block, made here; tokens in rare are asked for, the others are the head."""
+    import pyarrow as pa
+    from types import SimpleNamespace
+
+    known = {bytes(r["token"]): (r["n"], bytes(r["own"])) for r in lm.predicted.collect()}
+    mixer = c.Mixer.of(lm.model)
+    head = c.Head.of([(t, *x) for t, x in known.items() if t not in rare], mixer, lm.model.common)
+    block = c.encode(docs.select("doc_id", "text", F.lit(True).alias("train")).coalesce(1)).toArrow()
+    names = c._full(block.column("tokens")[0].as_py()).split(b" ")
+    asked = [(i, *known[t]) for i, t in enumerate(names) if t in rare]
+    found = pa.table({k: pa.array([a[i] for a in asked], t) for i, (k, t) in enumerate({"number": pa.int32(), "n": pa.int64(), "own": pa.binary()}.items())})
+    got = c._score(SimpleNamespace(value=(mixer, head)))(block, found)
+    return dict(zip(got.column("doc_id").to_pylist(), got.column("score").to_pylist()))
+
+
+def test_no_pair_is_mixed_twice_in_a_block(make, monkeypatch):
+    """However often a text stands in a block, the first bytes of its words are mixed once for each earlier word, and what tokens of the head bring is not made again."""
+    lm, docs = fitted(make, [(i, "the theme then a thaw") for i in range(50)], lambda i: True)
+    mixed, made, slots, late = [], [], c.after_slots, c.Mixer.late
+    monkeypatch.setattr(c, "after_slots", lambda names, inside: mixed.append(len(names)) or slots(names, inside))
+    monkeypatch.setattr(c.Mixer, "late", lambda self, tokens, packed: made.append(tokens) or late(self, tokens, packed))
+    got = in_one_block(lm, docs, {b"then"})
+    once = sum(int(lm.model.code.length[b]) for t in tokens("the theme then a thaw") for b in (t + b" ")[: c.REACH])
+    assert sum(mixed) == once
+    assert sorted(made[0]) == sorted(t for t in set(tokens("the theme then a thaw")) if t != b"then") and made[1:] == [[b"then"]]
+    assert len(got) == 50 and len(set(got.values())) == 1
+
+
+def test_scores_do_not_depend_on_what_is_beside(make, monkeypatch):
+    """Documents refined side by side, alone, and in slices score alike; so do tokens of the head and those asked for."""
+    rng = random.Random(8)
+    rows = [(i, prose(rng, ENGLISH, rng.choice([0, 3, 40, 400]))) for i in range(40)]
+    rows[7:7] = [(100, prose(rng, ENGLISH, 900)), (101, "a " * 300), (102, None)]
+    monkeypatch.setattr(c, "COMMON", 3)
+    lm, docs = fitted(make, rows, lambda i: True)
+    rare = {w for _, t in rows for w in tokens(t)[:3]} - lm.model.common.keys()  # the common words are always in the head
+    assert len(rare) > 5
+    monkeypatch.setattr(c, "SLICE", 256)
+    want = in_one_block(lm, docs)
+    for name, n in (("SIDE_BY_SIDE", 1), ("SIDE_BY_SIDE", 300), ("SPAN", 64)):
+        monkeypatch.setattr(c, name, n)
+        got = in_one_block(lm, docs, rare)
+        assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
+
+
+def test_blocks_hold_the_words_of_every_text(make, monkeypatch):
+    """Blocks give back each document's words by bytes: only ASCII case and white space count."""
+    rng = random.Random(4)
+    odd = [*" \t\n\v\f\r\0\x1c\x85\xa0AzÄß€", "\U0001f600"]
+    rows = [(i, None if i % 9 == 0 else "".join(rng.choices(odd, k=rng.randrange(0, 40)))) for i in range(200)]
+    monkeypatch.setattr(c, "BLOCK_BYTES", 300)
+    blocks = [r.asDict() for r in c.encode(make(rows).select("doc_id", "text", (F.col("doc_id") % 2 == 0).alias("train"))).collect()]
+    got, count, text = {}, Counter(), dict(rows)
+    for b in blocks:
+        names, at, sizes = c._block(b)
+        ends = np.cumsum(sizes)
+        for i, s, e, n in zip(b["ids"], ends - sizes, ends, b["n_bytes"]):
+            got[i] = [names[k] for k in at[s:e]]
+            assert n == len((text[i] or "").encode()) + 1
+        for t, n in zip(names, np.frombuffer(c._full(b["counts"]), np.int64).tolist()):
+            count[t] += n
+    assert got == {i: [*c.words_of((t or "").encode()), b""] for i, t in rows}
+    assert +count == Counter(w for i, words in got.items() if i % 2 == 0 for w in words)
